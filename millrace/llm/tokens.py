@@ -24,7 +24,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 class Pieces(dict):
     """Packed ids by word piece; emptied at ``limit`` entries, long pieces are not kept."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
         super().__init__()
         self.encode, self.limit = encode, limit
 
@@ -41,9 +41,9 @@ class Encoder:
     """Little-endian unsigned 32-bit ids of texts; ``encode_piece`` gives the ids of one word piece."""
 
     def __init__(self, encode_piece: Callable[[str], bytes], specials: dict[str, int]):
-        self.pieces = Pieces(encode_piece)
+        self.pieces = Pieces(encode_piece, 700_000)
         piece, split = self.pieces.__getitem__, PIECE.findall
-        self.units = Pieces(lambda unit: b"".join(map(piece, split(unit))))
+        self.units = Pieces(lambda unit: b"".join(map(piece, split(unit))), 500_000)
         self.specials = {k: np.array([v], "<u4").tobytes() for k, v in specials.items()}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
 
