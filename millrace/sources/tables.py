@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, unless they are known to have it on their path."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, application = os.path.dirname(package), spark.sparkContext.applicationId
+    if application in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(application)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "millrace"), "zip", root, os.path.basename(package)))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory; the path may be in any store that Spark reads."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends at files that no executor owns."""
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
