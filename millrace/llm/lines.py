@@ -128,14 +128,17 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """h of the lines that have an earlier line within one edit."""
     found = candidates(lines)
     order = materialize(firsts.select("h", "at").join(found.select("h"), "h", "left_semi"), "op2-order")
-    made = materialize(variants(found).join(order, "h"), "op2-variants")
+    made = materialize(variants(found), "op2-variants")
     # one length: all lines of a variant and place are within one edit of each other, so the earliest removes the rest
     changed = made.where("place >= 0")
-    star = changed.groupBy("v", "place").agg(F.min(F.struct("at", "h")).alias("first"), F.max("h").alias("hi"), F.min("h").alias("lo")).where("lo <> hi").select("v", "place", F.col("first.h").alias("by"))
-    claims = changed.join(star, ["v", "place"]).where(F.col("h") != F.col("by")).select("h", "by")
+    crowd = changed.groupBy("v", "place").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("v", "place")
+    met = materialize(changed.join(crowd, ["v", "place"]).join(order, "h"), "op2-met")
+    star = met.groupBy("v", "place").agg(F.min(F.struct("at", "h")).alias("first")).select("v", "place", F.col("first.h").alias("by"))
+    claims = met.join(star, ["v", "place"]).where(F.col("h") != F.col("by")).select("h", "by")
     # one character more or less: of a variant and the line that equals it, the later goes
-    whole = made.where("place < 0").groupBy("v").agg(F.min(F.struct("at", "h")).alias("w")).select("v", F.col("w.at").alias("w_at"), F.col("w.h").alias("w_h"))
-    longer = changed.join(whole, "v").where(F.col("h") != F.col("w_h"))
+    whole = made.where("place < 0").select("v", F.col("h").alias("w_h"))
+    longer = changed.select("v", "h").join(whole, "v").where(F.col("h") != F.col("w_h")).select("h", "w_h").distinct()
+    longer = longer.join(order, "h").join(order.select(F.col("h").alias("w_h"), F.col("at").alias("w_at")), "w_h")
     later = F.col("at") > F.col("w_at")
     claims = claims.union(longer.select(F.when(later, F.col("h")).otherwise(F.col("w_h")), F.when(later, F.col("w_h")).otherwise(F.col("h")))).distinct()
     schema = pa.schema([("h", pa.int64())])
