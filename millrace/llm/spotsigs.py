@@ -106,7 +106,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     part = F.floor(F.log("size") / -np.log(threshold))
     keys = ranked.select("id", "size", part.alias("p"), F.explode(kept).alias("k"))
     keys = keys.select("id", "size", F.explode(F.array("p", F.col("p") + 1)).alias("p"), "k").select(F.xxhash64("p", "k.mark").alias("key"), "id", "size")
-    roots = linking.classes(keys, items, lambda x, y: alike(from_string(x), from_string(y), threshold), threshold)
+    roots = linking.classes(keys, items, lambda x: from_string(x).astype(np.uint64), threshold)
     placed = prints.select("doc_id", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return placed.join(least, "root").select("doc_id", "class_id")
