@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> L
             got = [lexicon.features(fold(t)) for t in common.texts_of(b)]
             yield common.to_batch(points, [*map(list, zip(*got, strict=True)), b.column("toxic")])
 
-    seen = rows.mapInArrow(measure, "x double, d double, toxic int").orderBy("x", "d", "toxic").collect()  # the bounded sample
+    seen = rows.mapInArrow(measure, "x double, d double, toxic int").collect()  # the bounded sample
+    seen.sort(key=lambda r: (r["x"], r["d"], r["toxic"]))
     x = np.array([(r["x"], np.sqrt(r["d"])) for r in seen])
     y = np.array([r["toxic"] for r in seen], float)
     return Lexicon(weights, fit_curve(x, y))
