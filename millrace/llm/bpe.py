@@ -22,14 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm import common
-from millrace.llm.tokens import Encoder, default_path
-
-
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, others from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+from millrace.llm.tokens import Encoder, byte_letters, default_path
 
 
 class BytePairs:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -54,18 +55,26 @@ class Encoder:
         return b"".join(self.specials.get(part) or b"".join(map(self.units.__getitem__, UNIT.findall(part))) for part in self.cut.split(text))
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 @functools.lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:
-    """An encoder whose word pieces are encoded by the tokenizers library; one for each worker process."""
+    """An encoder whose word pieces are encoded by the tokenizers library; one for each worker process.
+
+    A piece goes to the library's model in the letters that a byte-level pre-tokenizer would give it.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    encode = library.encode
+    tokenize, letters = library.model.tokenize, {b: ord(c) for c, b in byte_letters().items()}
     specials = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-    return Encoder(lambda piece: np.array(encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), specials)
+    return Encoder(lambda piece: array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes(), specials)
 
 
 def default_path() -> str:

@@ -63,11 +63,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at += takes[at]
     starts = np.array(starts)
     chosen = pick[starts]
-    words = chosen.astype(np.uint64) << np.uint64(60)
+    words = np.empty(len(starts), np.uint64)
     for selector in np.unique(chosen):
         rows = np.flatnonzero(chosen == selector)
+        first = starts[rows]
+        word = np.full(len(rows), int(selector) << 60, np.uint64)
         for slot in range(COUNTS[selector]):
-            words[rows] |= ids[starts[rows] + slot] << np.uint64(slot * BITS[selector])
+            word |= ids[first + slot] << np.uint64(slot * BITS[selector])
+        words[rows] = word
     return words, escaped, values
 
 
@@ -79,10 +82,10 @@ def unpack(words: np.ndarray, n: int, escaped=(), values=()) -> np.ndarray:
     starts = np.cumsum(sizes) - sizes
     out = np.zeros(int(sizes.sum()), np.uint64)
     for selector in np.unique(chosen):
-        rows = chosen == selector
-        mask = np.uint64((1 << BITS[selector]) - 1)
+        rows = np.flatnonzero(chosen == selector)
+        word, first, mask = words[rows], starts[rows], np.uint64((1 << BITS[selector]) - 1)
         for slot in range(COUNTS[selector]):
-            out[starts[rows] + slot] = (words[rows] >> np.uint64(slot * BITS[selector])) & mask
+            out[first + slot] = (word >> np.uint64(slot * BITS[selector])) & mask
     out = out[:n]
     if len(escaped):
         out[np.asarray(escaped, np.int64)] = np.asarray(values, np.uint64)
