@@ -201,6 +201,17 @@ def test_near_duplicates(docs, odd):
     assert bagminhash.classes(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_unlike_sizes(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(rnd.randint(40, 400))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + ["more"] + ["x%d" % n for n in range(int(0.22 * len(words)) - 4)]))]
+    assert all(bagminhash.overlap(bagminhash.bag(rows[i][1]), bagminhash.bag(rows[i + 1][1])) >= 0.8 for i in range(0, 120, 2))
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 def test_language_id(docs, odd):
     model = langid.train(docs)
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
