@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -32,11 +33,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own:  # a running session's setting can't be changed
+        _own[application] = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.sparkContext.setCheckpointDir(_own[application])
+    return _own[application]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
