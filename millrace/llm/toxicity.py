@@ -5,6 +5,10 @@ letters replaced. The lexicon's terms are whole words or word beginnings; one Ah
 finds them all. A hit inside an exception phrase doesn't count. What is left is summed by the terms' weights, and
 normalised by the text's length; a logistic curve turns both into a score.
 
+At a word's beginning or end a digit or sign may stand for a letter or for itself ("1diot", "$tupid", "1st", "|cell|").
+Texts with such words are matched in further readings too, with those digits, or digits and signs, as letters; a word
+counts once, by its heaviest reading. Numbers without a letter and "!" behind a word are left alone.
+
 The lexicon starts from a short fixed list and learns further terms and all weights (log odds of a term between toxic
 and other documents) from labelled documents that are not held out, at most TRAIN_DOCS of each label, dealt by a hash.
 
@@ -44,19 +48,44 @@ LOOKALIKES = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 MARKS = str.maketrans(LOOKALIKES)
-#: A digit or sign stands for a letter only next to a letter on both sides.
+#: A digit or sign with a letter on both sides stands for a letter.
 STANDS = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])")
-GAP = re.compile(r"[\W_]+")
+#: Those at a word's beginning and end, digits alone or signs too; a run of them is taken whole.
+LEADS = re.compile(r"(?<![^\W_])[0134578]++(?=[^\W\d_])"), re.compile(r"(?<![^\W_])(?<![@$!|])[0134578@$!|]++(?=[^\W\d_])")
+TAILS = re.compile(r"(?<=[^\W\d_])[0134578]++(?![^\W_])"), re.compile(r"(?<=[^\W\d_])[0134578@$!|]*[0134578@$|](?![^\W_])")
+LETTERS = str.maketrans(DIGITS)
+GAP, WORD, LETTER = re.compile(r"[\W_]+"), re.compile(r"[^\W_]+"), re.compile(r"[^\W\d_]")
 
 
-def fold(text: str) -> str:
-    """Folded words with one space before, between and after them."""
+def as_letters(m: re.Match) -> str:
+    """The letters that a run of digits and signs stands for."""
+    return m.group().translate(LETTERS)
+
+
+def plain(text: str) -> str:
+    """Folded characters."""
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.translate(MARKS))
         text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
-    text = STANDS.sub(lambda m: "".join(DIGITS[c] for c in m.group()), text)
-    return f" {GAP.sub(' ', text).strip()} "
+    return STANDS.sub(as_letters, text)
+
+
+def spaced(chars: str) -> str:
+    """The words of folded characters with one space before, between and after them."""
+    return f" {GAP.sub(' ', chars).strip()} "
+
+
+def fold(text: str) -> str:
+    """Folded words with one space before, between and after them."""
+    return spaced(plain(text))
+
+
+def readings(text: str) -> list[str]:
+    """Folded characters, first as they are, then with the digits, or digits and signs, at the words' edges as letters; all of one length."""
+    first = plain(text)
+    begun = dict.fromkeys(lead.sub(as_letters, first) for lead in LEADS)
+    return list(dict.fromkeys([first, *(tail.sub(as_letters, b) for b in begun for tail in TAILS)]))
 
 
 def terms_of(folded: str) -> set[str]:
@@ -87,27 +116,45 @@ class Lexicon:
     def __reduce__(self):
         return Lexicon, (self.weights, self.curve)
 
-    def features(self, folded: str) -> tuple[float, float]:
-        """The log of the hits' weights, and their share of the text's words.
-
-        Each word counts once, with the heaviest term that it has.
-        """
+    def hits(self, folded: str) -> dict[int, float]:
+        """Where the words with a hit begin, and the heaviest term's weight; 0 inside an exception phrase."""
         best: dict[int, float] = {}
         if self.weights:
             for end, (size, weight, _) in self.find.iter(folded):
                 start = end - size + 1
                 if weight > best.get(start, 0.0):
                     best[start] = weight
-        if not best:
-            return 0.0, 0.0
-        spared = [(end - size + 1, end) for end, size in self.spare.iter(folded)]
-        total = sum(w for at, w in best.items() if not any(s <= at < e for s, e in spared))
-        return float(np.log1p(total)), total / (folded.count(" ") - 1)
+        spared = [(end - size + 1, end) for end, size in self.spare.iter(folded)] if best else []
+        return {at: 0.0 if any(s <= at < e for s, e in spared) else w for at, w in best.items()}
+
+    def features(self, text: str) -> tuple[float, float]:
+        """The log of the hits' weights, and their share of the text's words.
+
+        Each word counts once, with the heaviest term that it has in any reading; a word that reads the same is spared
+        if one reading of its neighbours makes an exception phrase.
+        """
+        read = readings(text)
+        folded = [spaced(chars) for chars in read]
+        found = [self.hits(f) for f in folded]
+        if not any(found[1:]):
+            total = sum(found[0].values())
+        else:
+            slots: dict[int, dict[str, float]] = {}
+            for chars, hits in zip(read, found, strict=True):
+                at = 0
+                for m in WORD.finditer(chars) if hits else ():
+                    if at in hits:
+                        letter = LETTER.search(read[0], *m.span())
+                        words = slots.setdefault(letter.start() if letter else m.start(), {})
+                        words[m.group()] = min(hits[at], words.get(m.group(), hits[at]))
+                    at += len(m.group()) + 1
+            total = sum(max(words.values()) for words in slots.values())
+        return float(np.log1p(total)), total / (folded[0].count(" ") - 1)
 
     def score(self, text: str) -> float:
         """0 to 1; a higher score is likelier toxic."""
         a, b, c = self.curve
-        x, y = self.features(fold(text))
+        x, y = self.features(text)
         return float(1 / (1 + np.exp(-(a + b * x + c * np.sqrt(y)))))
 
 
@@ -150,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> L
 
     def run(batches):
         for b in common.slices(batches):
-            out = [(t, y) for text, y in zip(common.texts_of(b), b.column("toxic").to_pylist(), strict=True) for t in (*terms_of(fold(text)), "")]
+            out = [(t, y) for text, y in zip(common.texts_of(b), b.column("toxic").to_pylist(), strict=True) for t in (*set().union(*(terms_of(spaced(r)) for r in readings(text))), "")]
             yield common.to_batch(schema, list(map(list, zip(*out, strict=True))) or [[], []])
 
     found = rows.mapInArrow(run, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
@@ -168,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> L
 
     def measure(batches):
         for b in common.slices(batches):
-            got = [lexicon.features(fold(t)) for t in common.texts_of(b)]
+            got = [lexicon.features(t) for t in common.texts_of(b)]
             yield common.to_batch(points, [*map(list, zip(*got, strict=True)), b.column("toxic")])
 
     seen = rows.mapInArrow(measure, "x double, d double, toxic int").collect()  # the bounded sample

@@ -250,6 +250,27 @@ def test_toxicity(spark, odd):
     assert got.count() == len(ODD) and got.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_toxicity_edges():
+    lexicon = toxicity.Lexicon({" idiot ": 2.0, " stupid ": 2.0, " trash ": 2.0, " moro": 1.0})
+    once = lexicon.features("you stupid fool")
+    for word in ("5tup1d", "$tupid", "$tup!d!!", "|5tupid|", "@$tupid", "|stupid|", "_5tupid_", "Ѕtupid"):
+        assert (lexicon.features(f"you {word} fool") == once) == (word != "@$tupid"), word
+    for word in ("1diot", "1d10t", "!diot", "idi07", "idi07!", "|diot", "@1diot", "1diot|", "(1DIOT)", "¹diot"):
+        assert lexicon.features(f"you {word} fool") == once, word
+    assert lexicon.features("5tupid 1diot and $tupid moron5")[0] == np.log1p(7.0)
+    for text in ("10 1 57 $100 8!", "no 1diot", "7rash can", "trash 8in", "trash @can", "idiot2 21diot", "1st 4th mp3 a@b.c $ | !"):
+        assert lexicon.features(text) == (0.0, 0.0), text
+    assert toxicity.readings("all is well!") == ["all is well!"]
+    assert lexicon.features("|" * 200_000 + "1!" * 100_000 + " a" + "$" * 200_000 + "2") == (0.0, 0.0)
+
+
+def test_toxicity_disguised(spark):
+    """Each disguise scores as the plain word does, with the learned lexicon."""
+    lexicon = toxicity.train(*(load(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels")))
+    for word, shown in (("stupid", "5tup1d"), ("idiot", "1diot"), ("stupid", "$tupid")):
+        assert lexicon.score(f"You are {shown} and more.") == lexicon.score(f"You are {word} and more.") > lexicon.score("You are here and more.")
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (load(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").collect()
