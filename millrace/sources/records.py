@@ -2,7 +2,7 @@
 
 A reader takes one row for each captured output, columns name and content, and gives one row for each record with the
 output's name. Reading is all or nothing: where any record of an output is bad, that output gives no record, and
-``failures`` lists it.
+``failures`` lists it. An output over MAX_OUTPUT_BYTES isn't read: it has one bad record, with the reason tooLarge.
 """
 
 from __future__ import annotations
@@ -32,15 +32,21 @@ def all_or_nothing(records: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def failures(records: DataFrame) -> DataFrame:
-    """Outputs with bad records, and how many."""
-    return records.where(~F.coalesce("ok", F.lit(False))).groupBy("name").agg(F.count("*").alias("bad_count"))
+    """Outputs with bad records, how many, and the reason where it is one of the whole output (tooLarge)."""
+    return records.where(~F.coalesce("ok", F.lit(False))).groupBy("name").agg(F.count("*").alias("bad_count"), F.max("reason").alias("reason"))
+
+
+def bounded(outputs: DataFrame) -> DataFrame:
+    """name, content and reason; content is null and the reason tooLarge where an output is over the limit."""
+    large = F.octet_length("content") > MAX_OUTPUT_BYTES
+    return outputs.select("name", F.when(~large, F.col("content")).alias("content"), F.when(large, "tooLarge").alias("reason"))
 
 
 def lines(outputs: DataFrame) -> DataFrame:
-    """name, no, line of LF-ended lines; an output whose last line isn't ended has a null line."""
+    """name, reason, no, line of LF-ended lines; an output whose last line isn't ended, or that is over the limit, has a null line."""
     parts = F.split("content", "\n", -1)
     ended = F.when(F.col("content").endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).when(F.length("content") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(None).cast("string")))
-    return outputs.select("name", F.posexplode(ended).alias("no", "line"))
+    return bounded(outputs).select("name", "reason", F.posexplode(ended).alias("no", "line"))
 
 
 def ref_records(outputs: DataFrame) -> DataFrame:
@@ -49,7 +55,7 @@ def ref_records(outputs: DataFrame) -> DataFrame:
     at = lambda i: F.try_element_at(f, F.lit(i))
     empty = lambda c: F.when(F.length(c) > 0, c)
     shape = (F.size(f) == 6) & (at(6) == "") & ~F.col("line").contains("\r")
-    rows = lines(outputs).select("name", at(1).alias("full_name"), at(2).alias("revision"), at(3).alias("object_type"), empty(at(4)).alias("symbolic_target"), empty(at(5)).alias("upstream_remote"), shape.alias("shape"))
+    rows = lines(outputs).select("name", "reason", at(1).alias("full_name"), at(2).alias("revision"), at(3).alias("object_type"), empty(at(4)).alias("symbolic_target"), empty(at(5)).alias("upstream_remote"), shape.alias("shape"))
     valid = V.is_full_ref(F.col("full_name")) & V.is_object_id(F.col("revision")) & F.col("object_type").isin(*V.OBJECT_TYPES)
     links = (F.col("symbolic_target").isNull() | V.is_full_ref(F.col("symbolic_target"))) & (F.col("upstream_remote").isNull() | V.no_control(F.col("upstream_remote")))
     once = F.count("*").over(Window.partitionBy("name", "full_name")) == 1
@@ -62,28 +68,29 @@ def scan_refs(outputs: DataFrame) -> DataFrame:
 
 
 def fields(outputs: DataFrame, takes) -> DataFrame:
-    """name, no, head, path1, path2 of NUL-ended fields; ``takes`` says how many further fields a head takes.
+    """name, no, head, path1, path2, ended, reason of NUL-ended fields; ``takes`` says how many further fields a head takes.
 
-    The only Python here: how many fields belong together depends on each head. A record cut short has ok false.
+    The only Python here: how many fields belong together depends on each head. A record cut short isn't ended, nor is
+    the one record of an output without content or over the limit.
     """
-    schema = pa.schema([("name", pa.string()), ("no", pa.int64()), ("head", pa.string()), ("path1", pa.string()), ("path2", pa.string()), ("ended", pa.bool_())])
+    schema = pa.schema([("name", pa.string()), ("no", pa.int64()), ("head", pa.string()), ("path1", pa.string()), ("path2", pa.string()), ("ended", pa.bool_()), ("reason", pa.string())])
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for name, content, reason in zip(*(b.column(c).to_pylist() for c in ("name", "content", "reason")), strict=True):
                 parts = (content or "").split("\0")
                 rows, at = [], 0
-                whole = parts.pop() == ""
+                whole = parts.pop() == "" and content is not None
                 while at < len(parts):
                     n = takes(parts[at])
                     more = parts[at + 1 : at + 1 + n]
-                    rows.append((name, len(rows), parts[at], *(more + [None, None])[:2], len(more) == n and "" not in more))
+                    rows.append((name, len(rows), parts[at], *(more + [None, None])[:2], len(more) == n and "" not in more, None))
                     at += 1 + n
                 if not whole:
-                    rows.append((name, len(rows), None, None, None, False))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 6, schema, strict=True)], schema=schema)
+                    rows.append((name, len(rows), None, None, None, False, reason))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 7, schema, strict=True)], schema=schema)
 
-    return outputs.where(F.octet_length("content") <= MAX_OUTPUT_BYTES).select("name", "content").mapInArrow(run, "name string, no long, head string, path1 string, path2 string, ended boolean")
+    return bounded(outputs).mapInArrow(run, "name string, no long, head string, path1 string, path2 string, ended boolean, reason string")
 
 
 def raw_diff_records(outputs: DataFrame) -> DataFrame:
@@ -91,7 +98,7 @@ def raw_diff_records(outputs: DataFrame) -> DataFrame:
     rows = fields(outputs, lambda head: 2 if " R" in head[-5:] else 1)
     f = F.split("head", " ", -1)
     at = lambda i: F.try_element_at(f, F.lit(i))
-    named = rows.select("name", "no", "ended", "path1", "path2", (F.size(f) == 5).alias("shape"), F.substring(at(1), 2, 6).alias("source_mode"), (F.length(at(1)) == 7).alias("prefixed"), at(1).startswith(":").alias("marked"), at(2).alias("target_mode"), at(3).alias("source_oid"), at(4).alias("target_oid"), at(5).alias("letters"))
+    named = rows.select("name", "no", "ended", "reason", "path1", "path2", (F.size(f) == 5).alias("shape"), F.substring(at(1), 2, 6).alias("source_mode"), (F.length(at(1)) == 7).alias("prefixed"), at(1).startswith(":").alias("marked"), at(2).alias("target_mode"), at(3).alias("source_oid"), at(4).alias("target_oid"), at(5).alias("letters"))
     rename = F.col("letters").startswith("R")
     letter = F.substring("letters", 1, 1)
     modes = V.is_mode(F.col("source_mode")) & V.is_mode(F.col("target_mode")) & V.same_width(F.col("source_oid"), F.col("target_oid"))
@@ -101,7 +108,7 @@ def raw_diff_records(outputs: DataFrame) -> DataFrame:
     return named.select(
         "name", "no", F.when(rename, F.col("path2")).otherwise(F.col("path1")).alias("path"), F.when(rename, F.col("path1")).alias("original_path"),
         "source_mode", "target_mode", "source_oid", "target_oid", F.try_element_at(status, letter).alias("status"),
-        (F.col("ended") & F.col("shape") & F.col("marked") & F.col("prefixed") & modes & score & change).alias("ok"),
+        (F.col("ended") & F.col("shape") & F.col("marked") & F.col("prefixed") & modes & score & change).alias("ok"), "reason",
     )
 
 
@@ -144,7 +151,7 @@ def status_records(outputs: DataFrame) -> DataFrame:
     return rows.select(
         "name", "no", F.when(kind.isin("?", "!"), F.expr("substring(head, 3)")).otherwise(path).alias("path"), F.when(kind == "2", F.col("path1")).alias("original_path"),
         (is_("u") | is_("2") | (is_("1") & (x != "."))).alias("is_staged"), (is_("u") | (is_("1", "2") & (y != "."))).alias("is_unstaged"),
-        is_("?").alias("is_untracked"), is_("u").alias("is_conflicted"), is_("!").alias("is_ignored"), (F.col("ended") & ok).alias("ok"),
+        is_("?").alias("is_untracked"), is_("u").alias("is_conflicted"), is_("!").alias("is_ignored"), (F.col("ended") & ok).alias("ok"), "reason",
     )
 
 

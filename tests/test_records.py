@@ -64,6 +64,26 @@ def test_status(spark):
     assert {r["name"] for r in records.failures(records.status_records(table)).collect()} == set(bad)
 
 
+@pytest.mark.parametrize(("read", "head", "end"), [("raw_diff", f":100644 100644 {A} {B} M\0", "\0"), ("status", "? ", "\0"), ("ref", "refs/heads/", "\0".join(["", A, "commit", "", "", "\n"]))])
+def test_output_limit(spark, read, head, end):
+    """An output at the limit is read, one a byte over it is a failure with its reason, and one without content is a failure."""
+    fill = lambda n: head + "x" * (n - len(head) - len(end)) + end
+    limit = records.MAX_OUTPUT_BYTES
+    table = outputs(spark, small=fill(200), at=fill(limit), over=fill(limit + 1), none=None)
+    found = getattr(records, f"{read}_records")(table)
+    scan = getattr(records, "scan_refs" if read == "ref" else f"scan_{read}")
+    assert {tuple(r) for r in records.failures(found).collect()} == {("over", 1, "tooLarge"), ("none", 1, None)}
+    assert {r["name"] for r in scan(table).select("name").collect()} == {"small", "at"}
+
+
+def test_output_limit_of_lines(spark):
+    limit = records.MAX_OUTPUT_BYTES
+    table = outputs(spark, at="r" * (limit - 1) + "\n", over="r" * limit + "\n")
+    assert [r["name"] for r in records.scan_remotes(table).select("name").collect()] == ["at"]
+    assert {r["name"] for r in records.scan_scalar_facts(table).select("name").collect()} == {"at"}
+    assert [(r["name"], r["reason"], r["line"]) for r in records.lines(table).where("name = 'over'").collect()] == [("over", "tooLarge", None)]
+
+
 def test_small_facts(spark):
     assert {r["revision"] for r in records.scan_merge_bases(outputs(spark, a=f"{A}\n{B}\n", b="", c="x\n")).collect()} == {A, B}
     counts = records.scan_commit_counts(outputs(spark, a="3\t12\n", b="03\t1\n", c="1\t2\n3\t4\n", d="1\n")).collect()
