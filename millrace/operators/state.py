@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,22 +32,71 @@ def one_active(requests: DataFrame, key: str, order: list[str], run: str) -> Dat
     return requests.join(holder, key).withColumn("accepted", F.col(run) == F.col("active_run"))
 
 
-def fold_column(events: Column, start: str = "pendingCapture") -> Column:
-    """The state after ordered event names: an event that may not start from the state leaves it."""
+class Folds:
+    """What runs of events do to each state, numbered as they are met; there are few, as they are maps between ten states.
+
+    An event that may not start from a state leaves it (D2, D4, D8, W2). Number 0 leaves all states.
+    """
+
+    def __init__(self):
+        self.step = {name: [STATES.index(to if s in sources else s) for s in STATES] for name, (to, sources) in TRANSITIONS.items()}
+        self.ends, self.numbers, self.after = [tuple(range(len(STATES)))], {tuple(range(len(STATES))): 0}, {}
+
+    def then(self, number: int, event: str | None) -> int:
+        """The number of a map with one more event behind it."""
+        got = self.after.get((number, event))
+        if got is None:
+            step = self.step.get(event, self.ends[0])
+            ends = tuple(step[s] for s in self.ends[number])
+            got = self.numbers.setdefault(ends, len(self.ends))
+            if got == len(self.ends):
+                self.ends.append(ends)
+            if event in self.step:
+                self.after[number, event] = got
+        return got
 
-    def step(state: Column, event: Column) -> Column:
-        out = F
-        for name, (to, sources) in TRANSITIONS.items():
-            out = out.when((event == name) & state.isin(*sources), F.lit(to))
-        return out.otherwise(state)
 
-    return F.aggregate(events, F.lit(start), step)
+def fold_ranges(events: DataFrame, key: str, order: list[str], event: str) -> DataFrame:
+    """key, range, no, ends and n: for each key and range of its ordered events, the state that each state ends in, and how many events.
+
+    Events are dealt by key and order, so a key with many has several ranges, and each range is read as a stream.
+    """
+    by = [key, *dict.fromkeys([*order, event])]
+    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int64())
+
+    def batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, *kinds), strict=True)], names=["key", "range", "no", "ends", "n"])
+
+    def run(batches):
+        folds, place, kind = Folds(), TaskContext.get().partitionId(), None
+        last, at, n, no = None, 0, 0, 0
+        for b in batches:
+            done, kind = [], b.column("key").type
+            for k, e in zip(b.column("key").to_pylist(), b.column("event").to_pylist(), strict=True):
+                if n and k != last and (k == k or last == last):  # NaN is one key
+                    done.append((last, place, no, folds.ends[at], n))
+                    at, n, no = 0, 0, no + 1
+                last, at, n = k, folds.then(at, e), n + 1
+            if done:
+                yield batch(done, kind)
+        if n:
+            yield batch([(last, place, no, folds.ends[at], n)], kind)
+
+    dealt = events.select(*by).repartitionByRange(*by).sortWithinPartitions(*by).select(F.col(key).alias("key"), F.col(event).alias("event"))
+    kind = dealt.schema["key"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"key {kind}, range int, no long, ends array<int>, n long")
 
 
 def fold_runs(events: DataFrame, key: str, order: list[str], event: str) -> DataFrame:
-    """The state of each run from its own events, a bounded list."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, event))), lambda e: e[event])
-    return events.groupBy(key).agg(fold_column(ordered).alias("state"), F.count("*").alias("events"))
+    """The state of each run from its own events in order, and their number (W2); a run may have any number of events.
+
+    Only the maps of a run's ranges are gathered, at most one for each partition.
+    """
+    ranges = F.array_sort(F.collect_list(F.struct("range", "no", "ends")))
+    end = F.aggregate(ranges, F.lit(STATES.index("pendingCapture")), lambda s, r: F.get(r["ends"], s))
+    found = fold_ranges(events, key, order, event).groupBy("key").agg(end.alias("end"), F.sum("n").alias("events"))
+    names = F.array(*(F.lit(s) for s in STATES))
+    return found.select(F.col("key").alias(key), F.get(names, F.col("end")).alias("state"), "events")
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

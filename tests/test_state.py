@@ -1,6 +1,7 @@
 """Run log, paging, strict JSON and streaming on small tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,46 @@ def test_fold(spark):
     assert got == {"a": "completed", "b": "cancelled", "c": "pendingCapture"}
 
 
+def test_fold_of_a_hot_key(spark):
+    """A key with a quarter of all events is folded in several ranges, none of which lists its events."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60_000):
+        who = rnd.choice(["hot", f"k{rnd.randrange(300)}", f"k{rnd.randrange(300)}", None if rnd.random() < 0.01 else "few"])
+        # most runs stay on their way for long, as few events may end them
+        rows.append((who, rnd.randrange(20_000), i, rnd.choice([*state.TRANSITIONS][:4] * 300 + [*state.TRANSITIONS, None, "other"])))
+    want = {}
+    for who, _, _, event in sorted(rows, key=lambda r: r[1:3]):
+        now, n = want.get(who, ("pendingCapture", 0))
+        to, sources = state.TRANSITIONS.get(event, (None, ()))
+        want[who] = (to if now in sources else now, n + 1)
+    table = spark.createDataFrame(rows, "id string, at int, no int, event string")
+    got = state.fold_runs(table, "id", ["at", "no"], "event").collect()
+    assert {r["id"]: (r["state"], r["events"]) for r in got} == want and len(got) == len(want)
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    old = [spark.conf.get(n) for n in names]
+    for n, value in zip(names, ("false", "16"), strict=True):
+        spark.conf.set(n, value)
+    try:
+        ranges = state.fold_ranges(table, "id", ["at", "no"], "event").collect()
+        got = state.fold_runs(table, "id", ["at", "no"], "event").collect()
+    finally:
+        for n, value in zip(names, old, strict=True):
+            spark.conf.set(n, value)
+    hot = [r["n"] for r in ranges if r["key"] == "hot"]
+    assert len(hot) > 3 and sum(hot) == want["hot"][1] and max(hot) < 0.5 * want["hot"][1]
+    assert len(ranges) <= len(want) + 16
+    assert {r["id"]: (r["state"], r["events"]) for r in got} == want
+    assert state.fold_runs(table.limit(0), "id", ["at", "no"], "event").count() == 0
+
+
+def test_fold_ties_and_numbers(spark):
+    """Events of one time are ordered by name, and NaN is one key, as when they were listed."""
+    rows = [(float("nan"), 1, "discover"), (float("nan"), 1, "capture"), (float("nan"), None, "cancel"), (0.5, 2, "fail"), (0.5, 1, "capture")]
+    got = {str(r["id"]): (r["state"], r["events"]) for r in state.fold_runs(spark.createDataFrame(rows, "id double, at int, event string"), "id", ["at"], "event").collect()}
+    assert got == {"nan": ("cancelled", 3), "0.5": ("failed", 2)}
+
+
 def test_steps_and_cascade(spark):
     events = spark.createDataFrame([("r", "s1", 1, "begin", None), ("r", "s1", 4, "finish", "succeeded"), ("r", "s1", 5, "finish", "failed"), ("r", "s2", 2, "begin", None), ("r", "s3", 2, "finish", "failed")], "run_id string, step_id string, at long, event string, outcome string")
     assert {r["step_id"]: r["state"] for r in state.step_fold(events).collect()} == {"s1": "succeeded", "s2": "running", "s3": "pending"}
