@@ -3,8 +3,7 @@
 A spot signature is a common word (the anchor) with the next content words after it. A text's fingerprint is the set of
 its spot signatures, as sorted 32-bit hashes in hex; two texts are as alike as the Jaccard similarity of their sets. For
 near-duplicate classes, sets are dealt into partitions by their length so that alike sets are in the same or the next
-one; within these, sets that share one of their rarest signatures are compared, and a comparison ends as soon as
-the lengths or the remaining signatures can't reach the threshold (pruned Jaccard).
+one; within these, sets that share one of their rarest signatures are compared, both whole: no comparison ends early.
 
 Rules: null counts as empty; the empty fingerprint belongs to texts without a word, and two of these are alike to 1.0; a
 text with words but no spot has one signature, of all its words. Equal texts have equal fingerprints. Texts are read
@@ -72,13 +71,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Pruned Jaccard: whether two fingerprints reach the threshold, by lengths before members."""
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    return likeness(a, b) >= threshold
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])

@@ -49,6 +49,11 @@ def test_fingerprints(docs, odd):
     assert spotsigs.to_string(spotsigs.spots("")) == "" != spotsigs.to_string(spotsigs.spots("zebra"))
 
 
+def test_spotsigs_claims():
+    """The module claims no pruned comparison and keeps none that nothing calls."""
+    assert "pruned" not in spotsigs.__doc__ and not hasattr(spotsigs, "alike")
+
+
 def test_spotsigs_classes(spark):
     rnd = random.Random(4)
     word = lambda: rnd.choice(["the", "of", "is", "a"]) if rnd.random() < 0.4 else "".join(rnd.choice("abcdefg") for _ in range(5))
