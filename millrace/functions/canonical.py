@@ -55,7 +55,12 @@ def fingerprint(df: DataFrame, header: Column, order: list[Column], body: Column
 
 
 def bulk_fingerprint(df: DataFrame, key: str, body: Column, buckets: int = 4096) -> DataFrame:
-    """A fingerprint of a table of any size: the digest of the digests of its key's hash buckets."""
-    parts = df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("b"), F.col(key).alias("k"), digest(body).alias("d"))
-    each = parts.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("k").cast("string"), F.lit(":"), "d"))), ","), 256).alias("d"))
+    """A fingerprint of a table of any size: the digest of the digests of its distinct rows' hash buckets.
+
+    A row is its key and body, either of which may be null; repeats are counted before a bucket is listed. The number of
+    buckets is part of the value.
+    """
+    rows = df.select(digest(F.concat(nullable("key", F.col(key).cast("string")), F.coalesce(F.concat(field("present"), body), field("absent")))).alias("d"))
+    parts = rows.groupBy("d").agg(F.count("*").alias("n")).withColumn("b", F.pmod(F.xxhash64("d"), F.lit(buckets)))
+    each = parts.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("d", F.lit(":"), F.col("n").cast("string")))), ","), 256).alias("d"))
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda r: r["d"]), ""), 256).alias("fingerprint"))

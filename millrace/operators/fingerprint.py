@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.canonical import boolean, field, fingerprint, nullable, record, utf16
+from millrace.operators.classify import multiset_equal
 
 
 def target_set_token(targets: DataFrame, path: str, query: str | None, unsupported: int) -> DataFrame:
@@ -50,8 +51,7 @@ def manifest_hash(entries: DataFrame, marker: str, path_key: str, target: str, t
 
 def changed_between(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """One row: whether two readings of the same facts differ."""
-    a, b = before.select(F.sort_array(F.collect_list(F.struct(*keys))).alias("a")), after.select(F.sort_array(F.collect_list(F.struct(*keys))).alias("b"))
-    return a.join(b).select((~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
+    return multiset_equal(before.select(*keys), after.select(*keys)).select((~F.col("equal")).alias("changed"))
 
 
 def identity_violations(manifests: DataFrame, runs: DataFrame, columns: list[str]) -> DataFrame:

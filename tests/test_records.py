@@ -162,6 +162,18 @@ def test_tokens_equal_hashlib(spark):
     assert one == bulk_fingerprint(entries.orderBy(F.desc("path")), "path", field(F.col("category"))).first()[0]
 
 
+def test_tables_compared_without_lists(spark):
+    rows = [("hot", None)] * 300 + [("hot", f"x{i}") for i in range(300)] + [(None, "y"), (None, None), ("k", "z")]
+    of = lambda rows: spark.createDataFrame(rows, "k string, v string")
+    changed = lambda a, b: fingerprint.changed_between(of(a), of(b), ["k", "v"])
+    assert "collect_list" not in changed(rows, rows)._jdf.queryExecution().optimizedPlan().toString()
+    mark = lambda rows: bulk_fingerprint(of(rows), "k", field(F.col("v"))).first()[0]
+    same = mark(rows)
+    assert changed(rows, rows[::-1]).first()[0] is False and mark(rows[::-1]) == same
+    for other in (rows[1:], [*rows, ("hot", None)], [*rows[:-1], ("k", "y")], [r for r in rows if r != (None, "y")], [(None, "w") if r == (None, "y") else r for r in rows]):
+        assert changed(rows, other).first()[0] is True and mark(other) != same
+
+
 @pytest.mark.parametrize(("name", "good"), [("refs/heads/a", True), ("refs/heads/a/b", True), ("refs/remotes/x", False), ("refs/remotes/x/y", True), ("heads/a", False), ("refs/heads/a b", False), ("refs/heads/a\x7f", False), ("refs/heads/@{x", False), ("refs/heads/", False)])
 def test_target_refs(spark, name, good):
     assert spark.range(1).select(V.is_target_ref(F.lit(name))).first()[0] is good
