@@ -141,6 +141,14 @@ def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
     return classify.longest_prefix(pages, "url", hosts.union(roots).where("prefix <> ''").distinct()).select("page_id", "prefix")
 
 
+@query()
+def longest_prefix_all(spark: SparkSession, d: str) -> DataFrame:
+    """J5 with the prefixes of all pages; the tests hold it against brute force, as the SQL compares every page with every prefix."""
+    pages = load(spark, d, "pages").select("page_id", "url")
+    found = [pages.select(F.regexp_extract("url", p, 1).alias("prefix")) for p in ("^(https?://[^/]+)", "^(https?://[^/]+/[^/]+)/")]
+    return classify.longest_prefix(pages, "url", found[0].union(found[1]).where("prefix <> ''").distinct()).select("page_id", "prefix")
+
+
 @query("SELECT (SELECT count(*) FROM ((SELECT * FROM region EXCEPT ALL SELECT * FROM region) UNION ALL (SELECT * FROM region EXCEPT ALL SELECT * FROM region))) = 0 AS equal")
 def multiset_equal(spark: SparkSession, d: str) -> DataFrame:
     """A table and its reordered copy hold the same rows as often."""
@@ -148,6 +156,27 @@ def multiset_equal(spark: SparkSession, d: str) -> DataFrame:
     return classify.multiset_equal(region, region.orderBy(F.desc("r_name")))
 
 
+COPY_SQL = {
+    "reordered": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
+    "changed": "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey = (SELECT min(l_orderkey) FROM lineitem) AND l_linenumber = 1 THEN -1 ELSE l_quantity END FROM lineitem",
+    "repeated": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem UNION ALL (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY 1, 2, 3 LIMIT 1)",
+}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{k}' AS copy, (SELECT count(*) FROM (({COPY_SQL['reordered']} EXCEPT ALL ({c})) UNION ALL (({c}) EXCEPT ALL {COPY_SQL['reordered']}))) = 0 AS equal" for k, c in COPY_SQL.items()
+))
+def multiset_copies(spark: SparkSession, d: str) -> DataFrame:
+    """J6 on a large table: a reordered copy, one in which a row differs, and one in which a row is once more there."""
+    items = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    least = items.agg(F.min("l_orderkey").alias("least"))
+    hit = (F.col("l_orderkey") == F.col("least")) & (F.col("l_linenumber") == 1)
+    changed = items.join(F.broadcast(least)).select("l_orderkey", "l_linenumber", F.when(hit, F.lit(-1).cast(items.schema["l_quantity"].dataType)).otherwise(F.col("l_quantity")).alias("l_quantity"))
+    copies = {"reordered": items.repartition("l_quantity"), "changed": changed, "repeated": items.union(items.orderBy(*items.columns).limit(1))}
+    rows = [classify.multiset_equal(items, c).select(F.lit(k).alias("copy"), "equal") for k, c in copies.items()]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 @query("SELECT sha256(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     """A3: texts that occur more than once, by digest."""
@@ -172,6 +201,13 @@ def canonical_hash(spark: SparkSession, d: str) -> DataFrame:
     return C.fingerprint(load(spark, d, "nation"), C.field("v1"), [F.col("n_nationkey")], body, ["n_regionkey"])
 
 
+@query()
+def bulk_hash(spark: SparkSession, d: str) -> DataFrame:
+    """A7 for tables of any size: one fingerprint of all documents; the tests hold it against hashlib."""
+    body = C.record(C.nullable("text", F.col("text")), C.nullable("lang", F.col("lang")))
+    return C.bulk_fingerprint(load(spark, d, "documents"), "doc_id", body)
+
+
 LAST_SQL = "SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1"
 
 

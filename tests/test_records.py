@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from millrace.functions import validators as V
 from millrace.functions.canonical import bulk_fingerprint, field
 from millrace.operators import classify, fingerprint, lineage
+from millrace.plans import catalog
 from millrace.sources import records
+from millrace.sources.tables import load
 
 A, B, Z = "a" * 40, "b" * 40, "0" * 40
 
@@ -162,6 +166,26 @@ def test_tokens_equal_hashlib(spark):
     assert one == bulk_fingerprint(entries.orderBy(F.desc("path")), "path", field(F.col("category"))).first()[0]
 
 
+def test_bulk_hash_equals_hashlib(spark, sf):
+    table = load(spark, sf, "documents").select("doc_id", "text", "lang")
+    given = lambda mark, v: packed(mark, "absent") if v is None else packed(mark, "present", str(v))
+    counts = Counter(hashlib.sha256(given("key", r["doc_id"]) + packed("present") + given("text", r["text"]) + given("lang", r["lang"])).hexdigest() for r in table.collect())
+    placed = spark.createDataFrame([(d,) for d in counts], "d string").select("d", F.pmod(F.xxhash64("d"), F.lit(4096)).alias("b")).collect()
+    buckets = {}
+    for r in placed:
+        buckets.setdefault(r["b"], []).append(f"{r['d']}:{counts[r['d']]}")
+    each = "".join(hashlib.sha256(",".join(sorted(buckets[b])).encode()).hexdigest() for b in sorted(buckets))
+    assert catalog.QUERIES["bulk_hash"](spark, sf).first()[0] == hashlib.sha256(each.encode()).hexdigest()
+
+
+def test_longest_prefix_of_all_pages(spark, sf):
+    urls = {r["page_id"]: r["url"] for r in load(spark, sf, "pages").select("page_id", "url").collect()}
+    prefixes = {m.group() for u in urls.values() for p in (r"https?://[^/]+", r"https?://[^/]+/[^/]+(?=/)") if (m := re.match(p, u))}
+    cuts = lambda u: [u[:i] for i in range(len(u) - 1) if u[i] == "/" and u[:i] in prefixes]
+    got = {r["page_id"]: r["prefix"] for r in catalog.QUERIES["longest_prefix_all"](spark, sf).collect()}
+    assert got == {k: max(cuts(u), key=len, default=None) for k, u in urls.items()}
+
+
 def test_tables_compared_without_lists(spark):
     rows = [("hot", None)] * 300 + [("hot", f"x{i}") for i in range(300)] + [(None, "y"), (None, None), ("k", "z")]
     of = lambda rows: spark.createDataFrame(rows, "k string, v string")
