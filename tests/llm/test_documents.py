@@ -132,6 +132,14 @@ def test_line_dedup(spark):
     assert lines.deduplicate(table.limit(0)).count() == 0
 
 
+def test_line_dedup_shuffle_path(docs, odd, monkeypatch):
+    for table in (docs, odd):
+        before = sorted(map(repr, lines.deduplicate(table).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(lines, "BROADCAST_KEYS", -1)
+            assert sorted(map(repr, lines.deduplicate(table).collect())) == before
+
+
 def test_line_variants():
     rnd = random.Random(9)
     for _ in range(300):
