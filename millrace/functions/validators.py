@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,24 +60,64 @@ def file_type(c: Column) -> Column:
     return F.when(c.isin("100644", "100755"), "f").when(c == "120000", "l").when(c == "160000", "g").otherwise("")
 
 
-def both_present(source_mode: Column, target_mode: Column, source_oid: Column, target_oid: Column) -> Column:
-    """Both sides exist."""
-    return is_present_mode(source_mode) & is_present_mode(target_mode) & ~is_zero_oid(source_oid) & ~is_zero_oid(target_oid)
+class Side(NamedTuple):
+    """One side of a change: whether something is there, and whether mode and id agree on that."""
+
+    there: Column
+    sound: Column
+
+
+def side(mode: Column, oid: Column) -> Side:
+    """A side by its mode and object id: nothing has the mode and the id of nothing, a file has neither."""
+    return Side(~is_zero_oid(oid), is_mode(mode) & (is_absent_mode(mode) == is_zero_oid(oid)))
+
+
+#: git's change letters, from its documentation. For each letter: is there an old side, is there a new one,
+#: are both of one type, are both the same; None where the letter says nothing of it.
+DIFF_LETTERS = {
+    "A": (False, True, None, None),
+    "D": (True, False, None, None),
+    "M": (True, True, True, False),
+    "T": (True, True, False, None),
+    "R": (True, True, True, None),
+}
+INDEX_LETTERS = {
+    ".": (True, True, None, True),
+    "A": (False, True, None, None),
+    "D": (True, False, None, None),
+    "M": (True, True, True, False),
+    "T": (True, True, False, None),
+}
+WORKTREE_LETTERS = {
+    ".": (None, None, None, True),
+    "D": (True, False, None, None),
+    "M": (True, True, True, None),
+    "T": (True, True, False, None),
+}
+#: git's conflict letters, and which of the stages 1 (base), 2 (ours) and 3 (theirs) exist.
+CONFLICT_LETTERS = {
+    "DD": (True, False, False),
+    "AU": (False, True, False),
+    "UD": (True, True, False),
+    "UA": (False, False, True),
+    "DU": (True, False, True),
+    "AA": (False, True, True),
+    "UU": (True, True, True),
+}
+
+
+def obeys(letter: Column, rules: dict[str, tuple[bool | None, ...]], *facts: Column) -> Column:
+    """Whether the facts are those that a letter's rule asks for; false for a letter without a rule."""
+    asked = [F.create_map(*(F.lit(x) for k, rule in rules.items() for x in (k, rule[n])))[letter] for n in range(len(facts))]
+    met = [F.coalesce(want == fact, F.lit(True)) for want, fact in zip(asked, facts, strict=True)]
+    return reduce(and_, met, letter.isin(*rules))
 
 
 def transition_ok(status: Column, source_mode: Column, target_mode: Column, source_oid: Column, target_oid: Column) -> Column:
     """Whether modes and ids fit a change letter A, D, M, T or R."""
-    both = both_present(source_mode, target_mode, source_oid, target_oid)
-    alike = file_type(source_mode) == file_type(target_mode)
-    changed = (source_mode != target_mode) | (source_oid != target_oid)
-    return (
-        F.when(status == "A", is_absent_mode(source_mode) & is_zero_oid(source_oid) & is_present_mode(target_mode) & ~is_zero_oid(target_oid))
-        .when(status == "D", is_present_mode(source_mode) & ~is_zero_oid(source_oid) & is_absent_mode(target_mode) & is_zero_oid(target_oid))
-        .when(status == "M", both & alike & changed)
-        .when(status == "T", both & ~alike)
-        .when(status == "R", both & alike)
-        .otherwise(False)
-    )
+    old, new = side(source_mode, source_oid), side(target_mode, target_oid)
+    same = (source_mode == target_mode) & (source_oid == target_oid)
+    return old.sound & new.sound & obeys(status, DIFF_LETTERS, old.there, new.there, file_type(source_mode) == file_type(target_mode), same)
 
 
 def rename_score_ok(c: Column, padded: bool) -> Column:
@@ -84,42 +128,20 @@ def rename_score_ok(c: Column, padded: bool) -> Column:
 
 def index_state_ok(status: Column, head_mode: Column, index_mode: Column, head_oid: Column, index_oid: Column) -> Column:
     """Whether the index letter of a status entry fits its modes and ids."""
-    known = (is_absent_mode(head_mode) == is_zero_oid(head_oid)) & (is_absent_mode(index_mode) == is_zero_oid(index_oid))
-    before, after = ~is_absent_mode(head_mode), ~is_absent_mode(index_mode)
-    alike = file_type(head_mode) == file_type(index_mode)
-    equal = (head_mode == index_mode) & (head_oid == index_oid)
-    return known & (
-        F.when(status == "A", ~before & after)
-        .when(status == "D", before & ~after)
-        .when(status == ".", before & after & equal)
-        .when(status == "M", before & after & alike & ~equal)
-        .when(status == "T", before & after & ~alike)
-        .otherwise(False)
-    )
+    head, index = side(head_mode, head_oid), side(index_mode, index_oid)
+    same = (head_mode == index_mode) & (head_oid == index_oid)
+    return head.sound & index.sound & obeys(status, INDEX_LETTERS, head.there, index.there, file_type(head_mode) == file_type(index_mode), same)
 
 
 def worktree_mode_ok(status: Column, index_mode: Column, worktree_mode: Column) -> Column:
     """Whether the working-tree letter of a status entry fits its modes."""
-    before, after = ~is_absent_mode(index_mode), ~is_absent_mode(worktree_mode)
-    alike = file_type(index_mode) == file_type(worktree_mode)
-    return (
-        F.when(status == ".", index_mode == worktree_mode)
-        .when(status == "M", before & after & alike)
-        .when(status == "T", before & after & ~alike)
-        .when(status == "D", before & ~after)
-        .otherwise(False)
-    )
+    there = [~is_absent_mode(m) for m in (index_mode, worktree_mode)]
+    return obeys(status, WORKTREE_LETTERS, *there, file_type(index_mode) == file_type(worktree_mode), index_mode == worktree_mode)
 
 
 def unmerged_ok(status: Column, one: Column, two: Column, three: Column) -> Column:
     """Whether a conflict's letters fit the stages that exist."""
-    stages = F.concat(*(F.when(s, "1").otherwise("0") for s in (one, two, three)))
-    #: Stages by letters.
-    table = {"DD": "100", "AU": "010", "UD": "110", "UA": "001", "DU": "101", "AA": "011", "UU": "111"}
-    out = F.lit(False)
-    for letters, expected in table.items():
-        out = out | ((status == letters) & (stages == expected))
-    return out
+    return obeys(status, CONFLICT_LETTERS, one, two, three)
 
 
 def no_control(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.validators import checked_count
-from millrace.sources.tables import materialize
+from millrace.sources.tables import Workspace, materialize
 
 FLAGS = ("is_committed", "is_staged", "is_unstaged", "is_untracked", "is_conflicted")
 
@@ -19,23 +19,38 @@ def union_file_records(committed: DataFrame, working: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and root, the least node that it is connected to (G1); edges are a, b, nodes a column node.
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node and root, the least node that it is connected to (G1); edges are a, b, and further nodes a column node.
 
-    Rounds of least-neighbour labels with pointer jumping, so that chains shorten by half a round. Each round is written
-    to the shared folder, and the loop ends when no label moves.
+    Rounds of contraction: each node hooks to the neighbour of least rank, if that is below its own, follows that one's
+    hook, and gives way to it in all edges. Ranks are a fresh hash in each round, so that no order of the nodes makes
+    long chains of hooks, and about half of the nodes or more go each time: the rounds grow with the logarithm of the
+    nodes, on chains in any order too. What a round reads is written to the shared folder, and deleted after the next.
     """
-    both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "lineage-edges")
-    ends = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node")))
-    labels = materialize(nodes.select("node").union(ends).distinct().withColumn("root", F.col("node")), "lineage-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        moved = labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
-        hop = labels.select(F.col("node").alias("new"), F.col("root").alias("hop"))
-        fresh = materialize(moved.join(hop, "new", "left").select("node", "old", F.least("new", "hop").alias("root")), "lineage-labels")
-        labels = fresh.select("node", "root")
-        if fresh.where("old <> root").limit(1).count() == 0:
-            return labels
+    edges = edges.select("a", "b")
+    with Workspace(edges.sparkSession) as w:
+        tidy = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null")
+        label = w.table((ends if nodes is None else ends.union(nodes.select("node"))).distinct().withColumn("root", F.col("node")), "nodes")
+        left, hooks = w.table(tidy(edges), "edges"), []
+        while left.limit(1).count():
+            rank = lambda c, n=len(hooks): F.struct(F.xxhash64(F.lit(n), c), F.col(c))
+            both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+            least = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
+            up = w.table(least.select(F.col("a").alias("node"), F.when(F.col("m") < rank("a"), F.col("m.b")).otherwise(F.col("a")).alias("up")), "hooks")
+            after = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            hop = lambda df, after=after: df.join(after, "up").select("node", F.col("next").alias("up"))
+            hook = w.table(hop(hop(up)), "hooks")
+            moved = [hook.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in ("a", "b")]
+            rest = w.table(tidy(left.join(moved[0], "a").join(moved[1], "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))), "edges")
+            w.drop(left, up)
+            left = rest
+            hooks.append(hook)
+        for hook in hooks:
+            label = label.join(hook.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        label = w.table(label, "labels")
+        least = label.groupBy("root").agg(F.min("node").alias("least"))
+        return materialize(label.join(least, "root").select("node", F.col("least").alias("root")), "components")
 
 
 def lineages(records: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def status_records(outputs: DataFrame) -> DataFrame:
         & (link == V.is_gitlink(at(5))) & V.index_state_ok(x, at(4), at(5), at(7), at(8)) & V.worktree_mode_ok(y, at(5), at(6))
     )
     renamed = (
-        at(2).rlike(r"\AR[.MDT]\z") & sub_ok & V.both_present(at(4), at(5), at(7), at(8)) & V.is_mode(at(6)) & V.same_width(at(7), at(8)) & (V.file_type(at(4)) == V.file_type(at(5)))
+        at(2).rlike(r"\AR[.MDT]\z") & sub_ok & V.transition_ok(F.lit("R"), at(4), at(5), at(7), at(8)) & V.is_mode(at(6)) & V.same_width(at(7), at(8))
         & V.rename_score_ok(at(9), False) & (link == V.is_gitlink(at(5))) & V.worktree_mode_ok(y, at(5), at(6))
     )
     exists = lambda m: ~V.is_absent_mode(m)

@@ -15,13 +15,19 @@ _own: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, unless they are known to have it on their path."""
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    root, application = os.path.dirname(package), spark.sparkContext.applicationId
-    if application in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    """Send this package to the executors, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
         return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     _shipped.add(application)
-    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "millrace"), "zip", root, os.path.basename(package)))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "millrace"), "zip", os.path.dirname(package), os.path.basename(package)))
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, which then share every folder."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +37,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one of a local session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own:  # a running session's setting can't be changed
         _own[application] = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
@@ -42,10 +50,54 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[application]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends at files that no executor owns."""
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system and path object of a path in the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _write(df: DataFrame, label: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     ship_package(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends at files that no executor owns.
+
+    The files stay until the application ends. A step's own tables belong in a ``Workspace``.
+    """
+    return _write(df, label)[1]
+
+
+class Workspace:
+    """The tables of an operator's steps, written to the shared folder and deleted when the block ends.
+
+    What the block returns must be written before: ``materialize`` gives a table that outlives the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[str, DataFrame]] = []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(df for _, df in self.paths))
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and read it back."""
+        self.paths.append(_write(df, label))
+        return self.paths[-1][1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for path, df in [x for x in self.paths if any(x[1] is t for t in tables)]:
+            system, where = _file_system(self.spark, path)
+            system.delete(where, True)
+            self.paths = [x for x in self.paths if x[1] is not df]

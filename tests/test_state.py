@@ -167,3 +167,29 @@ def test_line_limits(spark, tmp_path):
     assert sorted(r["too_large"] for r in records.request_lines(frame).collect()) == [False, True]
     records.write_ndjson(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "o"))
     assert json.loads(spark.read.text(str(tmp_path / "o")).first()[0]) == {"a": 1, "b": None}
+
+
+def test_components_of_a_long_chain(spark, tmp_path):
+    """Rounds stay few on a chain in random order, and the shared folder keeps only the result."""
+    import random
+
+    from millrace.operators import lineage
+    from millrace.sources import tables
+
+    order = list(range(2000))
+    random.Random(5).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])) + [(3000, 3001), (3001, 3001), (None, 3002)], "a long, b long")
+    written, write = [], tables._write
+    tables._write = lambda df, label: written.append(label) or write(df, label)
+    try:
+        found = lineage.components(links, spark.createDataFrame([(5000,)], "node long"))
+    finally:
+        tables._write = write
+    got = {r["node"]: r["root"] for r in found.collect()}
+    assert got == {i: 0 for i in range(2000)} | {3000: 3000, 3001: 3000, 3002: 3002, 5000: 5000}
+    assert written.count("edges") <= 16  # a round more than the logarithm of the nodes, and a few
+    folder = tables.shared_dir(spark).removeprefix("file://")
+    import os
+
+    left = [f for f in os.listdir(folder) if f.split("-")[0] in ("edges", "hooks", "nodes", "labels")]
+    assert left == []
