@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common, linking
+from millrace.sources.tables import Workspace, materialize
 
 #: Anchors, the commonest function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -88,20 +89,23 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Equal fingerprints are one item. An item's keys are its rarest signatures, as many as two sets of this length may
     differ in and one more, with the number of its length partition and of the one before.
     """
-    prints = fingerprints(docs).withColumn("id", F.xxhash64("fingerprint"))
-    items = prints.groupBy("id").agg(F.first("fingerprint").alias("text")).withColumn("size", F.length("text") / 8)
-    marks = items.where("size > 0").select("id", "size", F.explode(F.expr("regexp_extract_all(text, '([0-9a-f]{8})')")).alias("mark"))
-    often = marks.groupBy("mark").agg(F.count("*").alias("n"))
-    rare = F.array_sort(F.collect_list(F.struct("n", "mark")))  # as long as one text's set
-    ranked = marks.join(often, "mark").groupBy("id", "size").agg(rare.alias("marks"))
-    kept = F.slice("marks", 1, (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).cast("int"))
-    part = F.floor(F.log("size") / -np.log(threshold))
-    keys = ranked.select("id", "size", part.alias("p"), F.explode(kept).alias("k"))
-    keys = keys.select("id", "size", F.explode(F.array("p", F.col("p") + 1)).alias("p"), "k").select(F.xxhash64("p", "k.mark").alias("key"), "id", "size")
-    roots = linking.classes(keys, items, lambda x: from_string(x).astype(np.uint64), threshold)
-    placed = prints.select("doc_id", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(least, "root").select("doc_id", "class_id")
+    with Workspace(docs.sparkSession) as w:
+        prints = w.table(fingerprints(docs).withColumn("digest", F.unhex(F.sha2("fingerprint", 256))), "op1-fingerprints")
+        once = prints.groupBy("digest").agg(F.first("fingerprint").alias("text"))
+        sets = w.table(once.withColumn("size", F.length("text") / 8).withColumn("id", F.monotonically_increasing_id()), "op1-sets")
+        marks = sets.select("id", "size", F.explode(F.expr("regexp_extract_all(text, '([0-9a-f]{8})')")).alias("mark"))
+        often = marks.groupBy("mark").agg(F.count("*").alias("n"))
+        rare = F.array_sort(F.collect_list(F.struct("n", "mark")))  # as long as one text's set
+        ranked = marks.join(often, "mark").groupBy("id", "size").agg(rare.alias("marks"))
+        kept = F.slice("marks", 1, (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).cast("int"))
+        part = F.floor(F.log("size") / -np.log(threshold))
+        keys = F.flatten(F.transform(kept, lambda k: F.array(F.xxhash64(part, k["mark"]), F.xxhash64(part + 1, k["mark"]))))
+        items = w.table(ranked.select("id", "size", keys.alias("keys")).join(sets.select("id", "digest"), "id"), "op1-keys")
+        roots = linking.classes(items, sets.select("digest", "text"), lambda x: from_string(x).astype(np.uint64), threshold)
+        numbered = prints.select("doc_id", "digest").join(sets.select("id", "digest"), "digest")
+        placed = w.table(numbered.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")), "op1-placed")
+        least = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+        return materialize(placed.join(least, "root").select("doc_id", "class_id"), "op1-classes")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
