@@ -1,4 +1,7 @@
-"""What several operators share: row access in Arrow tasks, ordered blocks of documents, shingles."""
+"""What several operators share: row access in Arrow tasks, ordered blocks of documents, shingles.
+
+In all operators doc_id is a 64-bit integer.
+"""
 
 from __future__ import annotations
 
@@ -27,9 +30,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def id_type(df: DataFrame, name: str = "doc_id") -> str:
-    """The SQL type of a column, for the schema of a mapInArrow."""
-    return df.schema[name].dataType.simpleString()
+def fresh(names: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has that name."""
+    while name in names:
+        name = f"_{name}"
+    return name
 
 
 def to_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -89,7 +94,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a number of entries."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -2,36 +2,38 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum, over all
 ways to cut it into pieces, of the product of the pieces' probabilities; the forward algorithm adds these up place by
-place. A text's score in a language is the sum of its words' log probabilities. The probabilities come from expectation
+place, in running scale for long words. A text's score in a language is the sum of its words' log probabilities. The probabilities come from expectation
 maximisation over all segmentations (forward and backward sums), on a bounded sample of labelled documents: at most
 TRAIN_DOCS of each language, dealt by a hash of doc_id.
 
 Rules: a null text, or one without a letter, is ``und`` with score 0; texts are read whole, in lower case; a letter that
-no piece has costs the same in all languages; ties go to the first language by name; rows are independent; without any
-labelled document every row is ``und``; an empty table gives an empty table; further columns are ignored. A null doc_id
+no piece has costs the same in all languages; ties go to the first language by name; rows are independent; the
+model of no labelled document is empty, and to it every row is ``und``; an empty table gives an empty table; further columns are ignored. A null doc_id
 is not held out and not learned from.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
+from millrace.sources.tables import Workspace
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 TRAIN_DOCS = 2000
 ROUNDS = 2
 FLOOR = 1e-7
-#: Letters of a word that are summed at once; a longer word counts as words of this length.
-LONGEST = 40
-KEPT_WORDS = 400_000
+#: Letters from which a word is summed in running scale, and isn't kept.
+LONG = 40
+#: Words kept between texts, in each of two generations.
+KEPT_WORDS = 150_000
 NONE, UNKNOWN = 0, 1
 
 
@@ -42,7 +44,7 @@ def pieces(path: str) -> tuple[dict[str, int], int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    kept = sorted(p for p in found if p == p.lower() and re.fullmatch(r"▁?[^\W\d_]*", p) and p)
+    kept = sorted(p for p in found if p == p.lower() and regex.fullmatch(r"▁?\p{L}*", p) and p)
     return {p: i + 2 for i, p in enumerate(kept)}, max(map(len, kept))
 
 
@@ -59,11 +61,14 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    """A text's words as the model reads them."""
-    found = LETTERS.findall(text.lower())
-    if len(max(found, key=len, default="")) <= LONGEST:
-        return found
-    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    """A text's words as the model reads them: runs of letters."""
+    return LETTERS.findall(text.lower())
+
+
+def parts_of(text: str) -> list[str]:
+    """A text's words for learning: those of LONG letters or more, as in scripts without spaces, in parts."""
+    words, size = words_of(text), LONG - 1
+    return words if all(len(w) <= size for w in words) else [w[i : i + size] for w in words for i in range(0, len(w), size)]
 
 
 def lattices(words: list[str], vocabulary: dict[str, int], longest: int):
@@ -94,16 +99,40 @@ def forward(grid: dict, n: int, probability: np.ndarray) -> list[np.ndarray]:
     return sums
 
 
+def score_long(word: str, vocabulary: dict[str, int], longest: int, probability: np.ndarray) -> np.ndarray:
+    """Log probabilities (languages) of a word of any length: as ``forward``, but only the last places are kept, and rescaled as they get small."""
+    marked, width = "▁" + word, longest + 1
+    ring, scale = np.zeros((width, probability.shape[1])), np.zeros(probability.shape[1])
+    ring[0] = 1
+    for start in range(len(marked)):
+        here = ring[start % width].copy()
+        ring[start % width] = 0
+        for size in range(1, min(longest, len(marked) - start) + 1):
+            piece = vocabulary.get(marked[start : start + size], UNKNOWN if size == 1 else NONE)
+            if piece:
+                ring[(start + size) % width] += here * probability[piece]
+        if start % 16 == 15:
+            top = ring.max(axis=0)
+            ring /= top
+            scale += np.log(top)
+    return np.log(ring[len(marked) % width]) + scale
+
+
 def score_words(words: list[str], path: str, probability: np.ndarray) -> np.ndarray:
     """Log probabilities (words, languages)."""
     out = np.empty((len(words), probability.shape[1]))
-    for rows, n, grid in lattices(words, *pieces(path)):
-        out[rows] = np.log(np.maximum(forward(grid, n, probability)[n], 1e-300))
+    vocabulary, longest = pieces(path)
+    short = [i for i, w in enumerate(words) if len(w) < LONG]
+    for rows, n, grid in lattices([words[i] for i in short], vocabulary, longest):
+        out[np.array(short)[rows]] = np.log(forward(grid, n, probability)[n])
+    for i, w in enumerate(words):
+        if len(w) >= LONG:
+            out[i] = score_long(w, vocabulary, longest, probability)
     return out
 
 
 def expected_counts(words: Counter, path: str, probability: np.ndarray, language: int) -> np.ndarray:
-    """How often each piece is used, over all segmentations of the counted words under one language's probabilities."""
+    """How often each piece is used, over all segmentations of the counted words (of less than LONG letters) under one language's probabilities."""
     listed = list(words)
     times = np.array([words[w] for w in listed], float)
     p = probability[:, [language]]
@@ -125,27 +154,41 @@ class Model:
 
     def __init__(self, languages: list[str], probability: np.ndarray, path: str):
         self.languages, self.probability, self.path = languages, probability, path
-        self.place: dict[str, int] = {}
-        self.scores = np.empty((0, len(languages)))
+        self.young: tuple[dict[str, int], np.ndarray] = ({}, np.empty((0, len(languages))))
+        self.old = self.young
 
     def __reduce__(self):
         return Model, (self.languages, self.probability, self.path)
 
+    def placed(self, words: set[str]) -> tuple[dict[str, int], np.ndarray]:
+        """Where the words' scores are; a full generation becomes the old one, from which words that are met again come back."""
+        if len(self.young[0]) > KEPT_WORDS:
+            self.old, self.young = self.young, ({}, self.old[1][:0])
+        place, scores = self.young
+        missing = words.difference(place)
+        again = [w for w in missing if w in self.old[0]]
+        fresh = list(missing.difference(again))
+        if missing:
+            found = [scores, self.old[1][[self.old[0][w] for w in again]], score_words(fresh, self.path, self.probability)]
+            place.update(zip([*again, *fresh], range(len(place), len(place) + len(missing)), strict=True))
+            self.young = place, np.concatenate(found)
+        return self.young
+
     def read(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and score of each text; a word's sums are kept for the texts that follow."""
         listed = [words_of(t) for t in texts]
-        if len(self.place) > KEPT_WORDS:
-            self.place, self.scores = {}, self.scores[:0]
-        fresh = list(set().union(*listed).difference(self.place)) if listed else []
-        if fresh:
-            self.scores = np.concatenate([self.scores, score_words(fresh, self.path, self.probability)])
-            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+        short = set().union(*listed)
+        long_ = {w: score_words([w], self.path, self.probability)[0] for w in short if len(w) >= LONG} if self.languages else {}
+        place, scores = self.placed(short.difference(long_)) if self.languages else ({}, None)
         out = []
         for words in listed:
             if not words or not self.languages:
                 out.append(("und", 0.0))
                 continue
-            total = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            kept = [w for w in words if w not in long_] if long_ else words
+            total = scores[np.fromiter(map(place.__getitem__, kept), np.int64, len(kept))].sum(axis=0)
+            if long_:
+                total = total + sum(long_[w] for w in words if w in long_)
             best = int(total.argmax())
             out.append((self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())))
         return out
@@ -163,7 +206,14 @@ def train(docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS
     if not languages:
         return Model([], probability, path)
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, train_docs / counts[k]))))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    with Workspace(docs.sparkSession) as w:
+        sample = w.table(chosen.select("lang", "text"), "op9-sample")  # read again in each round
+        return Model(languages, learn(sample, languages, probability, path), path)
+
+
+def learn(sample: DataFrame, languages: list[str], probability: np.ndarray, path: str) -> np.ndarray:
+    """The pieces' probabilities after ROUNDS of expectation maximisation over (lang, text)."""
     schema = pa.schema([("language", pa.int32()), ("piece", pa.int32()), ("n", pa.float64())])
     for _ in range(ROUNDS):
         known = probability
@@ -172,7 +222,7 @@ def train(docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS
             seen: dict[int, Counter] = defaultdict(Counter)
             for b in common.slices(batches):
                 for lang, text in zip(b.column("lang").to_pylist(), common.texts_of(b), strict=True):
-                    seen[languages.index(lang)].update(words_of(text))
+                    seen[languages.index(lang)].update(parts_of(text))
             for k, words in seen.items():
                 found = expected_counts(words, path, known, k)
                 used = np.flatnonzero(found)
@@ -186,7 +236,7 @@ def train(docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS
         total[2:] += 0.02
         probability = total / total.sum(axis=0)
         probability[UNKNOWN] = FLOOR
-    return Model(languages, probability, path)
+    return probability
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 2: line dedup by a deletion-neighbourhood join.
 
 A line goes if an earlier one, by doc_id and place, is equal to it or within one edit of it (a character put in, left out
-or replaced), whether or not the earlier line itself stays. Equal lines meet by their hash. For the others, a line's
+or replaced), whether or not the earlier line itself stays. Equal lines meet by their SHA-256. For the others, a line's
 variants are the line with one character left out. Two lines of one length are within one edit if they share a variant
 made at the same place; a line and one that is a character shorter are if the shorter is a variant of the longer. So
 each key's group needs only its earliest line, not its pairs, and what the hashes claim is verified on the lines.
@@ -10,21 +10,23 @@ Long lines have as many variants as characters, so variants are made only where
 agree in their first or in their last half. Lines that share neither half with another line make no variants, and the
 others only in the half that differs.
 
+64-bit hashes only find candidates, which are verified on the lines.
+
 Rules: null texts stay null; blank lines stay; lines shorter than LEAST characters only go if they equal an earlier
 line; lines and texts of any length are handled whole; a null doc_id counts as the least; rows that agree in doc_id and
 text count as one document and keep the same lines; a document keeps its row even if all its lines go; an empty table
-gives an empty table; all other columns stay as they are, but for n_chars, which follows the text.
+gives an empty table; all other columns, of any names, stay as they are, but for n_chars, which follows the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.sources.tables import materialize
+from millrace.sources.tables import Workspace, materialize
 
 LEAST = 8
 #: Keys that may be broadcast to find candidate lines; more are joined by a shuffle.
@@ -32,15 +34,25 @@ BROADCAST_KEYS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
+def row_key() -> Column:
+    """Two hashes of the text, which tell apart rows of one doc_id."""
+    return F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
+
+
+def line_hash(line: str) -> Column:
+    """What equal lines are known by; a cryptographic digest, as the later of two lines that agree in it goes unseen."""
+    return F.unhex(F.sha2(line, 256))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key of both."""
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").alias("rk"))
+    """doc_id, text and the key of the row among those of its doc_id."""
+    return docs.select("doc_id", "text", row_key().alias("rk"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """at (doc_id, rk, no), h and line of every line that isn't blank."""
     rows = docs.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.trim(F.translate("line", "\t\r", "  ")) != "")
-    return rows.select(F.struct("doc_id", "rk", "no").alias("at"), F.xxhash64("line").alias("h"), "line")
+    return rows.select(F.struct("doc_id", "rk", "no").alias("at"), line_hash("line").alias("h"), "line")
 
 
 def halves(lines: DataFrame) -> DataFrame:
@@ -90,92 +102,100 @@ def within_one(x: str, y: str) -> bool:
     return short[low:] == long_[low + 1 :] or short[low + 1 :] == long_[low + 1 :]
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """h, line and parts (which half keys another line shares) of the distinct lines that share a half with another line."""
+def candidates(lines: DataFrame, w: Workspace) -> DataFrame:
+    """c, h, line and parts (which half keys another line shares) of the distinct lines that share a half with another line; c is a number of its own."""
     cut = halves(lines)
-    met = cut.select("h", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    met = materialize(met, "op2-halves")
+    met = cut.select(F.xxhash64("h").alias("g"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
+    met = w.table(met, "op2-halves")
     if met.count() <= BROADCAST_KEYS:
         hit = cut.select("h", "line", F.posexplode("keys").alias("part", "key")).join(F.broadcast(met), "key", "left_semi")
         found = hit.groupBy("h").agg(F.first("line").alias("line"), F.collect_set("part").alias("parts"))
     else:
         hit = cut.select("h", F.posexplode("keys").alias("part", "key")).join(met, "key", "left_semi").groupBy("h").agg(F.collect_set("part").alias("parts"))
         found = lines.select("h", "line").join(hit, "h").groupBy("h").agg(F.first("line").alias("line"), F.first("parts").alias("parts"))
-    return materialize(found, "op2-candidates")
+    return w.table(found.withColumn("c", F.monotonically_increasing_id()), "op2-candidates")
 
 
 def variants(found: DataFrame) -> DataFrame:
-    """v, place and h: the variants of the candidates, and with place -1 the lines themselves."""
-    schema = pa.schema([("v", pa.int64()), ("place", pa.int32()), ("h", pa.int64())])
+    """v, place and c: the variants of the candidates, and with place -1 the lines themselves."""
+    schema = pa.schema([("v", pa.int64()), ("place", pa.int32()), ("c", pa.int64())])
 
     def run(batches):
         for b in common.slices(batches):
-            for h, line, parts in zip(b.column("h").to_pylist(), common.texts_of(b, "line"), b.column("parts").to_pylist(), strict=True):
+            for c, line, parts in zip(b.column("c").to_pylist(), common.texts_of(b, "line"), b.column("parts").to_pylist(), strict=True):
                 n, parts = len(line), set(parts)
                 if parts & {2, 3}:
-                    yield common.to_batch(schema, [[whole_hash(line)], [-1], [h]])
+                    yield common.to_batch(schema, [[whole_hash(line)], [-1], [c]])
                 # where the first half is shared, the edit is behind it, and the other way round
                 ahead = (n - 1) // 2
                 first, last = (0 if 1 in parts else ahead), (n if 0 in parts else ahead + 1)
                 if parts & {0, 1}:
                     made = variant_hashes(line, first, last).view(np.int64)
-                    yield common.to_batch(schema, [pa.array(made), pa.array(np.arange(first, last, dtype=np.int32)), pa.array(np.full(len(made), h))])
+                    yield common.to_batch(schema, [pa.array(made), pa.array(np.arange(first, last, dtype=np.int32)), pa.array(np.full(len(made), c))])
 
-    return found.mapInArrow(run, "v long, place int, h long")
+    return found.mapInArrow(run, "v long, place int, c long")
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, firsts: DataFrame, w: Workspace) -> DataFrame:
     """h of the lines that have an earlier line within one edit."""
-    found = candidates(lines)
-    order = materialize(firsts.select("h", "at").join(found.select("h"), "h", "left_semi"), "op2-order")
-    made = materialize(variants(found), "op2-variants")
+    found = candidates(lines, w)
+    order = w.table(firsts.select("h", "at").join(found.select("h", "c"), "h").select("c", "at"), "op2-order")
+    made = w.table(variants(found), "op2-variants")
     # one length: all lines of a variant and place are within one edit of each other, so the earliest removes the rest
     changed = made.where("place >= 0")
-    crowd = changed.groupBy("v", "place").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("v", "place")
-    met = materialize(changed.join(crowd, ["v", "place"]).join(order, "h"), "op2-met")
-    star = met.groupBy("v", "place").agg(F.min(F.struct("at", "h")).alias("first")).select("v", "place", F.col("first.h").alias("by"))
-    claims = met.join(star, ["v", "place"]).where(F.col("h") != F.col("by")).select("h", "by")
+    crowd = changed.groupBy("v", "place").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v", "place")
+    met = w.table(changed.join(crowd, ["v", "place"]).join(order, "c"), "op2-met")
+    star = met.groupBy("v", "place").agg(F.min(F.struct("at", "c")).alias("first")).select("v", "place", F.col("first.c").alias("by"))
+    claims = met.join(star, ["v", "place"]).where(F.col("c") != F.col("by")).select("c", "by")
     # one character more or less: of a variant and the line that equals it, the later goes
-    whole = made.where("place < 0").select("v", F.col("h").alias("w_h"))
-    longer = changed.select("v", "h").join(whole, "v").where(F.col("h") != F.col("w_h")).select("h", "w_h").distinct()
-    longer = longer.join(order, "h").join(order.select(F.col("h").alias("w_h"), F.col("at").alias("w_at")), "w_h")
+    whole = made.where("place < 0").select("v", F.col("c").alias("w_c"))
+    longer = changed.select("v", "c").join(whole, "v").where(F.col("c") != F.col("w_c")).select("c", "w_c").distinct()
+    longer = longer.join(order, "c").join(order.select(F.col("c").alias("w_c"), F.col("at").alias("w_at")), "w_c")
     later = F.col("at") > F.col("w_at")
-    claims = claims.union(longer.select(F.when(later, F.col("h")).otherwise(F.col("w_h")), F.when(later, F.col("w_h")).otherwise(F.col("h")))).distinct()
-    schema = pa.schema([("h", pa.int64())])
+    claims = claims.union(longer.select(F.when(later, F.col("c")).otherwise(F.col("w_c")), F.when(later, F.col("w_c")).otherwise(F.col("c")))).distinct()
+    schema = pa.schema([("c", pa.int64())])
 
     def check(batches):
         for b in common.slices(batches):
-            kept = [h for h, x, y in zip(b.column("h").to_pylist(), common.texts_of(b, "x"), common.texts_of(b, "y"), strict=True) if within_one(x, y)]
+            kept = [c for c, x, y in zip(b.column("c").to_pylist(), common.texts_of(b, "x"), common.texts_of(b, "y"), strict=True) if within_one(x, y)]
             yield common.to_batch(schema, [kept])
 
-    of = lambda key, text: found.select(F.col("h").alias(key), F.col("line").alias(text))
-    return claims.join(of("h", "x"), "h").join(of("by", "y"), "by").select("h", "x", "y").mapInArrow(check, "h long").distinct()
+    of = lambda key, text: found.select(F.col("c").alias(key), F.col("line").alias(text))
+    near = claims.join(of("c", "x"), "c").join(of("by", "y"), "by").select("c", "x", "y").mapInArrow(check, "c long").distinct()
+    return w.table(near.join(found.select("c", "h"), "c").select("h"), "op2-near")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """rk and the numbers of the lines that go, of each document with any; ``docs`` as ``keyed`` gives them."""
+    """doc_id, rk and the numbers of the lines that go, of each document with any; ``docs`` as ``keyed`` gives them."""
     lines = lines_of(docs)
-    firsts = materialize(lines.groupBy("h").agg(F.min("at").alias("at"), F.min("at") != F.max("at")).toDF("h", "at", "again"), "op2-firsts")
-    near = near_lines(lines, firsts).withColumn("near", F.lit(True))
-    gone = materialize(firsts.join(near, "h", "left").where("again or near").select("h", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "op2-gone")
-    hit = lines.select("h", "at").join(gone, "h").where(F.col("near") | (F.col("at") != F.col("first")))
-    return hit.groupBy(F.col("at.rk").alias("rk")).agg(F.collect_set("at.no").alias("gone"))  # one document's lines
+    with Workspace(docs.sparkSession) as w:
+        firsts = w.table(lines.groupBy("h").agg(F.min("at").alias("at"), F.min("at") != F.max("at")).toDF("h", "at", "again"), "op2-firsts")
+        near = near_lines(lines, firsts, w).withColumn("near", F.lit(True))
+        gone = firsts.join(near, "h", "left").where("again or near").select("h", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+        hit = lines.select("h", "at").join(gone, "h").where(F.col("near") | (F.col("at") != F.col("first")))
+        listed = hit.groupBy("at.doc_id", "at.rk").agg(F.collect_set("at.no").alias("gone"))  # one document's lines
+        return materialize(listed, "op2-removals")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that repeat earlier ones; its columns, and __lines and __gone, how many lines a text had and lost."""
+    """``docs`` without the lines that repeat earlier ones; its columns, and __lines and __gone, how many lines a text had and lost.
+
+    Where the table has columns of these names, the two get further underscores in front.
+    """
     names = docs.columns
+    lines_name, gone_name = common.fresh(names, "__lines"), common.fresh(names, "__gone")
     keys = removals(keyed(docs))
-    rk = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text")
-    joined = docs.withColumn("__rk", rk).join(keys.select(F.col("rk").alias("__rk"), F.col("gone").alias("__gone")), "__rk", "left").select(*names, "__gone")
-    schema = docs.select("*", F.lit(0).cast("long").alias("__lines"), F.lit(0).cast("long").alias("__gone")).schema
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_key().alias("rk"))
+    match = rows["id"].eqNullSafe(keys["doc_id"]) & (rows["rk"] == keys["rk"])
+    joined = rows.join(keys, match, "left").select("row.*", keys["gone"].alias(gone_name))
+    schema = docs.select("*", F.lit(0).cast("long").alias(lines_name), F.lit(0).cast("long").alias(gone_name)).schema
 
     def run(batches):
         for b in common.slices(batches):
             columns = {n: b.column(n) for n in names}
             texts, total, lost = b.column("text").to_pylist(), [], []
             sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
-            for i, gone in enumerate(b.column("__gone").to_pylist()):
+            for i, gone in enumerate(b.column(gone_name).to_pylist()):
                 parts = texts[i].split("\n") if texts[i] is not None else []
                 gone = set(gone or ())
                 total.append(len(parts))
@@ -187,7 +207,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             columns["text"] = pa.array(texts, b.column("text").type)
             if sizes:
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-            columns |= {"__lines": pa.array(total, pa.int64()), "__gone": pa.array(lost, pa.int64())}
+            columns |= {lines_name: pa.array(total, pa.int64()), gone_name: pa.array(lost, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return joined.mapInArrow(run, schema)

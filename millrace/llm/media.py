@@ -3,13 +3,15 @@
 A payload is cut where a rolling gear hash of its last 16 bytes has its low bits clear, so that equal passages give equal
 chunks wherever they stand. Spark joins on the chunks' digests find the chunks that occur more than once; the earliest
 document with such a chunk owns it. The store has one row for each document, a pack of the chunks that it owns, and the
-recipe: the ordered list of all its chunks' digests and lengths. Each chunk is in one pack only. Reading back puts a
-document together from its own pack and the shared chunks that it lacks, and checks every digest.
+recipe: the ordered list of all its chunks' digests and lengths. Each chunk is in the pack of one document only. Reading
+back puts a document together from its own pack and the shared chunks that it lacks, and checks every digest.
 
-The stored form of a document is its recipe, which its content alone decides: equal texts have equal stored forms.
+A document's media container, whose size and digest the query gives, is its recipe: the text's byte length and, in order,
+a reference (digest and length) to each chunk. Its content alone decides it, so equal texts have equal containers. The
+samples themselves are in the store's packs; a container without the store can be verified, but not played.
 
-Rules: null counts as empty, and an empty payload is padded to one unit; texts are stored whole; documents of one doc_id
-and text are one document to the store and each row is returned; an empty table gives an empty store and table;
+Rules: null counts as empty, and an empty payload is padded to one unit; texts are stored whole; rows of one
+doc_id and text are one document, of which each row has the same pack and is returned; an empty table gives an empty store and table;
 further columns are ignored.
 """
 
@@ -28,7 +30,7 @@ from millrace.sources.tables import materialize
 
 UNIT, PAD = 576, 255
 LEAST, MOST, MASK = 256, 4096, (1 << 10) - 1
-#: Rows and bytes of the list of repeated chunks that may be broadcast; a longer list is joined by a shuffle instead.
+#: Entries (at most about 60 bytes each) of the list of repeated chunks that may be broadcast; a longer list is joined by a shuffle.
 BROADCAST_ROWS = 400_000
 WINDOW = 16
 

@@ -221,7 +221,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of every rule replaced by ``mark`` (overlapping spans by one) and n_chars set anew."""
+    """``docs`` with every span of every rule replaced by ``mark`` (overlapping spans by one) and n_chars, if there is one, set anew."""
     names = docs.columns
 
     def run(batches):
@@ -237,9 +237,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
                         parts += [text[at:s], mark]
                     at = max(at, e)
                 out.append("".join([*parts, text[at:]]) if spans else text)
-            columns = {n: b.column(n) for n in names} | {"text": pa.array(out, pa.string())}
-            changed = [len(t) if t is not None and t is not old else n for t, old, n in zip(out, texts, b.column("n_chars").to_pylist(), strict=True)]
-            columns["n_chars"] = pa.array(changed, pa.int64())
+            columns = {n: b.column(n) for n in names} | {"text": pa.array(out, b.column("text").type)}
+            if "n_chars" in names:
+                changed = [len(t) if t is not None and t is not old else n for t, old, n in zip(out, texts, b.column("n_chars").to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(changed, b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,16 +23,22 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 
 
 class Pieces(dict):
-    """Packed ids by word piece; emptied at ``limit`` entries, long pieces are not kept."""
+    """Packed ids by word piece, in two generations: a full one becomes the old one, from which what is asked for again comes back.
+
+    At most twice ``limit`` entries are kept, and none of a long piece.
+    """
 
     def __init__(self, encode: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        value = self.encode(piece)
+        value = self.old.get(piece)
+        if value is None:
+            value = self.encode(piece)
         if len(piece) <= 48:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[piece] = value
         return value
@@ -42,9 +48,9 @@ class Encoder:
     """Little-endian unsigned 32-bit ids of texts; ``encode_piece`` gives the ids of one word piece."""
 
     def __init__(self, encode_piece: Callable[[str], bytes], specials: dict[str, int]):
-        self.pieces = Pieces(encode_piece, 700_000)
+        self.pieces = Pieces(encode_piece, 200_000)
         piece, split = self.pieces.__getitem__, PIECE.findall
-        self.units = Pieces(lambda unit: b"".join(map(piece, split(unit))), 500_000)
+        self.units = Pieces(lambda unit: b"".join(map(piece, split(unit))), 150_000)
         self.specials = {k: np.array([v], "<u4").tobytes() for k, v in specials.items()}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
 

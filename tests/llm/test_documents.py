@@ -1,6 +1,7 @@
 """Operators 1, 2, 3, 5, 6 and 9 against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -8,7 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from millrace.llm import bagminhash, common, langid, lines, linking, media, spotsigs, toxicity
+from millrace.llm import bagminhash, common, langid, lines, linking, media, secrets, spotsigs, toxicity
+from millrace.sources import tables
 from millrace.sources.tables import load
 
 ODD = [
@@ -252,6 +254,105 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(langid.score_words([word], path, probability)[0], np.log(total("▁" + word)))
 
 
+def test_long_words_sum_all_segmentations():
+    """In running scale a long word has the same sum, and one of many thousand letters a finite one."""
+    probability = np.random.default_rng(2).random((40_000, 3)) / 1000
+    probability[langid.NONE], probability[langid.UNKNOWN] = 0, 1e-7
+    path = langid.default_path()
+    for word in ("internationalisation" * 3, "\u4e2d\u6587" * 30, "x" * 39, "the" * 13):
+        whole = langid.score_long(word, *langid.pieces(path), probability)
+        marked, (vocabulary, longest) = "\u2581" + word, langid.pieces(path)
+        places = [np.zeros(3)] + [np.full(3, -np.inf) for _ in marked]
+        for i in range(len(marked)):
+            for n in range(1, min(longest, len(marked) - i) + 1):
+                k = vocabulary.get(marked[i : i + n], langid.UNKNOWN if n == 1 else langid.NONE)
+                if k:
+                    places[i + n] = np.logaddexp(places[i + n], places[i] + np.log(probability[k]))
+        assert np.allclose(whole, places[-1])
+    assert np.isfinite(langid.score_words(["y" * 20_000], path, probability)).all()
+
+
+def test_expected_counts():
+    """Each piece's expected use equals the sum over all segmentations, weighted by their probability."""
+    probability = np.random.default_rng(4).random((40_000, 1)) / 100
+    probability[langid.NONE] = 0
+    path = langid.default_path()
+    vocabulary, _ = langid.pieces(path)
+
+    def segmentations(rest):
+        if not rest:
+            yield ()
+        for n in range(1, len(rest) + 1):
+            k = vocabulary.get(rest[:n], langid.UNKNOWN if n == 1 else langid.NONE)
+            if k:
+                yield from ((k, *more) for more in segmentations(rest[n:]))
+
+    words = Counter({"the": 3, "nation": 2, "\u00e6x": 1})
+    want = np.zeros(len(probability))
+    for word, times in words.items():
+        found = list(segmentations("\u2581" + word))
+        weights = np.array([np.prod([probability[k, 0] for k in f]) for f in found])
+        for f, share in zip(found, weights / weights.sum(), strict=True):
+            for k in f:
+                want[k] += times * share
+    assert np.allclose(langid.expected_counts(words, path, probability, 0), want)
+
+
+def test_letters():
+    """Numerals that are no letters make no word."""
+    model = langid.Model(["en", "es"], np.full((40_000, 2), 1e-4), langid.default_path())
+    assert [x[0] for x in model.read(["\u00bd \u00b2 \u2167 12", "", "_", "a\u00bdb"])] == ["und", "und", "und", "en"]
+
+
+def test_kept_words_do_not_change_results(monkeypatch):
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 5))) for _ in range(20)) for _ in range(50)]
+    probability = np.random.default_rng(5).random((40_000, 2)) / 1000
+    probability[langid.NONE] = 0
+    fresh = [langid.Model(["a", "b"], probability, langid.default_path()).read([t])[0] for t in texts]
+    monkeypatch.setattr(langid, "KEPT_WORDS", 30)
+    model = langid.Model(["a", "b"], probability, langid.default_path())
+    got = [x for i in range(0, 50, 3) for x in model.read(texts[i : i + 3])]
+    assert [g[0] for g in got] == [f[0] for f in fresh] and np.allclose([g[1] for g in got], [f[1] for f in fresh])
+
+
+def test_clashing_columns(spark, docs):
+    """Columns may have the names that the operators use inside."""
+    few = docs.limit(20).selectExpr("*", "1 as __rk", "2 as __gone", "3 as __lines", "4 as digest", "5 as row", "6 as id", "7 as rk")
+    kept = bagminhash.deduplicate(few)
+    assert kept.columns == few.columns and kept.count() > 0
+    cleaned = lines.deduplicate(few)
+    assert cleaned.columns == [*few.columns, "___lines", "___gone"] and cleaned.count() == 20
+    assert cleaned.select("__gone", "rk").distinct().collect() == [(2, 7)]
+    bare = docs.select("text")
+    assert secrets.redact(bare).columns == ["text"] and secrets.redact(bare).count() == docs.count()
+
+
+def test_steps_leave_no_tables(spark, docs):
+    """What the steps write is gone when an operator returns; its result stays."""
+    folder = tables.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    bagminhash.classes(docs)
+    lines.deduplicate(docs)
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before} <= {"classes", "components", "linked", "op2-removals"}
+
+
+def test_central_hub_links_a_wide_group(spark):
+    """Copies of one text that differ from each other by more than from it are one class."""
+    rnd = random.Random(21)
+    base = ["w%d" % rnd.randrange(10**6) for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        copy = list(base)
+        for at in rnd.sample(range(300), 4):
+            copy[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    bags = [bagminhash.bag(t) for _, t in rows]
+    assert min(bagminhash.overlap(bags[0], b) for b in bags) >= 0.8 > min(bagminhash.overlap(x, y) for x in bags for y in bags)
+    got = bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["class_id"] for r in got.collect()} == {0}
+
+
 def test_toxicity(spark, odd):
     lexicon = toxicity.train(*(load(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels")))
     plain, bad = lexicon.score("The weather of the day is fine."), lexicon.score("You are a stupid idiot and a moron.")
