@@ -99,9 +99,10 @@ def run_facts(runs: DataFrame) -> DataFrame:
     """Up to two facts of each captured run: its changed files, and its excluded uncommitted work where there is any."""
     detail = nonzero_clauses({k: F.col(f"excluded_{k}_count") for k in ("staged", "unstaged", "untracked", "conflicted")})
     fact = lambda kind, n, d: F.struct(F.lit(kind).alias("kind"), n.alias("count"), d.alias("detail"))
-    both = F.array(fact("changedFiles", F.col("captured_changed_file_count"), F.lit(None).cast("string")), fact("excludedUncommittedWork", F.col("excluded_uncommitted_total"), detail))
-    kept = F.filter(both, lambda f: (f["kind"] == "changedFiles") | (f["count"] > 0))
-    return runs.select("run_id", F.when(F.col("captured_at_unix_ms").isNotNull(), kept).otherwise(F.array().cast("array<struct<kind:string,count:int,detail:string>>")).alias("facts"))
+    both = F.array(fact("changedFilesCaptured", F.col("captured_changed_file_count"), F.lit(None).cast("string")), fact("excludedUncommittedFiles", F.col("excluded_uncommitted_total"), detail))
+    kept = F.filter(both, lambda f: (f["kind"] == "changedFilesCaptured") | (f["count"] > 0))
+    captured = F.col("captured_at_unix_ms").isNotNull() & F.col("captured_changed_file_count").isNotNull()
+    return runs.select("run_id", F.when(captured, kept).otherwise(F.array().cast("array<struct<kind:string,count:int,detail:string>>")).alias("facts"))
 
 
 def freshness(token: Column, given: Column) -> Column:
@@ -126,6 +127,16 @@ def classify_diagnostic(text: Column, remote: bool = False) -> Column:
     return out.otherwise("remoteUnreachable" if remote else "inspectionFailed")
 
 
+def merge_base_state(bases: Column) -> Column:
+    """unrelated without a merge base, ambiguous with several, single with one."""
+    return F.when(bases == 0, "unrelated").when(bases == 1, "single").otherwise("ambiguous")
+
+
+def epoch_ms(c: Column) -> Column:
+    """A point in time as milliseconds since 1970."""
+    return F.unix_millis(c)
+
+
 def stage_progress(stage: Column, current: Column) -> Column:
     """complete, active or pending of a stage against the current one."""
     order = F.array(*map(F.lit, STAGES))
@@ -151,14 +162,15 @@ def excluded(rows: DataFrame, banned: DataFrame, key: str) -> DataFrame:
 def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, separator: str = "/") -> DataFrame:
     """Each row with the longest prefix that a separator and something more follow; null without one.
 
-    Every beginning of the text that ends before a separator is a key, so this is an equi-join, not a scan of all prefixes.
+    Every beginning of the text that ends before a separator is a key, so this is an equi-join, not a scan of all
+    prefixes. Equal rows each keep their row. The rows' own columns may not be named prefix.
     """
     parts = F.split(F.col(text), F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1)
     beginnings = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), separator))
-    cut = rows.withColumn("prefix", F.explode_outer(F.when(F.size(parts) > 1, F.filter(beginnings, lambda b: F.length(F.col(text)) > F.length(b) + len(separator)))))
+    cut = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("prefix", F.explode_outer(F.when(F.size(parts) > 1, F.filter(beginnings, lambda b: F.length(F.col(text)) > F.length(b) + len(separator)))))
     hit = cut.join(prefixes.select("prefix", F.lit(True).alias("__hit")).distinct(), "prefix", "left")
     best = F.max_by(F.when(F.col("__hit"), F.col("prefix")), F.when(F.col("__hit"), F.length("prefix")))
-    return hit.groupBy(*rows.columns).agg(best.alias("prefix"))
+    return hit.groupBy("__row", *rows.columns).agg(best.alias("prefix")).drop("__row")
 
 
 def multiset_equal(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,15 +10,27 @@ from millrace.functions.validators import non_blank
 #: Fixed values.
 VERSION = 1
 ENVELOPE = ("protocolVersion", "requestId", "action", "parameters")
+#: The text members of each action's parameters; those with a question mark may be null or left out.
 ACTIONS = {
-    "engine.checkStatus": None, "repositories.open": "path string", "repositories.restoreLast": None, "repositories.listRecent": None,
-    "repositories.removeRecent": "repositoryId string", "comparisons.listTargets": "path string, query string, after string, targetSetToken string",
-    "comparisons.prepare": "path string, target string", "comparisons.checkFreshness": "path string, target string, freshnessToken string",
-    "comparisons.checkRemoteBaseline": "path string, target string", "comparisons.refreshRemoteBaseline": "path string, target string",
-    "preferences.getColorTheme": None, "preferences.setColorTheme": "colorTheme string",
-    "analysis.start": "path string, target string, freshnessToken string, changeContext string", "analysis.getActive": "path string",
-    "analysis.pollRun": "runId string", "analysis.cancel": "runId string",
+    "engine.checkStatus": "", "repositories.open": "path", "repositories.restoreLast": "", "repositories.listRecent": "",
+    "repositories.removeRecent": "repositoryId", "comparisons.listTargets": "path query? after? targetSetToken?",
+    "comparisons.prepare": "path target", "comparisons.checkFreshness": "path target freshnessToken",
+    "comparisons.checkRemoteBaseline": "path target", "comparisons.refreshRemoteBaseline": "path target",
+    "preferences.getColorTheme": "", "preferences.setColorTheme": "colorTheme",
+    "analysis.start": "path target freshnessToken changeContext?", "analysis.getActive": "path",
+    "analysis.pollRun": "runId", "analysis.cancel": "runId",
 }
+#: The response's type, code and message for each reason that a request is refused for.
+ERRORS = {
+    "requestTooLarge": ("malformedInput", "protocol.requestTooLarge", "The request is too large."),
+    "invalidJson": ("malformedInput", "protocol.invalidJson", "The request is not valid JSON."),
+    "malformedRequest": ("validation", "protocol.invalidRequest", "The request does not have the members that it must have."),
+    "blankField": ("validation", "protocol.invalidRequest", "The request's id and action must not be blank."),
+    "unsupportedVersion": ("unprocessableInput", "protocol.unsupportedVersion", "The protocol version is not supported."),
+    "unknownAction": ("notFound", "protocol.unknownAction", "The action is not known."),
+    "invalidParameters": ("validation", "protocol.invalidRequest", "The parameters do not fit the action."),
+    "repositoryBusy": ("conflict", "repository.busy", "An active analysis run reserves this repository."),
+}
 #: Actions that a repository with an active run refuses.
 REFUSED_WHILE_ACTIVE = ("repositories.open", "repositories.removeRecent", *(a for a in ACTIONS if a.startswith("comparisons.")))
 
@@ -32,34 +44,78 @@ def strict_object(text: Column, allowed: tuple[str, ...], required: tuple[str, .
     return F.coalesce(known & once & there, F.lit(False))
 
 
+def text_member(request: Column, path: str) -> Column:
+    """A member that is a JSON text; null where it is missing or of another kind."""
+    return F.when(F.schema_of_variant(F.try_variant_get(request, path, "variant")) == "STRING", F.try_variant_get(request, path, "string"))
+
+
+def member_kind(request: Column, path: str) -> Column:
+    """STRING, BIGINT, ... of a member; null where it is missing."""
+    return F.schema_of_variant(F.try_variant_get(request, path, "variant"))
+
+
+def parameters_ok(request: Column, action: Column) -> Column:
+    """Whether the parameters are an object of just the action's members, once each, texts, and with all that it needs."""
+    keys = F.coalesce(F.json_object_keys(F.col("parameters")), F.array().cast("array<string>"))
+    once = F.size(keys) == F.size(F.array_distinct(keys))
+    shape = F.coalesce(member_kind(request, "$.parameters").isin("VOID") | member_kind(request, "$.parameters").startswith("OBJECT"), F.lit(True))
+    by_action = F
+    for name, listed in ACTIONS.items():
+        members = [m.rstrip("?") for m in listed.split()]
+        fits = F.size(F.array_except(keys, F.array(*map(F.lit, members)).cast("array<string>"))) == 0
+        for m in listed.split():
+            kind = member_kind(request, f"$.parameters.{m.rstrip('?')}")
+            fits = fits & (F.coalesce(kind.isin("STRING", "VOID"), F.lit(True)) if m.endswith("?") else F.coalesce(kind == "STRING", F.lit(False)))
+        by_action = by_action.when(action == name, fits)
+    return F.coalesce(shape & once & by_action, F.lit(False))
+
+
 def parse_requests(frame: DataFrame) -> DataFrame:
-    """Request lines (value) with request_id, action, parameters and an error, null where the request is good.
+    """Request lines (value, and too_large where the reader has measured it) with request_id, action, parameters and an error.
 
-    Numbers and strings are strict: the version is the number 1, and texts are texts.
+    The error is null where the request is good, else a key of ERRORS. Kinds are strict: the version is the number 1,
+    ids, actions and parameters are texts, and what an action needs is there.
     """
-    get = lambda k: F.get_json_object("value", f"$.{k}")
-    raw = frame.select("*", F.try_variant_get(F.try_parse_json("value"), "$.protocolVersion", "int").alias("version"), F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.protocolVersion", "variant")).alias("version_type"), get("requestId").alias("request_id"), get("action").alias("action"), get("parameters").alias("parameters"))
-    allowed = F.when(F.lit(False), F.array().cast("array<string>"))
-    for action, fields in ACTIONS.items():
-        names = [f.split(" ")[0] for f in (fields or "").split(", ") if f]
-        allowed = allowed.when(F.col("action") == action, F.array(*map(F.lit, names)).cast("array<string>"))
-    keys = F.coalesce(F.json_object_keys("parameters"), F.array().cast("array<string>"))
-    params_ok = (F.size(F.array_except(keys, allowed)) == 0) & (F.size(keys) == F.size(F.array_distinct(keys)))
+    large = F.coalesce("too_large", F.lit(False)) if "too_large" in frame.columns else F.lit(False)
+    request, whole = F.try_parse_json("value"), F.when(~large, F.col("value"))
+    raw = frame.select(
+        "*", (request.isNull() & F.json_object_keys("value").isNull()).alias("bad_json"), large.alias("large"), F.try_variant_get(request, "$.protocolVersion", "int").alias("version"), member_kind(request, "$.protocolVersion").alias("version_kind"),
+        *(F.when(~large, text_member(request, f"$.{k}")).alias(n) for k, n in (("requestId", "request_id"), ("action", "action"))), F.get_json_object(whole, "$.parameters").alias("parameters"),
+    )
+    texts = F.col("request_id").isNotNull() & F.col("action").isNotNull() & (F.col("version_kind") == "BIGINT") & F.col("version").isNotNull()
+    version = F.coalesce((F.col("version") == VERSION) & (F.col("version_kind") == "BIGINT"), F.lit(False))
     error = (
-        F.when(~strict_object(F.col("value"), ENVELOPE, ENVELOPE[:3]), "malformedRequest")
-        .when(~F.coalesce((F.col("version") == VERSION) & (F.col("version_type") == "BIGINT"), F.lit(False)), "unsupportedVersion")
+        F.when(F.col("large"), "requestTooLarge")
+        .when(F.col("bad_json"), "invalidJson")
+        .when(~strict_object(F.col("value"), ENVELOPE, ENVELOPE[:3]), "malformedRequest")
+        .when(~version & (F.col("version_kind").isin("BIGINT", "STRING")), "unsupportedVersion")
+        .when(~F.coalesce(texts, F.lit(False)), "malformedRequest")
         .when(~non_blank(F.col("request_id")) | ~non_blank(F.col("action")), "blankField")
         .when(~F.col("action").isin(*ACTIONS), "unknownAction")
-        .when(~F.coalesce(params_ok, F.lit(False)), "invalidParameters")
+        .when(~parameters_ok(request, F.col("action")), "invalidParameters")
     )
     return raw.select(*frame.columns, "request_id", "action", "parameters", error.alias("error"))
 
 
+def refuse_busy(parsed: DataFrame, active: DataFrame) -> DataFrame:
+    """Parsed requests with canonical_path_key, in which those that an active run's repository must refuse have the error repositoryBusy.
+
+    ``active`` has the canonical_path_key of every active run, each once.
+    """
+    held = active.select("canonical_path_key", F.lit(True).alias("held")).distinct()
+    busy = F.col("held") & F.col("action").isin(*REFUSED_WHILE_ACTIVE) & F.col("error").isNull()
+    joined = parsed.join(held, "canonical_path_key", "left")
+    return joined.select(*(F.when(busy, "repositoryBusy").otherwise(F.col("error")).alias("error") if c == "error" else F.col(c) for c in parsed.columns))
+
+
 def responses(parsed: DataFrame) -> DataFrame:
-    """The response line to each parsed request: a result, or the typed error."""
+    """The response line to each parsed request: its result (a JSON text in column result, if there is one), or the typed error."""
     head = [F.lit(VERSION).alias("protocolVersion")]
-    fail = F.to_json(F.struct(*head, F.lit("error").alias("type"), F.col("request_id").alias("requestId"), F.array(F.struct(F.lit("invalidRequest").alias("type"), F.col("error").alias("code"), F.col("error").alias("message"))).alias("errors")), {"ignoreNullFields": "false"})
-    good = F.to_json(F.struct(*head, F.lit("result").alias("type"), F.col("request_id").alias("requestId"), F.lit(None).cast("string").alias("result")), {"ignoreNullFields": "false"})
+    of = lambda n: F.coalesce(*(F.when(F.col("error") == k, F.lit(v[n])) for k, v in ERRORS.items()))
+    errors = F.array(F.struct(of(0).alias("type"), of(1).alias("code"), of(2).alias("message")))
+    fail = F.to_json(F.struct(*head, F.lit("error").alias("type"), F.col("request_id").alias("requestId"), errors.alias("errors")), {"ignoreNullFields": "false"})
+    result = F.parse_json("result") if "result" in parsed.columns else F.lit(None).cast("string")
+    good = F.to_json(F.struct(*head, F.lit("result").alias("type"), F.col("request_id").alias("requestId"), result.alias("result")), {"ignoreNullFields": "false"})
     return parsed.select(F.when(F.col("error").isNull(), good).otherwise(fail).alias("value"))
 
 

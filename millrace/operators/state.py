@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.classify import ACTIVE, STATES, TERMINAL
@@ -140,9 +140,15 @@ def step_fold(events: DataFrame) -> DataFrame:
     return steps.select("run_id", "step_id", "started_at", F.when(done, F.col("e.at")).alias("finished_at"), F.when(done, F.col("e.outcome")).when(F.col("started_at").isNotNull(), "running").otherwise("pending").alias("state"))
 
 
-def commit_captures(stored: DataFrame, captures: DataFrame) -> DataFrame:
-    """Captures that are not stored yet; a retry adds nothing."""
-    return captures.dropDuplicates(["run_id"]).join(stored.select("run_id"), "run_id", "left_anti")
+def commit_captures(stored: DataFrame, captures: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Captures that are not stored yet; a retry adds nothing.
+
+    Of several captures of one run the first by ``order`` counts (by all columns where none is given).
+    """
+    rest = [c for c in captures.columns if c != "run_id"]
+    first = F.min_by(F.struct(*rest), F.struct(*(order or rest)))
+    once = captures.groupBy("run_id").agg(first.alias("v")).select("run_id", *(F.col(f"v.{c}").alias(c) for c in rest))
+    return once.join(stored.select("run_id"), "run_id", "left_anti").select(*captures.columns)
 
 
 def delete_cascade(parents: DataFrame, gone: DataFrame, children: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +207,3 @@ def latest_epoch(rows: DataFrame, key: str, epoch: str) -> DataFrame:
     last = rows.groupBy(key).agg(F.max(epoch).alias(epoch))
     return rows.join(last, [key, epoch], "left_semi")
 
-
-def running_state(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Each event with its key's value before it."""
-    return events.withColumn("before", F.lag(value).over(Window.partitionBy(key).orderBy(*order)))

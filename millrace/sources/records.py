@@ -20,9 +20,9 @@ STATUS_NAMES = {"A": "added", "D": "deleted", "M": "modified", "T": "typeChanged
 
 
 def capture(spark: SparkSession, path: str) -> DataFrame:
-    """Captured outputs, one file each."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.input_file_name().alias("name"), F.col("value").alias("content"))
+    """Captured outputs, one file each, with the bytes as they are."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("name"), F.col("content").cast("string").alias("content"))
 
 
 def all_or_nothing(records: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,15 +37,19 @@ def failures(records: DataFrame) -> DataFrame:
 
 
 def bounded(outputs: DataFrame) -> DataFrame:
-    """name, content and reason; content is null and the reason tooLarge where an output is over the limit."""
-    large = F.octet_length("content") > MAX_OUTPUT_BYTES
-    return outputs.select("name", F.when(~large, F.col("content")).alias("content"), F.when(large, "tooLarge").alias("reason"))
+    """name, content and reason; content is null and the reason tooLarge where an output is over the limit, notUtf8 where its bytes aren't UTF-8."""
+    reason = F.when(F.octet_length("content") > MAX_OUTPUT_BYTES, "tooLarge").when(~F.is_valid_utf8("content"), "notUtf8")
+    return outputs.select("name", F.when(reason.isNull(), F.col("content")).alias("content"), reason.alias("reason"))
 
 
-def lines(outputs: DataFrame) -> DataFrame:
-    """name, reason, no, line of LF-ended lines; an output whose last line isn't ended, or that is over the limit, has a null line."""
-    parts = F.split("content", "\n", -1)
-    ended = F.when(F.col("content").endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).when(F.length("content") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(None).cast("string")))
+def lines(outputs: DataFrame, due: bool = False) -> DataFrame:
+    """name, reason, no, line of LF-ended lines; an output whose last line isn't ended, or that can't be read, has a null line.
+
+    An empty output has no line, but a null one where a line is ``due``.
+    """
+    parts, none = F.split("content", "\n", -1), F.array(F.lit(None).cast("string"))
+    empty = none if due else F.array().cast("array<string>")
+    ended = F.when(F.col("content").endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).when(F.length("content") == 0, empty).otherwise(none)
     return bounded(outputs).select("name", "reason", F.posexplode(ended).alias("no", "line"))
 
 
@@ -160,45 +164,69 @@ def scan_status(outputs: DataFrame) -> DataFrame:
     return all_or_nothing(status_records(outputs), ["path", "original_path", "is_staged", "is_unstaged", "is_untracked", "is_conflicted", "is_ignored"])
 
 
+def merge_base_records(outputs: DataFrame) -> DataFrame:
+    """S4 with its ok column: one object id a line, possibly none."""
+    return lines(outputs).select("name", "reason", F.col("line").alias("revision"), V.is_object_id(F.col("line")).alias("ok"))
+
+
 def scan_merge_bases(outputs: DataFrame) -> DataFrame:
-    """One object id a line, possibly none."""
-    return all_or_nothing(lines(outputs).select("name", F.col("line").alias("revision"), V.is_object_id(F.col("line")).alias("ok")), ["revision"])
+    """Merge bases."""
+    return all_or_nothing(merge_base_records(outputs), ["revision"])
 
 
-def scan_commit_counts(outputs: DataFrame) -> DataFrame:
-    """One line of two canonical counts, a tab between."""
+def only_line(outputs: DataFrame) -> DataFrame:
+    """name, reason, line, and whether it is the output's one line; an output without a line has a null one."""
+    one = F.count("*").over(Window.partitionBy("name")) == 1
+    return lines(outputs, due=True).select("name", "reason", "line", (one & F.col("line").isNotNull()).alias("one"))
+
+
+def commit_count_records(outputs: DataFrame) -> DataFrame:
+    """S5 with its ok column: one line of two canonical counts, a tab between."""
     f = F.split("line", "\t", -1)
     count = lambda i: F.when(F.try_element_at(f, F.lit(i)).rlike(r"\A(0|[1-9][0-9]*)\z"), F.try_element_at(f, F.lit(i)).try_cast("int"))
-    one = F.count("*").over(Window.partitionBy("name")) == 1
-    rows = lines(outputs).select("name", count(1).alias("left_count"), count(2).alias("right_count"), (F.size(f) == 2).alias("two"), one.alias("one"))
-    return all_or_nothing(rows.withColumn("ok", F.col("two") & F.col("one") & F.col("left_count").isNotNull() & F.col("right_count").isNotNull()), ["left_count", "right_count"])
+    rows = only_line(outputs).select("name", "reason", count(1).alias("left_count"), count(2).alias("right_count"), (F.size(f) == 2).alias("two"), "one")
+    return rows.withColumn("ok", F.col("two") & F.col("one") & F.col("left_count").isNotNull() & F.col("right_count").isNotNull())
 
 
-def scan_scalar_facts(outputs: DataFrame) -> DataFrame:
-    """The single line of each output, as text, and read as a boolean, path or revision; null where it is none."""
-    one = F.count("*").over(Window.partitionBy("name")) == 1
-    value = F.col("line")
-    rows = lines(outputs).select("name", value.alias("value"), one.alias("one"))
-    v = F.col("value")
-    return rows.where("one and value is not null and value not like '%\r%'").select(
-        "name", "value", F.when(v == "true", True).when(v == "false", False).alias("flag"), F.when(v.startswith("/"), v).alias("absolute_path"), F.when(V.is_object_id(v), v).alias("revision"),
-        F.when(v.rlike(r"\Agit version \S"), F.regexp_extract(v, r"\Agit version (\S.*)\z", 1)).alias("version"),
+def scan_commit_counts(outputs: DataFrame) -> DataFrame:
+    """Commits on either side."""
+    return all_or_nothing(commit_count_records(outputs), ["left_count", "right_count"])
+
+
+def scalar_fact_records(outputs: DataFrame) -> DataFrame:
+    """S6 with its ok column: the one line of each output, as text, and read as a boolean, path, revision and version; null where it is none."""
+    v = F.col("line")
+    return only_line(outputs).select(
+        "name", "reason", v.alias("value"), F.when(v == "true", True).when(v == "false", False).alias("flag"), F.when(v.startswith("/"), v).alias("absolute_path"), F.when(V.is_object_id(v), v).alias("revision"),
+        F.when(v.rlike(r"\Agit version \S"), F.regexp_extract(v, r"\Agit version (\S.*)\z", 1)).alias("version"), (F.col("one") & ~v.contains("\r")).alias("ok"),
     )
 
 
+def scan_scalar_facts(outputs: DataFrame) -> DataFrame:
+    """Facts of one line."""
+    return all_or_nothing(scalar_fact_records(outputs), ["value", "flag", "absolute_path", "revision", "version"])
+
+
+def remote_records(outputs: DataFrame) -> DataFrame:
+    """S7 with its ok column: one remote name a line."""
+    return lines(outputs).select("name", "reason", F.col("line").alias("remote"), (V.non_blank(F.col("line")) & V.no_control(F.col("line"))).alias("ok"))
+
+
 def scan_remotes(outputs: DataFrame) -> DataFrame:
-    """One remote name a line."""
-    good = V.non_blank(F.col("line")) & V.no_control(F.col("line"))
-    return all_or_nothing(lines(outputs).select("name", F.col("line").alias("remote"), good.alias("ok")), ["remote"])
+    """Remotes."""
+    return all_or_nothing(remote_records(outputs), ["remote"])
 
 
-def scan_ls_remote(outputs: DataFrame, expected: Column) -> DataFrame:
-    """Exactly one line, an object id, a tab and the expected reference."""
+def ls_remote_records(outputs: DataFrame, expected: Column) -> DataFrame:
+    """S7 with its ok column: exactly one line, an object id, a tab and the expected reference."""
     f = F.split("line", "\t", -1)
-    one = F.count("*").over(Window.partitionBy("name")) == 1
-    ok = (F.size(f) == 2) & V.is_object_id(f[0]) & (F.try_element_at(f, F.lit(2)) == expected)
-    rows = lines(outputs).select("name", f[0].alias("revision"), ok.alias("fits"), one.alias("one"))
-    return all_or_nothing(rows.withColumn("ok", F.col("fits") & F.col("one")), ["revision"])
+    fits = (F.size(f) == 2) & V.is_object_id(f[0]) & (F.try_element_at(f, F.lit(2)) == expected)
+    return only_line(outputs).select("name", "reason", f[0].alias("revision"), (F.col("one") & fits).alias("ok"))
+
+
+def scan_ls_remote(outputs: DataFrame, expected: Column) -> DataFrame:
+    """The revision of a remote's reference."""
+    return all_or_nothing(ls_remote_records(outputs, expected), ["revision"])
 
 
 def describe_repository(facts: DataFrame) -> DataFrame:
@@ -214,8 +242,11 @@ def describe_repository(facts: DataFrame) -> DataFrame:
 
 
 def request_lines(frame: DataFrame) -> DataFrame:
-    """Request lines (value) with too_large; a too long line is an error of its own, not of the stream."""
-    return frame.where(F.length("value") > 0).withColumn("too_large", F.length("value") > MAX_REQUEST)
+    """Request lines (value), blank ones too, with too_large; a too long line is an error of its own, not of the stream.
+
+    Length counts UTF-16 units, as the limit does.
+    """
+    return frame.withColumn("too_large", F.octet_length(F.encode("value", "UTF-16BE")) > 2 * MAX_REQUEST)
 
 
 def response_lines(frame: DataFrame) -> DataFrame:

@@ -101,6 +101,24 @@ def test_small_facts(spark):
     assert {r["repository"]: r["descriptor"] and (r["descriptor"]["name"], r["descriptor"]["head"]["kind"]) for r in row} == {"r": ("name", "branch"), "q": None}
 
 
+def test_every_refused_output_is_listed(spark, tmp_path):
+    """Empty, unended, doubled, over-long, null and non-UTF-8 outputs are failures, not silence."""
+    limit = records.MAX_OUTPUT_BYTES
+    table = outputs(spark, good=f"{A}\n", empty="", unended=A, twice=f"{A}\n{B}\n", over="r" * limit + "\n", none=None)
+    names = lambda found: {(r["name"], r["reason"]) for r in records.failures(found).collect()}
+    assert names(records.scalar_fact_records(table)) == {("empty", None), ("unended", None), ("twice", None), ("over", "tooLarge"), ("none", None)}
+    assert names(records.merge_base_records(table)) == {("unended", None), ("over", "tooLarge"), ("none", None)}
+    assert names(records.remote_records(table)) == {("unended", None), ("over", "tooLarge"), ("none", None)}
+    counts = outputs(spark, good="1\t2\n", empty="", text="a\tb\n")
+    assert names(records.commit_count_records(counts)) == {("empty", None), ("text", None)}
+    assert names(records.ls_remote_records(outputs(spark, good=f"{A}\tr\n", empty="", other=f"{A}\tq\n"), F.lit("r"))) == {("empty", None), ("other", None)}
+    (tmp_path / "bad").write_bytes(b"origin\n\xff\n")
+    (tmp_path / "good").write_bytes("ürsprung\n".encode())
+    captured = records.capture(spark, str(tmp_path))
+    assert [r["reason"] for r in records.failures(records.remote_records(captured)).collect()] == ["notUtf8"]
+    assert [r["remote"] for r in records.scan_remotes(captured).collect()] == ["ürsprung"]
+
+
 WORKING = [("fixture.txt", None, True, True, False, False, False), ("unstaged.txt", None, False, True, False, False, False), ("staged.txt", None, True, False, False, False, False), ("untracked.txt", None, False, False, True, False, False), ("ignored.txt", None, False, False, False, False, True)]
 WORKING_SCHEMA = "path string, original_path string, is_staged boolean, is_unstaged boolean, is_untracked boolean, is_conflicted boolean, is_ignored boolean"
 

@@ -110,6 +110,8 @@ def test_joins(spark):
     prefixes = spark.createDataFrame([("a",), ("a/b",), ("q",)], "prefix string")
     got = {r["i"]: r["prefix"] for r in classify.longest_prefix(rows, "t", prefixes).collect()}
     assert got == {1: "a/b", 2: "a", 3: None, 4: "a", 5: None}
+    twice = classify.longest_prefix(rows.union(rows), "t", prefixes).collect()
+    assert len(twice) == 10
     a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "i int, t string")
     assert classify.multiset_equal(a, a.orderBy("t")).first()[0] is True
     assert classify.multiset_equal(a, a.distinct()).first()[0] is False
@@ -129,7 +131,7 @@ CASES = {
     "blank": (request(requestId=" "), "blankField"),
     "action": (request(action="x"), "unknownAction"),
     "parameter": (request(parameters={"path": "/x", "y": 1}), "invalidParameters"),
-    "no json": ("{", "malformedRequest"),
+    "no json": ("{", "invalidJson"),
     "no parameters": (request(action="engine.checkStatus", parameters=...), None),
 }
 
@@ -145,12 +147,39 @@ def test_requests(spark, name):
     assert reply.select(contract.response_ok(F.col("value"), F.lit("q"))).first()[0] is True or name == "blank"
 
 
+STRICT = {
+    "parameters are a text": (request(parameters="text"), "invalidParameters"), "id is a number": (request(requestId=5), "malformedRequest"),
+    "path is a number": (request(parameters={"path": 5}), "invalidParameters"), "path is null": (request(parameters={"path": None}), "invalidParameters"),
+    "path is missing": (request(parameters={}), "invalidParameters"), "no parameters": (request(action="comparisons.prepare", parameters=...), "invalidParameters"),
+    "optional is null": (request(action="comparisons.listTargets", parameters={"path": "/x", "query": None}), None), "optional is left out": (request(action="comparisons.listTargets"), None),
+    "optional is a number": (request(action="comparisons.listTargets", parameters={"path": "/x", "after": 1}), "invalidParameters"), "blank line": ("", "invalidJson"), "half a line": ('{"a"', "invalidJson"),
+    "too large": (request() + " " * 70_000, "requestTooLarge"), "version is a fraction": (request(protocolVersion=1.5), "malformedRequest"),
+}
+
+
+def test_strict_requests(spark):
+    table = spark.createDataFrame([(k, v[0]) for k, v in STRICT.items()], "name string, value string")
+    parsed = contract.parse_requests(records.request_lines(table))
+    assert {r["name"]: r["error"] for r in parsed.collect()} == {k: v[1] for k, v in STRICT.items()}
+    lines = [json.loads(r[0]) for r in contract.responses(parsed).collect()]
+    codes = {e["errors"][0]["code"] for e in lines if e["type"] == "error"}
+    assert codes == {"protocol.requestTooLarge", "protocol.invalidJson", "protocol.invalidRequest"}
+
+
+def test_result_payload_and_busy(spark):
+    parsed = contract.parse_requests(spark.createDataFrame([(request(), "k1", '{"a":[1,null]}'), (request(action="engine.checkStatus", parameters=...), "k1", None), (request(requestId="r"), "k2", None)], "value string, canonical_path_key string, result string"))
+    active = spark.createDataFrame([("k1",), ("k1",)], "canonical_path_key string")
+    got = [json.loads(r[0]) for r in contract.responses(contract.refuse_busy(parsed, active)).collect()]
+    assert sorted((g["type"], g.get("errors", [{}])[0].get("code")) for g in got) == [("error", "repository.busy"), ("result", None), ("result", None)]
+    assert json.loads(contract.responses(parsed.limit(1)).first()[0])["result"] == {"a": [1, None]}
+
+
 def test_request_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text(request() + "\n{\n\n")
     query = runs.answer(runs.request_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(60)
-    assert sorted(json.loads(r[0])["type"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["error", "result"]
+    assert sorted(json.loads(r[0])["type"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["error", "error", "result"]
 
 
 def test_run_stream(spark, tmp_path):
@@ -164,7 +193,7 @@ def test_run_stream(spark, tmp_path):
 
 def test_line_limits(spark, tmp_path):
     frame = spark.createDataFrame([("x" * 70_000,), ("y",), ("",)], "value string")
-    assert sorted(r["too_large"] for r in records.request_lines(frame).collect()) == [False, True]
+    assert sorted(r["too_large"] for r in records.request_lines(frame).collect()) == [False, False, True]
     records.write_ndjson(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "o"))
     assert json.loads(spark.read.text(str(tmp_path / "o")).first()[0]) == {"a": 1, "b": None}
 
