@@ -48,9 +48,9 @@ class Encoder:
     """Little-endian unsigned 32-bit ids of texts; ``encode_piece`` gives the ids of one word piece."""
 
     def __init__(self, encode_piece: Callable[[str], bytes], specials: dict[str, int]):
-        self.pieces = Pieces(encode_piece, 200_000)
+        self.pieces = Pieces(encode_piece, 350_000)
         piece, split = self.pieces.__getitem__, PIECE.findall
-        self.units = Pieces(lambda unit: b"".join(map(piece, split(unit))), 150_000)
+        self.units = Pieces(lambda unit: b"".join(map(piece, split(unit))), 250_000)
         self.specials = {k: np.array([v], "<u4").tobytes() for k, v in specials.items()}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
 
