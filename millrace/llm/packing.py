@@ -28,8 +28,8 @@ from millrace.sources.tables import materialize
 
 WINDOW = 2048
 END_ID = 1
-#: Groups that the pieces of one length are ranked in, so that no length is sorted in one task.
-RANK_GROUPS = 256
+#: Pieces of one length that are ranked together, about; a length has as many groups as its count needs, so that no length is sorted in one task.
+RANKED = 20_000
 
 
 class RoomTree:
@@ -141,13 +141,13 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row for each length
     table = slots(plan(histogram, window))
     # a rank among all pieces of its length: a running count in a hashed group, and what the groups before hold
-    group = F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_GROUPS)).alias("g")
-    dealt = pieces.select("*", group)
+    groups = spark.createDataFrame([(k, 1 + n // RANKED) for k, n in histogram.items()], "length int, groups long")  # at most one row for each length
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn("g", F.pmod(F.xxhash64("doc_id", "start"), F.col("groups"))).drop("groups")
     before = (
         dealt.groupBy("length", "g").agg(F.count("*").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("n")
-    )  # at most window * RANK_GROUPS rows
+    )  # a row for each group
     order = Window.partitionBy("length", "g").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = dealt.withColumn("r", F.row_number().over(order) - 1).join(before, ["length", "g"]).withColumn("r", F.col("r") + F.col("before"))
     plan_schema = "length int, lo long, hi long, same long, sequence long, base long"
