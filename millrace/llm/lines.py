@@ -51,7 +51,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """at (doc_id, rk, no), h and line of every line that isn't blank."""
-    rows = docs.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.trim(F.translate("line", "\t\r", "  ")) != "")
+    rows = docs.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.col("line").rlike(r"[^ \t\r]"))
     return rows.select(F.struct("doc_id", "rk", "no").alias("at"), line_hash("line").alias("h"), "line")
 
 
@@ -104,14 +104,14 @@ def within_one(x: str, y: str) -> bool:
 
 def candidates(lines: DataFrame, w: Workspace) -> DataFrame:
     """c, h, line and parts (which half keys another line shares) of the distinct lines that share a half with another line; c is a number of its own."""
-    cut = halves(lines)
-    met = cut.select(F.xxhash64("h").alias("g"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
+    cut = halves(lines.select("line"))
+    met = cut.select(F.xxhash64("line").alias("g"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
     met = w.table(met, "op2-halves")
     if met.count() <= BROADCAST_KEYS:
-        hit = cut.select("h", "line", F.posexplode("keys").alias("part", "key")).join(F.broadcast(met), "key", "left_semi")
-        found = hit.groupBy("h").agg(F.first("line").alias("line"), F.collect_set("part").alias("parts"))
+        hit = cut.select("line", F.posexplode("keys").alias("part", "key")).join(F.broadcast(met), "key", "left_semi")
+        found = hit.groupBy(line_hash("line").alias("h")).agg(F.first("line").alias("line"), F.collect_set("part").alias("parts"))
     else:
-        hit = cut.select("h", F.posexplode("keys").alias("part", "key")).join(met, "key", "left_semi").groupBy("h").agg(F.collect_set("part").alias("parts"))
+        hit = halves(lines).select("h", F.posexplode("keys").alias("part", "key")).join(met, "key", "left_semi").groupBy("h").agg(F.collect_set("part").alias("parts"))
         found = lines.select("h", "line").join(hit, "h").groupBy("h").agg(F.first("line").alias("line"), F.first("parts").alias("parts"))
     return w.table(found.withColumn("c", F.monotonically_increasing_id()), "op2-candidates")
 
@@ -169,10 +169,11 @@ def removals(docs: DataFrame) -> DataFrame:
     """doc_id, rk and the numbers of the lines that go, of each document with any; ``docs`` as ``keyed`` gives them."""
     lines = lines_of(docs)
     with Workspace(docs.sparkSession) as w:
-        firsts = w.table(lines.groupBy("h").agg(F.min("at").alias("at"), F.min("at") != F.max("at")).toDF("h", "at", "again"), "op2-firsts")
+        placed = w.table(lines.select("h", "at"), "op2-placed")  # read twice, so that texts are split and hashed once for both
+        firsts = w.table(placed.groupBy("h").agg(F.min("at").alias("at"), F.min("at") != F.max("at")).toDF("h", "at", "again"), "op2-firsts")
         near = near_lines(lines, firsts, w).withColumn("near", F.lit(True))
         gone = firsts.join(near, "h", "left").where("again or near").select("h", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-        hit = lines.select("h", "at").join(gone, "h").where(F.col("near") | (F.col("at") != F.col("first")))
+        hit = placed.join(gone, "h").where(F.col("near") | (F.col("at") != F.col("first")))
         listed = hit.groupBy("at.doc_id", "at.rk").agg(F.collect_set("at.no").alias("gone"))  # one document's lines
         return materialize(listed, "op2-removals")
 
