@@ -22,16 +22,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.sources.tables import materialize
+from millrace.sources.tables import Workspace, materialize
 
 UNIT, PAD = 576, 255
 LEAST, MOST, MASK = 256, 4096, (1 << 10) - 1
-#: Entries (at most about 60 bytes each) of the list of repeated chunks that may be broadcast; a longer list is joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: A chunk with more than one of this many of all occurrences is frequent. There are fewer than this many such chunks, whatever the
+#: input, so they may be broadcast (4 MB of samples at most); all others are joined by a shuffle, in which none is hot.
+BROADCAST_ROWS = 1_000
 WINDOW = 16
 
 
@@ -111,41 +113,69 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 STORE = "key binary, doc_id long, recipe binary, n_bytes long, own array<struct<seq:int,shared:boolean,data:binary>>, missing array<struct<seq:int,digest:binary>>"
 
 
+def frequent(rows: DataFrame) -> DataFrame:
+    """digest of the chunks with more than one in BROADCAST_ROWS of the rows; fewer than BROADCAST_ROWS."""
+    total = rows.count()
+    return rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") * BROADCAST_ROWS > total).select("digest")
+
+
+def by_digest(rows: DataFrame, chunks: DataFrame, often: DataFrame) -> DataFrame:
+    """``rows`` with what ``chunks`` has of their digests: the ``often`` ones by a broadcast, so that none is one task's, the rest by a shuffle."""
+    hot, cold = (chunks.join(F.broadcast(often), "digest", how) for how in ("left_semi", "left_anti"))
+    rest = rows.join(F.broadcast(often), "digest", "left_anti").join(cold.hint("merge"), "digest")
+    return rows.join(F.broadcast(hot), "digest").unionByName(rest)
+
+
+def bodies(docs: DataFrame) -> DataFrame:
+    """key, doc_id and the whole text, compressed for its way through a shuffle."""
+    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("body", pa.binary())])
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for b in common.slices(batches):
+            yield common.to_batch(schema, [b.column("key"), b.column("doc_id"), [press.compress(t.encode()) for t in common.texts_of(b)]])
+
+    return docs.mapInArrow(run, "key binary, doc_id long, body binary")
+
+
 def write(docs: DataFrame) -> DataFrame:
     """Store all documents; returns the store's rows, one for each distinct document.
 
-    A document's row needs to know which of its chunks are repeated elsewhere and which of these it owns. That list is
-    broadcast while it has at most BROADCAST_ROWS rows, and joined by a shuffle beyond.
+    A document's row needs to know which of its chunks are repeated elsewhere and which of these it owns. That list is as
+    long as the input has repeated chunks, so it meets the compressed texts in a shuffle, at every size.
     """
     docs = keyed(docs)
-    seen = digest_rows(docs)
-    first = F.min(F.struct("doc_id", "key", "seq")).alias("owner")
-    repeated = seen.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    repeated = materialize(repeated, "op3-owners")
-    owned = (F.col("owner.key") == F.col("key")) & (F.col("owner.seq") == F.col("seq"))
-    marks = seen.join(repeated, "digest").groupBy("key").agg(F.collect_set(F.struct("seq", owned.alias("owned"))).alias("marks"))  # a text's own chunks
-    marks = materialize(marks, "op3-repeated")
-    small = marks.agg(F.sum(F.size("marks")).alias("n")).first()["n"] or 0
-    joined = docs.join(F.broadcast(marks) if small <= BROADCAST_ROWS else marks, "key", "left")
+    with Workspace(docs.sparkSession) as w:
+        seen = w.table(digest_rows(docs), "op3-seen")
+        first = F.min(F.struct("doc_id", "key", "seq")).alias("owner")
+        repeated = w.table(seen.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "owner.key", "owner.seq").toDF("digest", "owner", "place"), "op3-owners")
+        owned = (F.col("owner") == F.col("key")) & (F.col("place") == F.col("seq"))
+        met = by_digest(seen, repeated, w.table(frequent(seen), "op3-frequent"))
+        marks = w.table(met.groupBy("key").agg(F.collect_set(F.struct("seq", owned.alias("owned"))).alias("marks")), "op3-marks")  # a text's own chunks
+        joined = bodies(docs).join(marks.hint("merge"), "key", "left")
+        return materialize(joined.select("key", "doc_id", "body", "marks").mapInArrow(packs, STORE), "op3-packs")
+
+
+def packs(batches):
+    """The store's rows of compressed texts with their marks."""
     schema = pa.schema(
         [("key", pa.binary()), ("doc_id", pa.int64()), ("recipe", pa.binary()), ("n_bytes", pa.int64()), ("own", pa.list_(pa.struct([("seq", pa.int32()), ("shared", pa.bool_()), ("data", pa.binary())]))), ("missing", pa.list_(pa.struct([("seq", pa.int32()), ("digest", pa.binary())])))]
     )
 
-    def run(batches):
-        for b in common.slices(batches):
-            out = []
-            for key, doc_id, text, found in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), common.texts_of(b), b.column("marks").to_pylist(), strict=True):
-                parts = chunks(text)
-                digests = [hashlib.sha256(c).digest() for c in parts]
-                shared = {m["seq"]: m["owned"] for m in found or []}
-                # a chunk repeated within the owner is kept at its first place; the owner's later places lack it like others do
-                own = [{"seq": i, "shared": i in shared, "data": c} for i, c in enumerate(parts) if shared.get(i, True)]
-                missing = [{"seq": i, "digest": digests[i]} for i, mine in shared.items() if not mine]
-                n = len(text.encode())
-                out.append((key, doc_id, recipe_bytes(digests, list(map(len, parts)), n), n, own, missing))
-            yield common.to_batch(schema, list(map(list, zip(*out, strict=True))))
-
-    return materialize(joined.select("key", "doc_id", "text", "marks").mapInArrow(run, STORE), "op3-packs")
+    press = zstandard.ZstdDecompressor()
+    for b in common.slices(batches):
+        out = []
+        for key, doc_id, body, found in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "body", "marks")), strict=True):
+            text = press.decompress(body).decode()
+            parts = chunks(text)
+            digests = [hashlib.sha256(c).digest() for c in parts]
+            shared = {m["seq"]: m["owned"] for m in found or []}
+            # a chunk repeated within the owner is kept at its first place; the owner's later places lack it like others do
+            own = [{"seq": i, "shared": i in shared, "data": c} for i, c in enumerate(parts) if shared.get(i, True)]
+            missing = [{"seq": i, "digest": digests[i]} for i, mine in shared.items() if not mine]
+            n = len(text.encode())
+            out.append((key, doc_id, recipe_bytes(digests, list(map(len, parts)), n), n, own, missing))
+        yield common.to_batch(schema, list(map(list, zip(*out, strict=True))) or [[]] * 6)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -159,8 +189,9 @@ def read(store: DataFrame) -> DataFrame:
     lacking = F.size("missing") > 0
     whole = assemble(store.where(~lacking).select("doc_id", "recipe", "n_bytes", "own"))
     wanted = store.where(lacking).select("key", F.explode("missing").alias("m")).select("key", "m.seq", "m.digest")
-    offered = store.select(F.explode(F.filter("own", lambda c: c["shared"])).alias("c")).select(F.sha2("c.data", 256).alias("hex"), "c.data").dropDuplicates(["hex"])
-    got = wanted.withColumn("hex", F.lower(F.hex("digest"))).join(offered, "hex").groupBy("key").agg(F.collect_set(F.struct("seq", F.lit(True).alias("shared"), "data")).alias("got"))  # a text's own chunks
+    offered = store.select(F.explode(F.filter("own", lambda c: c["shared"])).alias("c")).select(F.unhex(F.sha2("c.data", 256)).alias("digest"), "c.data").dropDuplicates(["digest"])
+    often = materialize(frequent(wanted), "op3-wanted")
+    got = by_digest(wanted, offered, often).groupBy("key").agg(F.collect_set(F.struct("seq", F.lit(True).alias("shared"), "data")).alias("got"))  # a text's own chunks
     parts = store.where(lacking).join(got, "key").select("doc_id", "recipe", "n_bytes", F.concat("own", "got").alias("own"))
     return whole.unionByName(assemble(parts))
 
