@@ -113,10 +113,9 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 STORE = "key binary, doc_id long, recipe binary, n_bytes long, own array<struct<seq:int,shared:boolean,data:binary>>, missing array<struct<seq:int,digest:binary>>"
 
 
-def frequent(rows: DataFrame) -> DataFrame:
-    """digest of the chunks with more than one in BROADCAST_ROWS of the rows; fewer than BROADCAST_ROWS."""
-    total = rows.count()
-    return rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") * BROADCAST_ROWS > total).select("digest")
+def frequent(counts: DataFrame, total: int) -> DataFrame:
+    """digest of the chunks with more than one in BROADCAST_ROWS of all ``total`` occurrences; fewer than BROADCAST_ROWS."""
+    return counts.where(F.col("n") * BROADCAST_ROWS > total).select("digest")
 
 
 def by_digest(rows: DataFrame, chunks: DataFrame, often: DataFrame) -> DataFrame:
@@ -131,7 +130,7 @@ def bodies(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("body", pa.binary())])
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for b in common.slices(batches):
             yield common.to_batch(schema, [b.column("key"), b.column("doc_id"), [press.compress(t.encode()) for t in common.texts_of(b)]])
 
@@ -148,12 +147,12 @@ def write(docs: DataFrame) -> DataFrame:
     with Workspace(docs.sparkSession) as w:
         seen = w.table(digest_rows(docs), "op3-seen")
         first = F.min(F.struct("doc_id", "key", "seq")).alias("owner")
-        repeated = w.table(seen.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "owner.key", "owner.seq").toDF("digest", "owner", "place"), "op3-owners")
+        repeated = w.table(seen.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "owner.key", "owner.seq", "n").toDF("digest", "owner", "place", "n"), "op3-owners")
         owned = (F.col("owner") == F.col("key")) & (F.col("place") == F.col("seq"))
-        met = by_digest(seen, repeated, w.table(frequent(seen), "op3-frequent"))
+        met = by_digest(seen, repeated.drop("n"), frequent(repeated, seen.count()))
         marks = w.table(met.groupBy("key").agg(F.collect_set(F.struct("seq", owned.alias("owned"))).alias("marks")), "op3-marks")  # a text's own chunks
         joined = bodies(docs).join(marks.hint("merge"), "key", "left")
-        return materialize(joined.select("key", "doc_id", "body", "marks").mapInArrow(packs, STORE), "op3-packs")
+        return materialize(joined.select("key", "doc_id", "body", "marks").mapInArrow(packs, STORE), "op3-packs", "zstd")
 
 
 def packs(batches):
@@ -179,9 +178,9 @@ def packs(batches):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with a key of their doc_id and text."""
+    """Documents with a key of their doc_id and text, 128 bits of a SHA-256."""
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))
-    return docs.select(key.alias("key"), "doc_id", "text")
+    return docs.select(F.substring(key, 1, 16).alias("key"), "doc_id", "text")
 
 
 def read(store: DataFrame) -> DataFrame:
@@ -190,7 +189,7 @@ def read(store: DataFrame) -> DataFrame:
     whole = assemble(store.where(~lacking).select("doc_id", "recipe", "n_bytes", "own"))
     wanted = store.where(lacking).select("key", F.explode("missing").alias("m")).select("key", "m.seq", "m.digest")
     offered = store.select(F.explode(F.filter("own", lambda c: c["shared"])).alias("c")).select(F.unhex(F.sha2("c.data", 256)).alias("digest"), "c.data").dropDuplicates(["digest"])
-    often = materialize(frequent(wanted), "op3-wanted")
+    often = materialize(frequent(wanted.groupBy("digest").agg(F.count("*").alias("n")), wanted.count()), "op3-frequent")
     got = by_digest(wanted, offered, often).groupBy("key").agg(F.collect_set(F.struct("seq", F.lit(True).alias("shared"), "data")).alias("got"))  # a text's own chunks
     parts = store.where(lacking).join(got, "key").select("doc_id", "recipe", "n_bytes", F.concat("own", "got").alias("own"))
     return whole.unionByName(assemble(parts))
