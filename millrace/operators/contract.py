@@ -29,6 +29,13 @@ ERRORS = {
     "unsupportedVersion": ("unprocessableInput", "protocol.unsupportedVersion", "The protocol version is not supported."),
     "unknownAction": ("notFound", "protocol.unknownAction", "The action is not known."),
     "invalidParameters": ("validation", "protocol.invalidRequest", "The parameters do not fit the action."),
+    "tooLarge": ("unprocessableInput", "comparison.tooLarge", "The comparison exceeds the supported local inspection limit."),
+    "inspectionFailed": ("externalDependencyFailure", "comparison.inspectionFailed", "Git comparison inspection failed."),
+    "targetInvalid": ("unprocessableInput", "comparison.targetInvalid", "The selected comparison target is not supported."),
+    "unrelatedHistory": ("unprocessableInput", "comparison.unrelatedHistory", "The selected target does not share history with the current revision."),
+    "ambiguousBase": ("unprocessableInput", "comparison.ambiguousBase", "The current revision and selected target have multiple best merge bases."),
+    "changedDuringPreparation": ("conflict", "comparison.changedDuringPreparation", "Repository facts changed while the comparison was being prepared."),
+    "invalidFreshnessToken": ("validation", "comparison.invalidFreshnessToken", "The comparison freshness token is invalid."),
     "repositoryBusy": ("conflict", "repository.busy", "An active analysis run reserves this repository."),
 }
 #: Actions that a repository with an active run refuses.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.canonical import boolean, field, fingerprint, nullable, record, utf16
+from millrace.functions.canonical import boolean, digest, field, fingerprint, nullable, ordered_records, record, utf16
 from millrace.operators.classify import multiset_equal
 
 
@@ -26,16 +26,44 @@ def head_fields(kind: str, name: str | None, revision: str) -> Column:
     return record(field("head.branch"), field(name), field(revision)) if kind == "branch" else record(field("head.detached"), field(revision))
 
 
+FLAGS = ("staged", "unstaged", "untracked", "conflicted", "ignored")
+
+
+def working_record() -> Column:
+    """A working-tree entry's fields."""
+    return record(field("working-tree-record"), field(F.col("path")), nullable("original-path", F.col("original_path")), *(boolean(f, F.col(f"is_{f}")) for f in FLAGS))
+
+
+def working_order() -> list[Column]:
+    """What working-tree entries are ordered by."""
+    return [utf16(F.col("path")), utf16(F.col("original_path")), *(F.col(f"is_{f}") for f in FLAGS)]
+
+
+def freshness_tokens(comparisons: DataFrame, working: DataFrame) -> DataFrame:
+    """name and freshness_token of each comparison (A7b), also of those with a clean working tree.
+
+    ``comparisons`` has name, repository (canonical_path, head), target, chosen (revision) and target_set_token.
+    """
+    head = F.col("repository.head")
+    own = F.when(head["kind"] == "branch", record(field("head.branch"), field(head["name"]), field(head["revision"]))).otherwise(record(field("head.detached"), field(head["revision"])))
+    header = record(
+        field("comparison.freshness.v1"), field("repository.canonical-path"), field(F.col("repository.canonical_path")), own, field("target"), field(F.col("target")), field(F.col("chosen.revision")),
+        field("target-set-token"), field(F.col("target_set_token")), field("working-tree-record-count"),
+    )
+    body = ordered_records(working_order(), working_record())
+    entries = working.groupBy("name").agg(body.alias("records"), F.count("*").alias("n"))
+    joined = comparisons.select("name", header.alias("header")).join(entries, "name", "left")
+    count = F.coalesce("n", F.lit(0)).cast("string")
+    return joined.select("name", digest(F.concat("header", field(count), F.coalesce("records", F.lit("")))).alias("freshness_token"))
+
+
 def freshness_token(working: DataFrame, path: str, head: Column, target: str, revision: str, set_token: str) -> DataFrame:
     """One row: the token of a comparison; it covers the working tree's flags, not its contents."""
     header = record(
         field("comparison.freshness.v1"), field("repository.canonical-path"), field(path), head, field("target"), field(target), field(revision),
         field("target-set-token"), field(set_token), field("working-tree-record-count"),
     )
-    flags = ("staged", "unstaged", "untracked", "conflicted", "ignored")
-    body = record(field("working-tree-record"), field(F.col("path")), nullable("original-path", F.col("original_path")), *(boolean(f, F.col(f"is_{f}")) for f in flags))
-    order = [utf16(F.col("path")), utf16(F.col("original_path")), *(F.col(f"is_{f}") for f in flags)]
-    return fingerprint(working, header, order, body)
+    return fingerprint(working, header, working_order(), working_record())
 
 
 def manifest_hash(entries: DataFrame, marker: str, path_key: str, target: str, target_revision: str, head_revision: str, merge_base: str) -> DataFrame:

@@ -202,6 +202,26 @@ def entry_checks() -> dict[str, Column]:
     }
 
 
+#: Fixed values.
+STEP_STATES = ("pending", "running", "succeeded", "succeededWithLimitations", "failed", "skipped", "cancelled", "timedOut")
+
+
+def step_checks() -> dict[str, Column]:
+    """The check of the step table."""
+    return {"step_state": F.col("state").isin(*STEP_STATES)}
+
+
+def metadata_checks(product: str) -> dict[str, Column]:
+    """The checks of the metadata table, of a product of this name."""
+    return {"metadata_singleton": F.col("singleton_id") == 1, "metadata_product": F.col("product_name") == product, "metadata_schema": F.col("schema_version") > 0}
+
+
+def application_checks() -> dict[str, Column]:
+    """The checks of the application state table."""
+    theme = F.col("color_theme")
+    return {"application_singleton": F.col("singleton_id") == 1, "application_color_theme": theme.isNull() | theme.isin("light", "dark")}
+
+
 def latest_epoch(rows: DataFrame, key: str, epoch: str) -> DataFrame:
     """The rows of each key's last epoch (W6): an aggregate joined back."""
     last = rows.groupBy(key).agg(F.max(epoch).alias(epoch))
