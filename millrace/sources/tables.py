@@ -72,7 +72,7 @@ def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFram
     ``codec`` is the files' compression, the session's where none is given.
     The files stay until the application ends. A step's own tables belong in a ``Workspace``.
     """
-    return _write(df, label, codec)[1]
+    return (_write(df, label, codec) if codec else _write(df, label))[1]
 
 
 class Workspace:
