@@ -29,8 +29,6 @@ from millrace.llm import common
 from millrace.sources.tables import Workspace, materialize
 
 LEAST = 8
-#: Keys that may be broadcast to find candidate lines; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -55,8 +53,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select(F.struct("doc_id", "rk", "no").alias("at"), line_hash("line").alias("h"), "line")
 
 
-def halves(lines: DataFrame) -> DataFrame:
-    """For each line its half keys: part 0 and 1 are its first and last half as the longer or an equally long line, 2 and 3 as the shorter."""
+def half_keys() -> list[Column]:
+    """A line's half keys k0 to k3: k0 and k1 are its first and last half as the longer or an equally long line, k2 and k3 as the shorter; null for short lines."""
 
     def pair(length):
         ahead = F.floor((length - 1) / 2).cast("int")
@@ -65,8 +63,8 @@ def halves(lines: DataFrame) -> DataFrame:
         tail = F.xxhash64(F.lit("tail"), length, F.substring("line", F.length("line") - behind + 1, behind))
         return head, tail
 
-    long_ = lines.where(F.length("line") >= LEAST)
-    return long_.withColumn("keys", F.array(*pair(F.length("line")), *pair(F.length("line") + 1)))
+    keys = (*pair(F.length("line")), *pair(F.length("line") + 1))
+    return [F.when(F.length("line") >= LEAST, k).alias(f"k{n}") for n, k in enumerate(keys)]
 
 
 def variant_hashes(line: str, first: int, last: int) -> np.ndarray:
@@ -102,18 +100,29 @@ def within_one(x: str, y: str) -> bool:
     return short[low:] == long_[low + 1 :] or short[low + 1 :] == long_[low + 1 :]
 
 
-def candidates(lines: DataFrame, w: Workspace) -> DataFrame:
-    """c, h, line and parts (which half keys another line shares) of the distinct lines that share a half with another line; c is a number of its own."""
-    cut = halves(lines.select("line"))
-    met = cut.select(F.xxhash64("line").alias("g"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
-    met = w.table(met, "op2-halves")
-    if met.count() <= BROADCAST_KEYS:
-        hit = cut.select("line", F.posexplode("keys").alias("part", "key")).join(F.broadcast(met), "key", "left_semi")
-        found = hit.groupBy(line_hash("line").alias("h")).agg(F.first("line").alias("line"), F.collect_set("part").alias("parts"))
-    else:
-        hit = halves(lines).select("h", F.posexplode("keys").alias("part", "key")).join(met, "key", "left_semi").groupBy("h").agg(F.collect_set("part").alias("parts"))
-        found = lines.select("h", "line").join(hit, "h").groupBy("h").agg(F.first("line").alias("line"), F.first("parts").alias("parts"))
-    return w.table(found.withColumn("c", F.monotonically_increasing_id()), "op2-candidates")
+def candidates(docs: DataFrame, firsts: DataFrame, w: Workspace) -> DataFrame:
+    """c, h, at, line and parts (which half keys another line shares) of the distinct lines that share a half with another line.
+
+    Each distinct line has one row, so no line is frequent here, and the keys are counted before they meet. The texts come
+    from the documents of the lines' earliest places. Both joins are shuffles at every size, whatever the sides' sizes.
+    """
+    keys = firsts.where("k0 is not null").select("c", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("part", "key"))
+    met = keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    hit = keys.join(met.hint("merge"), "key", "left_semi").groupBy("c").agg(F.collect_set("part").alias("parts"))
+    marked = w.table(firsts.select("c", "h", "at").join(hit, "c"), "op2-marked")
+    spots = F.collect_list(F.struct("c", F.col("at.no").alias("no"))).alias("spots")  # one document's lines
+    wanted = marked.groupBy(F.col("at.doc_id").alias("id"), F.col("at.rk").alias("row")).agg(spots)
+    match = docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["rk"] == wanted["row"])
+    schema = pa.schema([("c", pa.int64()), ("line", pa.string())])
+
+    def pick(batches):
+        for b in common.slices(batches):
+            got = [(s["c"], parts[s["no"]]) for parts, spots in ((t.split("\n"), x) for t, x in zip(common.texts_of(b), b.column("spots").to_pylist(), strict=True)) for s in spots]
+            yield common.to_batch(schema, [[c for c, _ in got], [x for _, x in got]])
+
+    picked = docs.join(wanted.hint("merge"), match).select("text", "spots").mapInArrow(pick, "c long, line string")
+    found = picked.groupBy("c").agg(F.first("line").alias("line"))  # repeated rows give a line again
+    return w.table(marked.join(found, "c"), "op2-candidates")
 
 
 def variants(found: DataFrame) -> DataFrame:
@@ -136,10 +145,10 @@ def variants(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "v long, place int, c long")
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame, w: Workspace) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, w: Workspace) -> DataFrame:
     """h of the lines that have an earlier line within one edit."""
-    found = candidates(lines, w)
-    order = w.table(firsts.select("h", "at").join(found.select("h", "c"), "h").select("c", "at"), "op2-order")
+    found = candidates(docs, firsts, w)
+    order = found.select("c", "at")
     made = w.table(variants(found), "op2-variants")
     # one length: all lines of a variant and place are within one edit of each other, so the earliest removes the rest
     changed = made.where("place >= 0")
@@ -167,11 +176,12 @@ def near_lines(lines: DataFrame, firsts: DataFrame, w: Workspace) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, rk and the numbers of the lines that go, of each document with any; ``docs`` as ``keyed`` gives them."""
-    lines = lines_of(docs)
+    names = ("k0", "k1", "k2", "k3")
     with Workspace(docs.sparkSession) as w:
-        placed = w.table(lines.select("h", "at"), "op2-placed")  # read twice, so that texts are split and hashed once for both
-        firsts = w.table(placed.groupBy("h").agg(F.min("at").alias("at"), F.min("at") != F.max("at")).toDF("h", "at", "again"), "op2-firsts")
-        near = near_lines(lines, firsts, w).withColumn("near", F.lit(True))
+        placed = w.table(lines_of(docs).select("h", "at", *half_keys()), "op2-placed")  # read twice, so that texts are split and hashed once for both
+        grouped = placed.groupBy("h").agg(F.min("at").alias("at"), (F.min("at") != F.max("at")).alias("again"), *(F.min(k).alias(k) for k in names))
+        firsts = w.table(grouped.withColumn("c", F.monotonically_increasing_id()), "op2-firsts")
+        near = near_lines(docs, firsts, w).withColumn("near", F.lit(True))
         gone = firsts.join(near, "h", "left").where("again or near").select("h", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
         hit = placed.join(gone, "h").where(F.col("near") | (F.col("at") != F.col("first")))
         listed = hit.groupBy("at.doc_id", "at.rk").agg(F.collect_set("at.no").alias("gone"))  # one document's lines

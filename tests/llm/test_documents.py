@@ -134,12 +134,24 @@ def test_line_dedup(spark):
     assert lines.deduplicate(table.limit(0)).count() == 0
 
 
-def test_line_dedup_shuffle_path(docs, odd, monkeypatch):
-    for table in (docs, odd):
-        before = sorted(map(repr, lines.deduplicate(table).collect()))
-        with monkeypatch.context() as m:
-            m.setattr(lines, "BROADCAST_KEYS", -1)
-            assert sorted(map(repr, lines.deduplicate(table).collect())) == before
+def test_line_dedup_documents(docs):
+    """Whole documents against each line compared with all earlier ones."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    placed = sorted((k, n, x) for k, t in rows for n, x in enumerate(t.split("\n")) if x.strip(" \t\r"))
+    seen, gone = {}, set()  # earlier lines by length
+
+    def near(x, y):
+        head = next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        return x[head + 1 :] == y[head + 1 :] or x[head:] == y[head + 1 :] or x[head + 1 :] == y[head:]
+
+    for k, n, x in placed:
+        others = [y for m in (len(x) - 1, len(x), len(x) + 1) for y in seen.get(m, ())]
+        if any(x == y or (min(len(x), len(y)) >= lines.LEAST and near(x, y)) for y in others):
+            gone.add((k, n))
+        seen.setdefault(len(x), set()).add(x)
+    want = {k: "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone) for k, t in rows}
+    assert {r["doc_id"]: r["text"] or "" for r in lines.deduplicate(docs).collect()} == want
+    assert gone
 
 
 def test_line_variants():
