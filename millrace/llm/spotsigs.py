@@ -3,7 +3,8 @@
 A spot signature is a common word (the anchor) with the next content words after it. A text's fingerprint is the set of
 its spot signatures, as sorted 32-bit hashes in hex; two texts are as alike as the Jaccard similarity of their sets. For
 near-duplicate classes, sets are dealt into partitions by their length so that alike sets are in the same or the next
-one; within these, sets that share one of their rarest signatures are compared, both whole: no comparison ends early.
+one; within these, sets that share one of their rarest signatures are compared in order, until the signatures that are
+left can't reach the threshold.
 
 Rules: null counts as empty; the empty fingerprint belongs to texts without a word, and two of these are alike to 1.0; a
 text with words but no spot has one signature, of all its words. Equal texts have equal fingerprints. Texts are read
@@ -72,6 +73,23 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def pruned_alike(x: np.ndarray, y: np.ndarray, ratio: float, step: int = 64) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``ratio``; ends as soon as the rest can't reach it."""
+    short, long_ = sorted((x, y), key=len)
+    total, both, at = len(x) + len(y), 0, 0
+
+    def enough(shared: int) -> bool:
+        return shared >= ratio * (total - shared)
+
+    for start in range(0, len(short), step):
+        if not enough(both + min(len(short) - start, len(long_) - at)):
+            return False
+        part = short[start : start + step]
+        end = at + int(np.searchsorted(long_[at:], part[-1], "right"))
+        both, at = both + len(np.intersect1d(part, long_[at:end], assume_unique=True)), end
+    return enough(both)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
@@ -101,7 +119,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         part = F.floor(F.log("size") / -np.log(threshold))
         keys = F.flatten(F.transform(kept, lambda k: F.array(F.xxhash64(part, k["mark"]), F.xxhash64(part + 1, k["mark"]))))
         items = w.table(ranked.select("id", "size", keys.alias("keys")).join(sets.select("id", "digest"), "id"), "op1-keys")
-        roots = linking.classes(items, sets.select("digest", "text"), lambda x: from_string(x).astype(np.uint64), threshold)
+        roots = linking.classes(items, sets.select("digest", "text"), lambda x: from_string(x).astype(np.uint64), threshold, pruned_alike)
         numbered = prints.select("doc_id", "digest").join(sets.select("id", "digest"), "digest")
         placed = w.table(numbered.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")), "op1-placed")
         least = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))

@@ -96,6 +96,31 @@ def test_components(spark):
     assert got == union_find(links, {x for p in links for x in p})
 
 
+def test_pruned_jaccard():
+    rnd = random.Random(12)
+    said = set()
+    for _ in range(400):
+        pool = rnd.sample(range(10_000), rnd.randint(1, 300))
+        x, y = (np.array(sorted(v for v in pool if rnd.random() < 0.95), np.int64) for _ in range(2))
+        ratio = rnd.choice((0.5, 0.8, 0.9, 1.0))
+        a, b = set(x.tolist()), set(y.tolist())
+        want = len(a & b) >= ratio * len(a | b)
+        assert spotsigs.pruned_alike(x, y, ratio) == spotsigs.pruned_alike(y, x, ratio, 7) == want
+        said.add(want)
+    assert said == {True, False}
+    empty = np.empty(0, np.int64)
+    assert spotsigs.pruned_alike(empty, empty, 0.8) and not spotsigs.pruned_alike(empty, np.arange(3), 0.8)
+    seen = []
+
+    class Told(np.ndarray):  # notes what is read of it
+        def __getitem__(self, key):
+            seen.append(key)
+            return super().__getitem__(key)
+
+    assert not spotsigs.pruned_alike(np.arange(0, 20_000, 2).view(Told), np.arange(1, 20_001, 2), 0.8)
+    assert len(seen) < 20  # of 157 blocks
+
+
 def edits(x, y):
     row = list(range(len(y) + 1))
     for i, a in enumerate(x, 1):
