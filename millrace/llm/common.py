@@ -30,6 +30,21 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+    """A column's strings in UTF-8, null as empty."""
+    return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+#: For ``bytes.translate``: A-Z in lower case; and with all of ASCII but letters and digits as spaces, so that ``split`` gives the terms.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+TERMS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """The maximal runs of ASCII letters and digits and of all other characters beyond ASCII, only A-Z lower-cased."""
+    return text.translate(TERMS).split()
+
+
 def fresh(names: list[str], name: str) -> str:
     """``name``, with underscores before it until no column has that name."""
     while name in names:
