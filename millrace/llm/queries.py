@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bagminhash, bpe, langid, lines, media, packing, resample, secrets, simhash, spotsigs, toxicity, words64
+from millrace.llm import bagminhash, bpe, k2treap, langid, lines, media, packing, resample, secrets, simhash, spotsigs, toxicity, words64
 from millrace.sources.tables import load
 
 
@@ -65,6 +65,11 @@ def op10_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"))
 
 
+def op11_k2treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item, from K2-treaps over all documents."""
+    return k2treap.search(k2treap.build(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.components(load(spark, sf_dir, "documents"))
@@ -75,7 +80,7 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_spotsigs, op2_line_dedup, op3_media_chunks, op4_simple8b, op5_bagminhash, op6_toxicity, op7_best_fit_packing, op8_secret_scan, op9_language_id, op10_backtracking_bpe, op12_simhash, op13_resample)
+OPERATORS = (op1_spotsigs, op2_line_dedup, op3_media_chunks, op4_simple8b, op5_bagminhash, op6_toxicity, op7_best_fit_packing, op8_secret_scan, op9_language_id, op10_backtracking_bpe, op11_k2treap, op12_simhash, op13_resample)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
