@@ -25,6 +25,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -40,9 +41,9 @@ from millrace.sources.tables import Workspace, materialize
 TOP = 20
 #: Documents and cells of a block; the last document may go beyond the cells.
 BLOCK_DOCS = 8192
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 19
 #: Ranges that are halved at once.
-BATCH = 64
+BATCH = 128
 #: Bytes of items that are asked in one round.
 ITEM_BYTES = 1 << 23
 COUNT_BITS = np.array([bin(i).count("1") for i in range(16)], np.uint8)
@@ -90,19 +91,27 @@ class Treap:
         self.height = height
         # one further node, empty, stands for the quarters that aren't there
         self.none = len(tops)
+        self.inner = len(kids)
         self.kids = np.zeros(len(tops) + 1, np.uint8)
         self.kids[: len(kids)] = kids
-        counts = COUNT_BITS[self.kids].astype(np.int64)
-        self.first = 1 + np.cumsum(counts) - counts
-        self.tops = np.append(tops, 0).astype(np.int64)
+        self.tops = np.append(tops, np.int32(0))
+
+    @functools.cached_property
+    def first(self) -> np.ndarray:
+        """The place of each node's first child."""
+        counts = COUNT_BITS[self.kids]
+        ends = np.cumsum(counts, dtype=np.int32)
+        ends -= counts
+        ends += 1
+        return ends
 
     @classmethod
     def build(cls, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> Treap:
-        """From the cells of a grid, each once, of values above 0."""
+        """From the cells of a grid, each once, of values above 0 and below 2^31."""
         height = max(1, int(max(rows.max(initial=0), columns.max(initial=0))).bit_length())
         codes = (spread(rows) << np.uint64(1)) | spread(columns)
         order = np.argsort(codes)
-        codes, values = codes[order], values[order]
+        codes, values = codes[order], values[order].astype(np.int32)
         kids, tops = [], [values]
         for _ in range(height if len(codes) else 0):
             parents = codes >> np.uint64(2)
@@ -114,18 +123,16 @@ class Treap:
 
     def packed(self) -> tuple[bytes, bytes]:
         """The inner nodes' bits; and the values as differences from the parents', their bytes of equal place together."""
-        n = self.none
-        inner = int(np.count_nonzero(self.kids))
-        own = self.tops[:n].copy()
-        own[1:] = np.repeat(self.tops[:inner], COUNT_BITS[self.kids[:inner]]) - self.tops[1:n]
-        return self.kids[:inner].tobytes(), own.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        kids, own = self.kids[: self.inner], self.tops[: self.none].copy()
+        own[1:] = np.repeat(self.tops[: self.inner], COUNT_BITS[kids]) - own[1:]
+        return kids.tobytes(), own.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
 
     @classmethod
     def unpacked(cls, height: int, kids: bytes, tops: bytes) -> Treap:
         """What ``packed`` gave."""
         bits = np.frombuffer(kids, np.uint8)
-        values = np.ascontiguousarray(np.frombuffer(tops, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
-        counts = COUNT_BITS[bits].astype(np.int64)
+        values = np.ascontiguousarray(np.frombuffer(tops, np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
+        counts = COUNT_BITS[bits]
         start, end = 0, min(1, len(values))
         while end < len(values):  # a level at a time: its nodes' children are the next level
             below = np.repeat(values[start:end], counts[start:end])
@@ -140,7 +147,7 @@ class Treap:
         """
         nodes = np.zeros((1, len(rows)), np.int64)
         height, start = np.array([self.height]), np.array([0])
-        bound = self.tops[nodes] @ weights
+        bound = self.tops[nodes].astype(np.int64) @ weights
         columns, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         while True:
             open_ = bound >= least
@@ -158,7 +165,7 @@ class Treap:
             for half in (0, 1):
                 quarter = upper + half
                 child = np.where((bits >> quarter) & 1, base + COUNT_BITS[bits & ((1 << quarter) - 1)], self.none)
-                made.append((child, level, start[pick] + (half << level), self.tops[child] @ weights))
+                made.append((child, level, start[pick] + (half << level), self.tops[child].astype(np.int64) @ weights))
             new_nodes, new_height, new_start, new_bound = (np.concatenate(x) for x in zip(*made, strict=True))
             ends = (new_height == 0) & (new_bound >= least)
             if ends.any():
@@ -171,9 +178,10 @@ class Treap:
             height, start, bound = (np.concatenate([x[rest], y[on]]) for x, y in ((height, new_height), (start, new_start), (bound, new_bound)))
 
 
-def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """What a term's occurrences add to a document's score, before the term's weight."""
-    return 1_000_000_000 * tf // (1000 * tf + 12 * m)
+def impact(tf: np.ndarray, m: int) -> np.ndarray:
+    """What terms' occurrences in a document add to its score, before the terms' weights; below 10^6."""
+    tf = tf.astype(np.int64)
+    return (1_000_000_000 * tf // (1000 * tf + 12 * m)).astype(np.int32)
 
 
 BLOCK = "doc_ids array<long>, terms binary, counts array<int>, height int, kids binary, tops binary"
@@ -182,11 +190,11 @@ BLOCK = "doc_ids array<long>, terms binary, counts array<int>, height int, kids
 def block_row(doc_ids: list, vocabulary: dict[bytes, int], rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> list:
     """A block's row: columns go by ascending doc_id, rows by how many documents have the term."""
     order = sorted(range(len(doc_ids)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0))
-    column = np.empty(len(order), np.int64)
+    column = np.empty(len(order), np.int32)
     column[order] = np.arange(len(order))
     counts = np.bincount(rows, minlength=len(vocabulary))
     by_count = np.argsort(-counts, kind="stable")
-    row = np.empty(len(by_count), np.int64)
+    row = np.empty(len(by_count), np.int32)
     row[by_count] = np.arange(len(by_count))
     treap = Treap.build(row[rows], column[columns], values)
     terms = list(vocabulary)
@@ -203,8 +211,8 @@ def build(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_cells: int = BLOC
 
         def flush():
             vocabulary.default_factory = None
-            columns = np.repeat(np.arange(len(held)), held)
-            values = impact(np.concatenate(times), np.array(margins, np.int64)[columns])
+            columns = np.repeat(np.arange(len(held), dtype=np.int32), held)
+            values = np.concatenate([impact(t, m) for t, m in zip(times, margins, strict=True)])
             return common.to_batch(schema, [[x] for x in block_row(doc_ids, vocabulary, np.concatenate(rows), columns, values)])
 
         vocabulary.default_factory = vocabulary.__len__
@@ -215,8 +223,8 @@ def build(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_cells: int = BLOC
                     continue
                 counted = Counter(words)
                 doc_ids.append(doc_id)
-                rows.append(np.fromiter(map(vocabulary.__getitem__, counted), np.int64, len(counted)))
-                times.append(np.fromiter(counted.values(), np.int64, len(counted)))
+                rows.append(np.fromiter(map(vocabulary.__getitem__, counted), np.int32, len(counted)))
+                times.append(np.fromiter(counted.values(), np.int32, len(counted)))
                 held.append(len(counted))
                 margins.append(75 + 25 * len(words) * n_docs // n_terms)
                 if len(held) >= block_docs or sum(held) >= block_cells:
