@@ -2,7 +2,7 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum, over all
 ways to cut it into pieces, of the product of the pieces' probabilities; the forward algorithm adds these up place by
-place, in running scale for long words. A text's score in a language is the sum of its words' log probabilities. The probabilities come from expectation
+place, in running scale. A text's score in a language is the sum of its words' log probabilities. The probabilities come from expectation
 maximisation over all segmentations (forward and backward sums), on a bounded sample of labelled documents: at most
 TRAIN_DOCS of each language, dealt by a hash of doc_id.
 
@@ -15,6 +15,7 @@ is not held out and not learned from.
 from __future__ import annotations
 
 import functools
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -30,8 +31,10 @@ LETTERS = regex.compile(r"\p{L}+")
 TRAIN_DOCS = 2000
 ROUNDS = 2
 FLOOR = 1e-7
-#: Letters from which a word is summed in running scale, and isn't kept.
+#: Letters from which a word is summed on its own, and isn't kept.
 LONG = 40
+#: Places after which the sums are scaled anew: so many of the least probabilities, and a longest piece's, are above the least double.
+STEP = 8
 #: Words kept between texts, in each of two generations.
 KEPT_WORDS = 150_000
 NONE, UNKNOWN = 0, 1
@@ -65,12 +68,6 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def parts_of(text: str) -> list[str]:
-    """A text's words for learning: those of LONG letters or more, as in scripts without spaces, in parts."""
-    words, size = words_of(text), LONG - 1
-    return words if all(len(w) <= size for w in words) else [w[i : i + size] for w in words for i in range(0, len(w), size)]
-
-
 def lattices(words: list[str], vocabulary: dict[str, int], longest: int):
     """Words of one length at a time: their places, the length, and the piece rows of each (start, size)."""
     by_length: dict[int, list[int]] = defaultdict(list)
@@ -89,14 +86,24 @@ def lattices(words: list[str], vocabulary: dict[str, int], longest: int):
         yield np.array(rows), n + 1, grid
 
 
-def forward(grid: dict, n: int, probability: np.ndarray) -> list[np.ndarray]:
-    """Sums over all segmentations of each prefix: one array (words, languages) a place."""
-    width = len(next(iter(grid.values())))
+def forward(grid: dict, n: int, probability: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums over all segmentations of each prefix, and the logarithm of their scale: arrays (words, languages) of each place."""
+    width, reach = len(next(iter(grid.values()))), max(size for _, size in grid)
     sums = [np.zeros((width, probability.shape[1])) for _ in range(n + 1)]
     sums[0][:] = 1
-    for (start, size), ids in grid.items():  # by start
+    scale, scales, last = np.zeros_like(sums[0]), [], -1
+    for (start, size), ids in sorted(grid.items(), key=lambda x: x[0]):
+        if start != last:
+            last = start
+            if start and start % STEP == 0:
+                ahead = sums[start : start + reach]
+                top = np.maximum.reduce(ahead)
+                for s in ahead:
+                    s /= top
+                scale = scale + np.log(top)
+            scales.append(scale)
         sums[start + size] += sums[start] * probability[ids]
-    return sums
+    return sums, [*scales, scale]
 
 
 def score_long(word: str, vocabulary: dict[str, int], longest: int, probability: np.ndarray) -> np.ndarray:
@@ -111,7 +118,7 @@ def score_long(word: str, vocabulary: dict[str, int], longest: int, probability:
             piece = vocabulary.get(marked[start : start + size], UNKNOWN if size == 1 else NONE)
             if piece:
                 ring[(start + size) % width] += here * probability[piece]
-        if start % 16 == 15:
+        if start % STEP == STEP - 1:
             top = ring.max(axis=0)
             ring /= top
             scale += np.log(top)
@@ -124,28 +131,56 @@ def score_words(words: list[str], path: str, probability: np.ndarray) -> np.ndar
     vocabulary, longest = pieces(path)
     short = [i for i, w in enumerate(words) if len(w) < LONG]
     for rows, n, grid in lattices([words[i] for i in short], vocabulary, longest):
-        out[np.array(short)[rows]] = np.log(forward(grid, n, probability)[n])
+        sums, scales = forward(grid, n, probability)
+        out[np.array(short)[rows]] = np.log(sums[n]) + scales[n]
     for i, w in enumerate(words):
         if len(w) >= LONG:
             out[i] = score_long(w, vocabulary, longest, probability)
     return out
 
 
+def expected_long(word: str, vocabulary: dict[str, int], longest: int, p: list[float]) -> dict[int, float]:
+    """How often each piece is used in a word of any length, over all its segmentations; sums are logarithms, one a place."""
+    marked = "▁" + word
+    n, get, found = len(marked), vocabulary.get, defaultdict(float)
+
+    def total(terms: list[tuple[float, float]]) -> float:
+        top = max(x for x, _ in terms)
+        return top + math.log(sum(q * math.exp(x - top) for x, q in terms))
+
+    def ending(end: int) -> list[tuple[int, int]]:
+        pieces_ = ((size, get(marked[end - size : end], UNKNOWN if size == 1 else NONE)) for size in range(1, min(longest, end) + 1))
+        return [x for x in pieces_ if x[1]]
+
+    ahead, behind = [0.0] * (n + 1), [-math.inf] * n + [0.0]
+    for end in range(1, n + 1):
+        ahead[end] = total([(ahead[end - size], p[piece]) for size, piece in ending(end)])
+    for end in range(n, 0, -1):  # what follows ``end`` is summed; it goes on to where the pieces begin
+        for size, piece in ending(end):
+            start, x = end - size, behind[end] + math.log(p[piece])
+            high, low = max(behind[start], x), min(behind[start], x)
+            behind[start] = high + math.log1p(math.exp(low - high))
+            found[piece] += math.exp(ahead[start] + x - ahead[n])
+    return found
+
+
 def expected_counts(words: Counter, path: str, probability: np.ndarray, language: int) -> np.ndarray:
-    """How often each piece is used, over all segmentations of the counted words (of less than LONG letters) under one language's probabilities."""
-    listed = list(words)
+    """How often each piece is used, over all segmentations of the counted words under one language's probabilities."""
+    vocabulary, longest = pieces(path)
+    listed = [w for w in words if len(w) < LONG]
     times = np.array([words[w] for w in listed], float)
     p = probability[:, [language]]
     out = np.zeros(len(probability))
-    for rows, n, grid in lattices(listed, *pieces(path)):
-        ahead = forward(grid, n, p)
-        behind = [np.zeros((len(rows), 1)) for _ in range(n + 1)]
-        behind[n][:] = 1
-        for start, size in sorted(grid, reverse=True):
-            behind[start] += p[grid[start, size]] * behind[start + size]
-        scale = times[rows][:, None] / np.maximum(ahead[n], 1e-300)
+    for rows, n, grid in lattices(listed, vocabulary, longest):
+        ahead, behind = (forward(g, n, p) for g in (grid, {(n - start - size, size): ids for (start, size), ids in grid.items()}))
+        before, after = ([np.log(s) + scale for s, scale in zip(*x, strict=True)] for x in (ahead, behind))
         for (start, size), ids in grid.items():
-            np.add.at(out, ids, (ahead[start] * p[ids] * behind[start + size] * scale)[:, 0])
+            used = np.exp(before[start] + after[n - start - size] - before[n])
+            np.add.at(out, ids, (p[ids] * used * times[rows][:, None])[:, 0])
+    plain = p[:, 0].tolist()
+    for w in (w for w in words if len(w) >= LONG):
+        for piece, n in expected_long(w, vocabulary, longest, plain).items():
+            out[piece] += n * words[w]
     return out
 
 
@@ -222,7 +257,7 @@ def learn(sample: DataFrame, languages: list[str], probability: np.ndarray, path
             seen: dict[int, Counter] = defaultdict(Counter)
             for b in common.slices(batches):
                 for lang, text in zip(b.column("lang").to_pylist(), common.texts_of(b), strict=True):
-                    seen[languages.index(lang)].update(parts_of(text))
+                    seen[languages.index(lang)].update(words_of(text))
             for k, words in seen.items():
                 found = expected_counts(words, path, known, k)
                 used = np.flatnonzero(found)

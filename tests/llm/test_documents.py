@@ -336,6 +336,67 @@ def test_expected_counts():
     assert np.allclose(langid.expected_counts(words, path, probability, 0), want)
 
 
+def log_sums(word, probability):
+    """The logarithm of the sum over all segmentations, in logarithms."""
+    vocabulary, longest = langid.pieces(langid.default_path())
+    marked = "\u2581" + word
+    places = [0.0] + [-np.inf] * len(marked)
+    for i in range(len(marked)):
+        for n in range(1, min(longest, len(marked) - i) + 1):
+            k = vocabulary.get(marked[i : i + n], langid.UNKNOWN if n == 1 else langid.NONE)
+            if k:
+                places[i + n] = np.logaddexp(places[i + n], places[i] + np.log(probability[k]))
+    return places[-1]
+
+
+def rare_words():
+    rnd = random.Random(8)
+    return ["".join(rnd.choice(letters) for _ in range(n)) for n in (*range(1, 60), 77, 120, 200) for letters in ("abcdefghij", "\u30ab\u30bf\u30ca\u4e2d\u6587", "\u10d0\u10d1\u10d2", "the")]
+
+
+def test_rare_pieces_give_finite_sums():
+    """Words of 1 to 200 letters at probabilities down to 1e-12, mixed with common pieces or not."""
+    path, words = langid.default_path(), rare_words()
+    some = np.random.default_rng(6).random((40_000, 2))
+    for probability in (np.full((40_000, 2), 1e-12), np.where(some < 0.8, 1e-12, some / 100)):
+        probability[langid.NONE], probability[langid.UNKNOWN] = 0, 1e-7
+        found = langid.score_words(words, path, probability)
+        want = [[log_sums(w, probability[:, k]) for k in (0, 1)] for w in words]
+        assert np.isfinite(found).all() and np.allclose(found, want, rtol=1e-9)
+        model = langid.Model(["a", "b"], probability, path)
+        assert all(0 <= score <= 1 for _, score in model.read(words))
+
+
+def test_expected_counts_of_rare_and_long_words():
+    """A piece's expected use is the slope of the summed logarithms in the logarithm of its probability."""
+    path = langid.default_path()
+    vocabulary, longest = langid.pieces(path)
+    some = np.random.default_rng(7).random((40_000, 1))
+    probability = np.where(some < 0.7, 1e-12, some / 50)
+    probability[langid.NONE] = 0
+    for word in ("the", "x" * 39, "nation" * 6, "nation" * 7, "\u30ab\u30bf" * 25, "internationalisation" * 9):
+        found = langid.expected_counts(Counter({word: 2}), path, probability, 0)
+        assert np.isfinite(found).all()
+        long_ = langid.expected_long(word, vocabulary, longest, probability[:, 0].tolist())
+        assert np.allclose([found[k] / 2 for k in long_], list(long_.values()))
+        for k in list(long_)[:12]:
+            up, down = probability[:, 0].copy(), probability[:, 0].copy()
+            up[k], down[k] = up[k] * 1.0001, down[k] / 1.0001
+            slope = (log_sums(word, up) - log_sums(word, down)) / (2 * np.log(1.0001))
+            assert abs(slope - long_[k]) < 1e-3 * max(1, long_[k])
+
+
+def test_accept_keeps_long_rare_words(spark):
+    """Pages of unseen words are rejected for their score or kept, never lost for want of a number."""
+    probability = np.full((40_000, 2), 4e-9)
+    probability[langid.NONE], probability[langid.UNKNOWN] = 0, 1e-7
+    probability[2:, 1] = 3e-9
+    model = langid.Model(["a", "b"], probability, langid.default_path())
+    table = spark.createDataFrame([(i, w) for i, w in enumerate(rare_words())], "doc_id long, text string")
+    assert all(r["score"] == r["score"] for r in langid.predict(table, model).collect())
+    assert langid.accept(table, model, 0.0).count() == table.count()
+
+
 def test_letters():
     """Numerals that are no letters make no word."""
     model = langid.Model(["en", "es"], np.full((40_000, 2), 1e-4), langid.default_path())
