@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import scan
 from millrace.operators.classify import ACTIVE, STATES, TERMINAL
+from millrace.sources.tables import Workspace, materialize
 
 #: The state that each kind of event leads to, and the states it may start from.
 TRANSITIONS = {
@@ -28,10 +32,39 @@ def one_active(requests: DataFrame, key: str, order: list[str], run: str) -> Dat
 
     The holder is an aggregate of each key, joined back, so that a hot key is not sorted in one task.
     """
+    taken = [c for c in ("accepted", "active_run") if c in requests.columns]
+    if taken:
+        raise ValueError(f"requests already have {taken}")
     holder = requests.groupBy(key).agg(F.min_by(run, F.struct(*order)).alias("active_run"))
     return requests.join(holder, key).withColumn("accepted", F.col(run) == F.col("active_run"))
 
 
+def admitted(requests: DataFrame, key: str, at: str, run: str, end: str) -> DataFrame:
+    """Requests over time with accepted and active_run, the run that holds the key then.
+
+    A request is accepted if no accepted run of its key is active: a key is free again from its run's end on, which is null
+    as long as the run goes on. Requests of one time go by ``run``, which tells all rows apart; an end before the request
+    counts as at once. Rows without a key or a time are not judged and left out. A request leads to the first one after its
+    run's end, and those that the first one of each key leads to are accepted; no key's rows are gathered in one task.
+    """
+    taken = [c for c in ("accepted", "active_run") if c in requests.columns]
+    if taken:
+        raise ValueError(f"requests already have {taken}")
+    with Workspace(requests.sparkSession) as w:
+        slim = requests.select(F.col(key).alias("k"), F.col(at).alias("t"), F.col(run).alias("run"), F.col(end).alias("end"), F.struct("*").alias("row"))
+        rows = w.table(scan.positions(slim.where("k is not null and t is not null"), ["k", "t", "run"], w), "requests")
+        ends = rows.where("end is not null").select("k", F.greatest("end", "t").alias("t"), "pos")
+        hops = scan.next_rows(rows.select("k", "t", "pos"), ends, ["k", "t"], True, w)
+        hops = hops.select("pos", F.greatest("next", F.col("pos") + 1).alias("next"))  # a run that ends at once frees the key for the one behind it
+        own, other = rows.select("pos", F.col("k").alias("a")), rows.select(F.col("pos").alias("next"), F.col("k").alias("b"))
+        hops = hops.join(own, "pos").join(other, "next").where("a = b").select("pos", "next")
+        chosen = scan.reached(rows.groupBy("k").agg(F.min("pos").alias("pos")), hops, w).withColumn("accepted", F.lit(True))
+        told = w.table(rows.join(chosen, "pos", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))), "judged")
+        # the last accepted run holds the key; a key's first request is always accepted
+        held = scan.running(told, F.when(F.col("accepted"), F.struct("pos", "run")), "max", "held")
+        return materialize(held.select("row.*", "accepted", F.col("held.run").alias("active_run")), "admitted")
+
+
 class Folds:
     """What runs of events do to each state, numbered as they are met; there are few, as they are maps between ten states.
 
@@ -56,35 +89,38 @@ class Folds:
         return got
 
 
+@functools.cache
+def composed() -> tuple[list[tuple[int, ...]], dict[tuple[int, str], int]]:
+    """All compositions of the events' maps, and the number of each with one more event behind it."""
+    folds, at = Folds(), 0
+    while at < len(folds.ends):
+        for event in TRANSITIONS:
+            folds.then(at, event)
+        at += 1
+    return folds.ends, folds.after
+
+
 def fold_ranges(events: DataFrame, key: str, order: list[str], event: str) -> DataFrame:
     """key, range, no, ends and n: for each key and range of its ordered events, the state that each state ends in, and how many events.
 
-    Events are dealt by key and order, so a key with many has several ranges, and each range is read as a stream.
+    Events are dealt by key and order, so a key with many has several ranges; what is listed is never more than a range.
+    The list is folded by the numbers of the events' compositions, of which there are 555.
     """
     by = [key, *dict.fromkeys([*order, event])]
-    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int64())
-
-    def batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, *kinds), strict=True)], names=["key", "range", "no", "ends", "n"])
-
-    def run(batches):
-        folds, place, kind = Folds(), TaskContext.get().partitionId(), None
-        last, at, n, no = None, 0, 0, 0
-        for b in batches:
-            done, kind = [], b.column("key").type
-            for k, e in zip(b.column("key").to_pylist(), b.column("event").to_pylist(), strict=True):
-                if n and k != last and (k == k or last == last):  # NaN is one key
-                    done.append((last, place, no, folds.ends[at], n))
-                    at, n, no = 0, 0, no + 1
-                last, at, n = k, folds.then(at, e), n + 1
-            if done:
-                yield batch(done, kind)
-        if n:
-            yield batch([(last, place, no, folds.ends[at], n)], kind)
-
-    dealt = events.select(*by).repartitionByRange(*by).sortWithinPartitions(*by).select(F.col(key).alias("key"), F.col(event).alias("event"))
-    kind = dealt.schema["key"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"key {kind}, range int, no long, ends array<int>, n long")
+    maps, after = composed()
+    kinds = {e: i for i, e in enumerate(TRANSITIONS, 1)}
+    width = len(kinds) + 1
+    steps = F.lit(np.array([n if e is None else after[n, e] for n in range(len(maps)) for e in (None, *TRANSITIONS)], np.int32))
+    ends = F.lit(np.array(maps, np.int32).ravel())
+    codes = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
+    code = F.coalesce(F.try_element_at(codes, F.col(event)), F.lit(0))
+    listed = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(by[1:])), code.alias("code"))
+    dealt = events.select(*by).repartitionByRange(*by).select(F.col(key).alias("key"), F.spark_partition_id().alias("range"), listed.alias("e"))
+    found = dealt.groupBy("key", "range").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    number = F.aggregate("e", F.lit(0), lambda n, e: F.get(steps, n * width + e["code"]))
+    numbered = found.select("key", "range", number.alias("number"), F.size("e").cast("long").alias("n"))
+    told = F.transform(F.sequence(F.lit(0), F.lit(len(STATES) - 1)), lambda s: F.get(ends, F.col("number") * len(STATES) + s))
+    return numbered.select("key", "range", F.lit(0).cast("long").alias("no"), told.alias("ends"), "n")
 
 
 def fold_runs(events: DataFrame, key: str, order: list[str], event: str) -> DataFrame:
@@ -99,6 +135,92 @@ def fold_runs(events: DataFrame, key: str, order: list[str], event: str) -> Data
     return found.select(F.col("key").alias(key), F.get(names, F.col("end")).alias("state"), "events")
 
 
+def observed_states(events: DataFrame, key: str, order: list[str], event: str, start: str = "pendingCapture") -> DataFrame:
+    """The events with state_before, accepted and state_after, the state that the update returns: the new one, or the one observed.
+
+    ``order`` tells a key's events apart. An event that may not start from the run's state, an unknown or a null one
+    changes nothing. A prefix scan: the ranges of the ordered events are folded to maps between states, the maps before
+    a range give the state that it starts with, and each range is replayed on its own as a stream.
+    """
+    with Workspace(events.sparkSession) as w:
+        columns = list(dict.fromkeys([key, *order, event]))
+        named = {c: f"c{i}" for i, c in enumerate(columns)}
+        table = scan.ranged(events.select(*(F.col(c).alias(n) for c, n in named.items())), [named[c] for c in (key, *order)], w, "events")
+        entry = entry_states(table, named[key], named[event], start)
+        rest = pa.schema([("state_before", pa.string()), ("accepted", pa.bool_()), ("state_after", pa.string())])
+
+        def run(batches):
+            part, last, at = None, None, None
+            for b in batches:
+                before, accepted, after = [], [], []
+                for p, k, e in zip(*(b.column(c).to_pylist() for c in ("part", "key", "event")), strict=True):
+                    if p != part or k != last and (k == k or last == last):  # NaN is one key
+                        at = entry.get(p, start) if p != part else start
+                        part, last = p, k
+                    to, sources = TRANSITIONS.get(e, (None, ()))
+                    before.append(at)
+                    accepted.append(at in sources)
+                    at = to if at in sources else at
+                    after.append(at)
+                new = pa.RecordBatch.from_arrays([pa.array(before, pa.string()), pa.array(accepted, pa.bool_()), pa.array(after, pa.string())], schema=rest)
+                yield pa.RecordBatch.from_arrays([b.column("row"), *new.columns], names=["row", *rest.names])
+
+        row = F.struct(*named.values())
+        dealt = table.repartition("part").sortWithinPartitions("part", "place").select("part", F.col(named[key]).alias("key"), F.col(named[event]).alias("event"), row.alias("row"))
+        told = dealt.mapInArrow(run, f"row {dealt.schema['row'].dataType.simpleString()}, state_before string, accepted boolean, state_after string")
+        return materialize(told.select(*(F.col(f"row.{n}").alias(c) for c, n in named.items()), "state_before", "accepted", "state_after"), "observed")
+
+
+def entry_states(table: DataFrame, key: str, event: str, start: str) -> dict[int, str]:
+    """The state in which a range's first key comes out of the ranges before, of those whose first key began there (at most one entry a range)."""
+    edges = table.groupBy("part").agg(F.min_by(F.struct(F.col(key).alias("k")), "place").alias("first"), F.max_by(F.struct(F.col(key).alias("k")), "place").alias("last"))
+    pairs = edges.select("part", "first.k", F.col("last.k").alias("l")).orderBy("part").collect()  # a row for each range
+    same = lambda a, b: a == b or a is not None and b is not None and a != a and b != b
+    crossing = {r["part"] for p, r in zip(pairs, pairs[1:], strict=False) if same(p["l"], r["k"])}
+    feeding = {p["part"] for p, r in zip(pairs, pairs[1:], strict=False) if r["part"] in crossing}
+    if not crossing:
+        return {}
+    ends = {r["part"]: r["ends"] for r in last_key_maps(table.where(F.col("part").isin(*feeding)), key, event).collect()}  # one map a range
+    out, at = {}, start
+    for p, r in zip(pairs, pairs[1:], strict=False):
+        if r["part"] in crossing:
+            at = STATES[ends[p["part"]][STATES.index(at if p["part"] in out and same(p["k"], p["l"]) else start)]]
+            out[r["part"]] = at
+    return out
+
+
+def last_key_maps(table: DataFrame, key: str, event: str) -> DataFrame:
+    """part and ends: what the events of each range's last key do to each state."""
+
+    def run(batches):
+        folds, part, last, at = Folds(), None, None, 0
+        done: list[tuple[int, tuple[int, ...]]] = []
+        for b in batches:
+            for p, k, e in zip(*(b.column(c).to_pylist() for c in ("part", "key", "event")), strict=True):
+                if p != part:
+                    if part is not None:
+                        done.append((part, folds.ends[at]))
+                    part, last, at = p, k, 0
+                elif k != last and (k == k or last == last):
+                    last, at = k, 0
+                at = folds.then(at, e)
+        if part is not None:
+            done.append((part, folds.ends[at]))
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.int32()))], names=["part", "ends"])
+
+    dealt = table.repartition("part").sortWithinPartitions("part", "place").select("part", F.col(key).alias("key"), F.col(event).alias("event"))
+    return dealt.mapInArrow(run, "part long, ends array<int>")
+
+
+def run_times(observed: DataFrame, key: str, order: list[str], at: str) -> DataFrame:
+    """Each run's state and times from its observed events: of entering discovering, a terminal state and interruption; and how many were accepted."""
+    entered = lambda *states: F.min(F.when(F.col("accepted") & F.col("state_after").isin(*states), F.col(at)))
+    return observed.groupBy(key).agg(
+        F.max_by("state_after", F.struct(*order)).alias("state"), entered("discovering").alias("analysis_started_at"), entered(*TERMINAL).alias("terminal_at"),
+        entered("interrupted").alias("interrupted_at"), F.count_if("accepted").alias("accepted_events"),
+    )
+
+
 def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last version of each key."""
     rest = [c for c in rows.columns if c != key]

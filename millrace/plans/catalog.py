@@ -341,3 +341,76 @@ def latest_epoch(spark: SparkSession, d: str) -> DataFrame:
     """The rows of each user's last day."""
     events = load(spark, d, "events").withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp")))
     return state.latest_epoch(events, "user_id", "day").select("user_id", "event_id")
+
+
+RUN_SQL = "user_id * 10 + (day(ts) - 1) // 7"
+EVENT_SQL = "CASE event_type WHEN 'signup' THEN 'capture' WHEN 'view' THEN 'discover' WHEN 'click' THEN 'collect' WHEN 'purchase' THEN 'persist' ELSE ['complete', 'completeWithLimitations', 'fail', 'cancel', 'interrupt'][(event_id % 5 + 1)::int] END"
+AFTER_SQL = "CASE " + " ".join(f"WHEN event = '{e}' AND state IN ({', '.join(repr(s) for s in sources)}) THEN '{to}'" for e, (to, sources) in state.TRANSITIONS.items()) + " ELSE state END"
+OBSERVED_SQL = f"""
+WITH RECURSIVE e AS (SELECT {RUN_SQL} AS run, ts, event_id, {EVENT_SQL} AS event, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT run, 0::bigint AS i, NULL::timestamp AS ts, NULL::bigint AS event_id, '' AS event, '' AS before, 'pendingCapture' AS state FROM (SELECT DISTINCT run FROM e)
+UNION ALL SELECT e.run, e.i, e.ts, e.event_id, e.event, f.state, {AFTER_SQL.replace("event =", "e.event =").replace("state IN", "f.state IN").replace("ELSE state", "ELSE f.state")} FROM f JOIN e ON e.run = f.run AND e.i = f.i + 1)
+"""
+
+
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's week is a run; the kinds of events and, for errors, their number tell what the run is asked to do."""
+    kinds = F.create_map(*(F.lit(x) for kv in {"signup": "capture", "view": "discover", "click": "collect", "purchase": "persist"}.items() for x in kv))
+    ends = F.array(*map(F.lit, ("complete", "completeWithLimitations", "fail", "cancel", "interrupt")))
+    event = F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.get(ends, (F.col("event_id") % 5).cast("int")))
+    run = F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 7)
+    return state.observed_states(load(spark, d, "events").select(run.alias("run"), "ts", "event_id", event.alias("event")), "run", ["ts", "event_id"], "event")
+
+
+@query(OBSERVED_SQL + "SELECT run, event_id, event, before AS state_before, before <> state AS accepted, state AS state_after FROM f WHERE i > 0")
+def observed_states(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's state before and after, and whether it was accepted."""
+    return _observed(spark, d).select("run", "event_id", "event", "state_before", "accepted", "state_after")
+
+
+@query(OBSERVED_SQL + """SELECT run, arg_max(state, i) AS state, min(ts) FILTER (WHERE before <> state AND state = 'discovering') AS analysis_started_at,
+min(ts) FILTER (WHERE before <> state AND state IN ('completed', 'completedWithLimitations', 'cancelled', 'failed')) AS terminal_at,
+min(ts) FILTER (WHERE before <> state AND state = 'interrupted') AS interrupted_at, count(*) FILTER (WHERE before <> state) AS accepted_events FROM f WHERE i > 0 GROUP BY run""")
+def run_times(spark: SparkSession, d: str) -> DataFrame:
+    """Each run's state, when it entered discovering and when it ended, from its observed events."""
+    return state.run_times(_observed(spark, d), "run", ["ts", "event_id"], "ts")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS run, o_orderdate AS t, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_days((o_orderkey % 400)::int) END AS e FROM orders),
+n AS (SELECT run, (SELECT arg_min(p.run, (p.t, p.run)) FROM o p WHERE p.k = o.k AND p.t >= o.e AND (p.t, p.run) > (o.t, o.run)) AS nxt FROM o),
+a AS (SELECT arg_min(run, (t, run)) AS run FROM o GROUP BY k UNION ALL SELECT nxt FROM a JOIN n USING (run) WHERE nxt IS NOT NULL),
+h AS (SELECT o.* FROM o JOIN a USING (run))
+SELECT o.k AS o_custkey, o.run AS o_orderkey, o.run IN (SELECT run FROM a) AS accepted, (SELECT arg_max(h.run, (h.t, h.run)) FROM h WHERE h.k = o.k AND (h.t, h.run) <= (o.t, o.run)) AS active_run FROM o
+""")
+def admitted_requests(spark: SparkSession, d: str) -> DataFrame:
+    """D1 over time: an order is accepted if its customer has no accepted one that is still open; some never close."""
+    orders = load(spark, d, "orders")
+    closed = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 400).cast("int")))
+    return state.admitted(orders.select("o_custkey", "o_orderkey", "o_orderdate", closed.alias("closed")), "o_custkey", "o_orderdate", "o_orderkey", "closed").select("o_custkey", "o_orderkey", "accepted", "active_run")
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT p_brand AS k, p_partkey, strlen(p_name) * p_size AS size, strlen(p_name) + 2 AS cur, p_partkey = min(p_partkey) OVER (PARTITION BY p_brand) AS sugg,
+row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS i FROM part),
+l AS (SELECT k, d, max(i) FILTER (WHERE 50 + size + 8 + d <= 700) AS last FROM r, range(1, 11) t(d) GROUP BY ALL),
+u AS (SELECT k, d, any_value(last) AS last, count(*) - count(*) FILTER (WHERE i = last OR (i < last AND 50 + size + 4 + cur + d <= 700)) AS unfit FROM r JOIN l USING (k) GROUP BY ALL),
+c AS (SELECT DISTINCT k, 0 AS step, 0::bigint AS n FROM r UNION ALL SELECT c.k, step + 1, unfit FROM c JOIN u ON u.k = c.k AND u.d = length(c.n::varchar) WHERE step < 10),
+f AS (SELECT k, n, length(n::varchar) AS d, last FROM c JOIN u USING (k) WHERE step = 10 AND u.d = length(n::varchar)),
+s AS (SELECT r.*, f.n, 700 - 45 - f.d + 1 AS room, coalesce(i = last OR (i < last AND 50 + size + 4 + cur + f.d <= 700), false) AS ok, CASE WHEN i = last THEN 4 ELSE cur END AS c2 FROM r JOIN f USING (k)),
+t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS j, max(size) FILTER (WHERE sugg) OVER (PARTITION BY k) AS sb, max(c2) OVER (PARTITION BY k) AS most FROM s WHERE ok),
+v AS (SELECT *, coalesce(size + 1 + c2 <= room - CASE WHEN most <= room - sb THEN sb END, false) AS fits FROM t),
+p AS (SELECT k, j, p_partkey, 1 AS page, size + 1 AS used, fits FROM v WHERE j = 1
+UNION ALL SELECT v.k, v.j, v.p_partkey, CASE WHEN p.used + v.size + 1 + v.c2 <= v.room - CASE WHEN p.fits THEN v.sb ELSE 4 END THEN p.page ELSE p.page + 1 END,
+CASE WHEN p.used + v.size + 1 + v.c2 <= v.room - CASE WHEN p.fits THEN v.sb ELSE 4 END THEN p.used + v.size + 1 ELSE v.size + 1 END,
+CASE WHEN p.used + v.size + 1 + v.c2 <= v.room - CASE WHEN p.fits THEN v.sb ELSE 4 END THEN p.fits ELSE v.fits END FROM p JOIN v ON v.k = p.k AND v.j = p.j + 1)
+SELECT s.p_partkey, ok AS supported, n AS unsupported_count, page::bigint AS page, p.fits AS with_suggestion FROM s LEFT JOIN p USING (p_partkey)
+""")
+def all_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every brand's parts in pages of 700 bytes, the brand's first part as suggestion; parts that fit no page are counted in the page."""
+    part = load(spark, d, "part").select("p_brand", "p_partkey", "p_name", "p_size")
+    first = part.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("least"))
+    rows = part.join(first, (part["p_brand"] == first["brand"]) & (part["p_partkey"] == first["least"]), "left")
+    name = F.octet_length("p_name")
+    found = paging.pages(rows, "p_brand", ["p_name", "p_partkey"], name * F.col("p_size"), name + 2, F.lit(45), F.lit(50), 700, F.col("least").isNotNull())
+    return found.select("p_partkey", "supported", "unsupported_count", "page", "with_suggestion")
