@@ -12,19 +12,24 @@ from pyspark.sql import functions as F
 
 
 def field(c: Column | str) -> Column:
-    """A field as hex; a Python string is a literal."""
-    c = F.lit(c) if isinstance(c, str) else c
+    """A field as hex; a Python string is a literal. A null is an error: what may be null belongs in ``nullable``."""
+    if isinstance(c, str):
+        return _hex(F.lit(c))
+    return F.when(c.isNull(), F.raise_error(F.lit("null in a field that may not be null"))).otherwise(_hex(c))
+
+
+def _hex(c: Column) -> Column:
     return F.concat(F.lpad(F.hex(F.octet_length(c)), 8, "0"), F.hex(F.encode(c, "UTF-8")))
 
 
 def nullable(marker: str, c: Column) -> Column:
     """A marker, and absent or present with the value."""
-    return F.concat(field(marker), F.when(c.isNull(), field("absent")).otherwise(F.concat(field("present"), F.coalesce(field(c), F.lit("")))))
+    return F.concat(field(marker), F.when(c.isNull(), field("absent")).otherwise(F.concat(field("present"), F.coalesce(_hex(c), F.lit("")))))
 
 
 def boolean(marker: str, c: Column) -> Column:
-    """A marker, and true or false."""
-    return F.concat(field(marker), F.when(c, field("true")).otherwise(field("false")))
+    """A marker, and true or false; a null is an error."""
+    return F.concat(field(marker), F.when(c, field("true")).when(~c, field("false")).otherwise(F.raise_error(F.lit("null in a field that may not be null"))))
 
 
 def record(*parts: Column) -> Column:

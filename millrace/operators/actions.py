@@ -47,7 +47,8 @@ def prepare(requests: DataFrame, targets: DataFrame, outputs: dict[str, DataFram
     ``requests`` has name, target, repository (canonical_path, name, head), target_set_token and, as read at the end,
     ending_head, ending_target_revision, ending_target_set_token; ``targets`` has name, kind, short_name, full_name and
     revision of each comparison's targets; ``outputs`` has the captures bases, counts, diff, before and after. A comparison
-    without one of its captures has failed. The first error in the order of the steps counts.
+    without one of its captures has failed. A target that isn't there exactly once is invalid. The first error in the order
+    of the steps counts. Renames are followed while the plan is made: that starts jobs.
     """
     read = {
         "bases": R.merge_base_records(outputs["bases"]), "counts": R.commit_count_records(outputs["counts"]), "diff": R.raw_diff_records(outputs["diff"]),
@@ -55,6 +56,7 @@ def prepare(requests: DataFrame, targets: DataFrame, outputs: dict[str, DataFram
     }
     before, after = R.scan_status(outputs["before"]), R.scan_status(outputs["after"])
     chosen = targets.select("name", F.col("full_name").alias("target"), F.struct("kind", F.col("short_name").alias("name"), F.col("full_name").alias("fullName"), "revision").alias("chosen"))
+    chosen = chosen.groupBy("name", "target").agg(F.count("*").alias("n"), F.first("chosen").alias("chosen")).where("n = 1").drop("n")
     rows = requests.join(chosen, ["name", "target"], "left")
     for label, found in read.items():
         rows = rows.join(verdict(outputs[label], found, f"{label}_read"), "name", "left")

@@ -77,6 +77,19 @@ def parameters_ok(request: Column, action: Column) -> Column:
     return F.coalesce(shape & once & by_action, F.lit(False))
 
 
+def one_json(text: Column) -> tuple[Column, Column]:
+    """Whether a text is exactly one JSON value with nothing behind it, without and with repeated members in objects.
+
+    The parsers leave unread what is behind a value. So the text must be all of an array, and also all of an object: what
+    ends the one early doesn't end the other.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    array, object_ = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"value":'), text, F.lit("}"))
+    single = (F.size(F.try_variant_get(F.try_parse_json(array), "$", "array<variant>")) == 1) & F.try_parse_json(object_).isNotNull()
+    repeated = (F.size(F.from_json(array, "array<string>", strict)) == 1) & (F.size(F.from_json(object_, "map<string,string>", strict)) == 1)
+    return F.coalesce(single, F.lit(False)), F.coalesce(repeated, F.lit(False))
+
+
 def parse_requests(frame: DataFrame) -> DataFrame:
     """Request lines (value, and too_large where the reader has measured it) with request_id, action, parameters and an error.
 
@@ -85,8 +98,9 @@ def parse_requests(frame: DataFrame) -> DataFrame:
     """
     large = F.coalesce("too_large", F.lit(False)) if "too_large" in frame.columns else F.lit(False)
     request, whole = F.try_parse_json("value"), F.when(~large, F.col("value"))
+    single, repeated = one_json(whole)
     raw = frame.select(
-        "*", (request.isNull() & F.json_object_keys("value").isNull()).alias("bad_json"), large.alias("large"), F.try_variant_get(request, "$.protocolVersion", "int").alias("version"), member_kind(request, "$.protocolVersion").alias("version_kind"),
+        "*", (~single & ~repeated).alias("bad_json"), single.alias("single"), large.alias("large"), F.try_variant_get(request, "$.protocolVersion", "int").alias("version"), member_kind(request, "$.protocolVersion").alias("version_kind"),
         *(F.when(~large, text_member(request, f"$.{k}")).alias(n) for k, n in (("requestId", "request_id"), ("action", "action"))), F.get_json_object(whole, "$.parameters").alias("parameters"),
     )
     texts = F.col("request_id").isNotNull() & F.col("action").isNotNull() & (F.col("version_kind") == "BIGINT") & F.col("version").isNotNull()
@@ -94,7 +108,7 @@ def parse_requests(frame: DataFrame) -> DataFrame:
     error = (
         F.when(F.col("large"), "requestTooLarge")
         .when(F.col("bad_json"), "invalidJson")
-        .when(~strict_object(F.col("value"), ENVELOPE, ENVELOPE[:3]), "malformedRequest")
+        .when(~F.col("single") | ~strict_object(F.col("value"), ENVELOPE, ENVELOPE[:3]), "malformedRequest")
         .when(~version & (F.col("version_kind").isin("BIGINT", "STRING")), "unsupportedVersion")
         .when(~F.coalesce(texts, F.lit(False)), "malformedRequest")
         .when(~non_blank(F.col("request_id")) | ~non_blank(F.col("action")), "blankField")

@@ -40,7 +40,7 @@ def working_order() -> list[Column]:
 
 
 def freshness_tokens(comparisons: DataFrame, working: DataFrame) -> DataFrame:
-    """name and freshness_token of each comparison (A7b), also of those with a clean working tree.
+    """name and freshness_token of each comparison (A7b), also of those with a clean working tree; null for one whose target isn't known.
 
     ``comparisons`` has name, repository (canonical_path, head), target, chosen (revision) and target_set_token.
     """
@@ -52,7 +52,7 @@ def freshness_tokens(comparisons: DataFrame, working: DataFrame) -> DataFrame:
     )
     body = ordered_records(working_order(), working_record())
     entries = working.groupBy("name").agg(body.alias("records"), F.count("*").alias("n"))
-    joined = comparisons.select("name", header.alias("header")).join(entries, "name", "left")
+    joined = comparisons.select("name", F.when(F.col("chosen.revision").isNotNull(), header).alias("header")).join(entries, "name", "left")
     count = F.coalesce("n", F.lit(0)).cast("string")
     return joined.select("name", digest(F.concat("header", field(count), F.coalesce("records", F.lit("")))).alias("freshness_token"))
 

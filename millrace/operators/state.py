@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,8 +109,9 @@ def fold_ranges(events: DataFrame, key: str, order: list[str], event: str) -> Da
     maps, after = composed()
     kinds = {e: i for i, e in enumerate(TRANSITIONS, 1)}
     width = len(kinds) + 1
-    steps = F.lit(np.array([n if e is None else after[n, e] for n in range(len(maps)) for e in (None, *TRANSITIONS)], np.int32))
-    ends = F.lit(np.array(maps, np.int32).ravel())
+    table = lambda numbers: F.split(F.lit(" ".join(map(str, numbers))), " ").cast("array<int>")  # noqa: E731  one constant in the plan
+    steps = table(n if e is None else after[n, e] for n in range(len(maps)) for e in (None, *TRANSITIONS))
+    ends = table(s for m in maps for s in m)
     codes = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
     code = F.coalesce(F.try_element_at(codes, F.col(event)), F.lit(0))
     listed = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(by[1:])), code.alias("code"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,17 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "millrace"), "zip", os.path.dirname(package), os.path.basename(package)))
 
 
+def shipped(operator: Callable) -> Callable:
+    """An operator whose first argument is a DataFrame, of any origin: the package is sent before its plan is made."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **options):
+        ship_package(df.sparkSession)
+        return operator(df, *args, **options)
+
+    return run
+
+
 def is_local(spark: SparkSession) -> bool:
     """Whether driver and executors are one process, which then share every folder."""
     master = spark.sparkContext.master
@@ -82,6 +95,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
+        ship_package(spark)  # before any plan with functions of the package is made
         self.spark = spark
         self.paths: list[tuple[str, DataFrame]] = []
 

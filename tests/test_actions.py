@@ -61,6 +61,17 @@ def test_prepare(prepared):
     assert got["empty"]["freshness_token"] == token()
 
 
+def test_a_target_twice_is_invalid(spark):
+    """A target that is listed twice gives one row, with an error."""
+    head = "struct<kind:string,name:string,revision:string>"
+    schema = f"name string, target string, repository struct<canonical_path:string,name:string,head:{head}>, target_set_token string, ending_head {head}, ending_target_revision string, ending_target_set_token string"
+    rows = [(n, TARGET, ("/w/x", "x", HEAD), "t", HEAD, C, "t") for n in ("once", "twice")]
+    targets = [(n, "local", "base", TARGET, C) for n in ("once", "twice", "twice")]
+    outputs = {k: spark.createDataFrame([(n, CASES[0][i]) for n in ("once", "twice")], "name string, content string") for i, k in enumerate(("bases", "counts", "diff", "before", "after"), 1)}
+    out = actions.prepare(spark.createDataFrame(rows, schema), spark.createDataFrame(targets, "name string, kind string, short_name string, full_name string, revision string"), outputs)
+    assert sorted((r["name"], r["error"]) for r in out.collect()) == [("once", None), ("twice", "targetInvalid")]
+
+
 def test_errors_are_responses(prepared):
     lines = contract.responses(prepared.select(F.col("name").alias("request_id"), "error", "result")).collect()
     said = {m["requestId"]: m for m in (json.loads(r[0]) for r in lines)}

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import canonical
 from millrace.operators import classify, contract, paging, state
 from millrace.sources import records
 from millrace.streaming import runs
@@ -153,10 +154,32 @@ STRICT = {
     "path is missing": (request(parameters={}), "invalidParameters"), "no parameters": (request(action="comparisons.prepare", parameters=...), "invalidParameters"),
     "optional is null": (request(action="comparisons.listTargets", parameters={"path": "/x", "query": None}), None), "optional is left out": (request(action="comparisons.listTargets"), None),
     "optional is a number": (request(action="comparisons.listTargets", parameters={"path": "/x", "after": 1}), "invalidParameters"), "blank line": ("", "invalidJson"), "half a line": ('{"a"', "invalidJson"),
+    "text behind": (request() + " x", "invalidJson"), "object behind": (request() + '{"b":1}', "invalidJson"), "list behind": (request() + "," + request(), "invalidJson"), "closed early": (request() + "] [" + request(), "invalidJson"),
+    "closed early twice": (request() + '}] [{"a":1', "invalidJson"), "comment behind": (request() + "//c", "invalidJson"), "single quotes": (request().replace('"', "'"), "invalidJson"), "a list": ("[" + request() + "]", "malformedRequest"), "a null": ("null", "malformedRequest"),
+    "space around": ("  " + request() + " \t", None), "repeated inside": (request(action="comparisons.listTargets").replace('"path"', '"path":"/y","path"'), "malformedRequest"),
     "too large": (request() + " " * 70_000, "requestTooLarge"), "version is a fraction": (request(protocolVersion=1.5), "malformedRequest"),
 }
 
 
+def test_null_fields_raise(spark):
+    """A record with a null in a field that may not be null isn't left out of a fingerprint; it is refused."""
+    table = spark.createDataFrame([("zzz", None), ("b", 1)], "k string, v long")
+    body = canonical.record(canonical.field(F.col("k")), canonical.field(F.col("v").cast("string")))
+    for frame in (canonical.fingerprint(table, canonical.field("v1"), [F.col("k")], body), canonical.bulk_fingerprint(table, "k", body), table.select(canonical.boolean("m", F.col("v") > 0))):
+        with pytest.raises(Exception, match="null"):
+            frame.collect()
+    body = canonical.record(canonical.field(F.col("k")), canonical.nullable("v", F.col("v").cast("string")))
+    other = table.withColumn("k", F.when(F.col("k") == "zzz", "a").otherwise(F.col("k")))
+    prints = [canonical.fingerprint(t, canonical.field("v1"), [F.col("k")], body).first()["fingerprint"] for t in (table, other)]
+    assert prints[0] != prints[1]
+
+
+def test_one_active_names(spark):
+    table = spark.createDataFrame([("k", 1, 10, 3)], "key string, at int, run int, active_run int")
+    with pytest.raises(ValueError, match="active_run"):
+        state.one_active(table, "key", ["at"], "run")
+
+
 def test_strict_requests(spark):
     table = spark.createDataFrame([(k, v[0]) for k, v in STRICT.items()], "name string, value string")
     parsed = contract.parse_requests(records.request_lines(table))
