@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import common
 from millrace.llm.tokens import Encoder, byte_letters, default_path
+from millrace.sources.tables import shipped
 
 
 class BytePairs:
@@ -163,6 +164,7 @@ def tables(path: str) -> tuple[BytePairs, Encoder]:
     return pairs, Encoder(pairs.encode_piece, pairs.specials)
 
 
+@shipped
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the array of token ids of each whole text."""
     path = path or default_path()
@@ -191,6 +193,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+@shipped
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode and decode each whole text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path = path or default_path()

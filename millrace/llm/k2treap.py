@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.sources.tables import Workspace, materialize
+from millrace.sources.tables import Workspace, materialize, shipped
 
 TOP = 20
 #: Documents and cells of a block; the last document may go beyond the cells.
@@ -201,6 +201,7 @@ def block_row(doc_ids: list, vocabulary: dict[bytes, int], rows: np.ndarray, col
     return [[doc_ids[i] for i in order], b" ".join(terms[i] for i in by_count.tolist()), counts[by_count].tolist(), treap.height, *treap.packed()]
 
 
+@shipped
 def build(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_cells: int = BLOCK_CELLS) -> Index:
     """The index of all terms of all documents, written to the shared folder."""
     n_docs, n_terms = sizes(docs)

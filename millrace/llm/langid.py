@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.sources.tables import Workspace
+from millrace.sources.tables import Workspace, shipped
 
 LETTERS = regex.compile(r"\p{L}+")
 TRAIN_DOCS = 2000
@@ -229,6 +229,7 @@ class Model:
         return out
 
 
+@shipped
 def train(docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from the documents that are not held out and have a lang: at most about ``train_docs`` of each language."""
     path = path or default_path()
@@ -274,6 +275,7 @@ def learn(sample: DataFrame, languages: list[str], probability: np.ndarray, path
     return probability
 
 
+@shipped
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -286,6 +288,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+@shipped
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with a score of at least ``least``; columns as they are."""
 

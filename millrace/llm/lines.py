@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.sources.tables import Workspace, materialize
+from millrace.sources.tables import Workspace, materialize, shipped
 
 LEAST = 8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -188,6 +188,7 @@ def removals(docs: DataFrame) -> DataFrame:
         return materialize(listed, "op2-removals")
 
 
+@shipped
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that repeat earlier ones; its columns, and __lines and __gone, how many lines a text had and lost.
 

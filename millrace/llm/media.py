@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.sources.tables import Workspace, materialize
+from millrace.sources.tables import Workspace, materialize, shipped
 
 UNIT, PAD = 576, 255
 LEAST, MOST, MASK = 256, 4096, (1 << 10) - 1
@@ -137,6 +137,7 @@ def bodies(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key binary, doc_id long, body binary")
 
 
+@shipped
 def write(docs: DataFrame) -> DataFrame:
     """Store all documents; returns the store's rows, one for each distinct document.
 
@@ -183,6 +184,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.substring(key, 1, 16).alias("key"), "doc_id", "text")
 
 
+@shipped
 def read(store: DataFrame) -> DataFrame:
     """Put every stored payload together, verify it, and compute its columns; a row for each row of the store."""
     lacking = F.size("missing") > 0

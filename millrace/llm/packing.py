@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 from millrace.llm.tokens import default_path, library_encoder
-from millrace.sources.tables import materialize
+from millrace.sources.tables import materialize, shipped
 
 WINDOW = 2048
 END_ID = 1
@@ -115,6 +115,7 @@ def slots(classes: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
     return out
 
 
+@shipped
 def cut(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens."""
     path = path or default_path()
@@ -134,6 +135,7 @@ def cut(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length int, ids_crc32 long, doc_tokens long")
 
 
+@shipped
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pack all documents: the columns of ``cut`` and sequence_id, offset."""
     spark = docs.sparkSession

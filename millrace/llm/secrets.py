@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm import common
+from millrace.sources.tables import shipped
 
 #: A trigram query: None asks nothing, a string is one trigram, ("and" | "or", parts) combines.
 Query = None | str | tuple
@@ -204,6 +205,7 @@ def scan_block(texts: list[str], rules: tuple[Rule, ...] = RULES, index: BlockIn
     return [sorted(spans) for spans in out]
 
 
+@shipped
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and the array of spans (kind, start, end) of each whole text, by start, then in the rules' order."""
     kinds = [r.kind for r in rules]
@@ -220,6 +222,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
+@shipped
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of every rule replaced by ``mark`` (overlapping spans by one) and n_chars, if there is one, set anew."""
     names = docs.columns

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common, linking
-from millrace.sources.tables import Workspace, materialize
+from millrace.sources.tables import Workspace, materialize, shipped
 
 #: Anchors, the commonest function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -90,6 +90,7 @@ def pruned_alike(x: np.ndarray, y: np.ndarray, ratio: float, step: int = 64) ->
     return enough(both)
 
 
+@shipped
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
@@ -101,6 +102,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+@shipped
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (the least doc_id of its near-duplicates, or its own) of each document.
 
@@ -126,6 +128,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return materialize(placed.join(least, "root").select("doc_id", "class_id"), "op1-classes")
 
 
+@shipped
 def with_next(docs: DataFrame) -> DataFrame:
     """The query's rows: each document's fingerprint, its edited text's, and its likeness to that and to the next document.
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
+from millrace.sources.tables import shipped
 
 TRAIN_DOCS = 3000
 #: Most terms that are learned, and the least number of toxic documents and log odds that a term needs.
@@ -182,6 +183,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, .
     return DEFAULT_CURVE
 
 
+@shipped
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Lexicon:
     """Learn terms, weights and the curve from at most about ``train_docs`` documents of each label."""
     usable = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~in_class())
@@ -225,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> L
     return Lexicon(weights, fit_curve(x, y))
 
 
+@shipped
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, held_out, score, predicted of each whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 from millrace.llm.tokens import default_path, library_encoder
-from millrace.sources.tables import materialize
+from millrace.sources.tables import materialize, shipped
 
 #: Ids in a word and bits of each, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -95,6 +95,7 @@ def unpack(words: np.ndarray, n: int, escaped=(), values=()) -> np.ndarray:
 FILE = "block int, part long, doc_ids array<long>, n_tokens array<int>, first long, n_ids int, words binary, escaped array<int>, escapes array<long>"
 
 
+@shipped
 def write(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode, order and write all documents; returns the written file's blocks.
 
@@ -136,6 +137,7 @@ def write(docs: DataFrame, path: str | None = None) -> DataFrame:
     return materialize(dealt.sortWithinPartitions("block", "doc_id", "text").mapInArrow(run, FILE), "op4-words")
 
 
+@shipped
 def read(blocks: DataFrame) -> DataFrame:
     """Decode a written file: doc_id, start, n_tokens, ids_crc32 of each document, in any order."""
     totals = blocks.groupBy("block").agg(F.sum("n_ids").alias("n")).collect()  # at most MAX_BLOCKS rows
