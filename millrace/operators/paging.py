@@ -84,18 +84,18 @@ def target_page(targets: DataFrame, envelope: int, budget: int = PAGE_BYTES) ->
         count = found
 
 
-def pages(rows: DataFrame, key: str, order: list[str | Column], size: Column, cursor: Column, envelope: Column, probe: Column, budget: int = PAGE_BYTES, suggested: Column | None = None, excluded: Column | None = None) -> DataFrame:
+def pages(rows: DataFrame, key: str, order: list[str | Column], size: Column, cursor: Column, envelope: Column, probe: Column, budget: int = PAGE_BYTES, suggested: Column | None = None, excluded: Column | None = None, skip: Column | None = None) -> DataFrame:
     """All pages of all lists at once (A2, O9): the rows with supported, unsupported_count, page and with_suggestion.
 
     A list is the rows of a ``key`` in ``order``, which tells them apart. A response's bytes are its ``envelope``, its rows'
     ``size`` with commas between them, the cursor (that of its last row, or null at the list's end), the suggestion (the
     size of the row that is ``suggested``, or null) and the digits of the count of unsupported rows, which starts from
-    ``excluded``. A row is unsupported if a response of ``probe`` bytes with it alone is over the budget; as the count is
-    part of that response, this is the least fixpoint. Pages take as many rows as fit, numbered from 1. A page whose first
-    row doesn't fit beside the suggestion has none. Envelope, probe and excluded are the same for all rows of a list.
+    ``excluded``. Only a list's first page has the suggestion, and not even that one if its first row doesn't fit beside it.
+    Rows to ``skip``, up to a cursor, are on no page, and pages begin behind them. A row is unsupported if a response of ``probe`` bytes with it alone is over the budget; as the count is
+    part of that response, this is the least fixpoint. Pages take as many rows as fit, numbered from 1. Envelope, probe and excluded are the same for all rows of a list.
 
-    page is null for unsupported rows, and from a row on that fits no page even without the suggestion. A list whose
-    suggestion leaves less room than one of its cursors needs has no suggestion on any page. Rows without a key are left out.
+    page is null for unsupported and skipped rows, and from a row on that fits no page even without the suggestion. Rows
+    without a key are left out.
 
     Each row leads to the row that would begin the page behind it, found by the running sums; the rows that a list's
     first one leads to begin its pages. No list is gathered in one task.
@@ -106,10 +106,11 @@ def pages(rows: DataFrame, key: str, order: list[str | Column], size: Column, cu
     null, digits = F.lit(NULL_BYTES).cast("long"), range(1, DIGITS + 1)
     flag = F.lit(False) if suggested is None else F.coalesce(suggested, F.lit(False))
     start = F.lit(0) if excluded is None else excluded
+    past = F.lit(False) if skip is None else F.coalesce(skip, F.lit(False))
     values = {"size": size, "cursor": cursor, "envelope": envelope, "probe": probe, "start": start}
     with Workspace(rows.sparkSession) as w:
         ordered = {f"o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
-        slim = rows.select(F.struct("*").alias("row"), F.col(key).alias("k"), *(c.alias(n) for n, c in ordered.items()), *(c.cast("long").alias(n) for n, c in values.items()), flag.alias("suggested"))
+        slim = rows.select(F.struct("*").alias("row"), F.col(key).alias("k"), *(c.alias(n) for n, c in ordered.items()), *(c.cast("long").alias(n) for n, c in values.items()), flag.alias("suggested"), past.alias("skip"))
         placed = w.table(scan.positions(slim.where("k is not null"), ["k", *ordered], w).drop("part", "place", *ordered), "rows")
         # for each number of digits: the last row that fits with a null cursor ends the list, rows before it need their own
         alone = F.col("probe") + F.col("size") + null
@@ -125,13 +126,13 @@ def pages(rows: DataFrame, key: str, order: list[str | Column], size: Column, cu
         told = w.table(told.withColumn("supported", fits({"last": F.get("last", F.col("n") - 1), "n": F.col("n")})).withColumn("ends", F.col("pos") == F.get("last", F.col("n") - 1)), "told")
         shown = told.where("supported").withColumn("cur", F.when(F.col("ends"), null).otherwise(F.col("cursor")))
         room = F.lit(budget) - F.col("envelope") - F.col("n") + 1  # beside rows with a comma each, and the cursor
-        most = shown.groupBy("k").agg(F.max("cur").alias("cur_most"), F.max(F.when(F.col("suggested"), F.col("size"))).alias("beside"), F.min("pos").alias("first"))
-        shown = shown.join(most, "k").withColumn("beside", F.when(F.col("cur_most") <= room - F.col("beside"), F.col("beside")))
+        most = shown.groupBy("k").agg(F.max(F.when(F.col("suggested"), F.col("size"))).alias("beside"), F.min(F.when(~F.col("skip"), F.col("pos"))).alias("first"))
+        shown = shown.where("not skip").join(most, "k")
         step = F.col("size") + 1 + F.when(F.col("pos") == F.col("first"), F.lit(budget)).otherwise(F.lit(0))  # lists lie a budget apart
         dense = scan.positions(shown.withColumn("step", step).withColumnRenamed("pos", "old"), ["old"], w)
         sums = w.table(scan.running(dense, F.col("step"), "sum", "total"), "sums")
         reach = w.table(scan.running(sums, F.col("total") + F.col("cur"), "max", "v").drop("part", "place"), "reach")
-        beside = F.coalesce((F.col("size") + 1 + F.col("cur") <= room - F.col("beside")), F.lit(False))
+        beside = (F.col("old") == F.col("first")) & F.coalesce((F.col("size") + 1 + F.col("cur") <= room - F.col("beside")), F.lit(False))
         starts = reach.withColumn("with_suggestion", beside).withColumn("room", room - F.when(beside, F.col("beside")).otherwise(null))
         starts = starts.withColumn("stuck", F.col("size") + 1 + F.col("cur") > F.col("room"))
         begins = w.table(starts.select("pos", "k", (F.col("old") == F.col("first")).alias("is_first"), "with_suggestion", "stuck", (F.col("total") - F.col("size") - 1 + F.col("room")).alias("v")), "starts")

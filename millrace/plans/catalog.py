@@ -398,8 +398,8 @@ u AS (SELECT k, d, any_value(last) AS last, count(*) - count(*) FILTER (WHERE i
 c AS (SELECT DISTINCT k, 0 AS step, 0::bigint AS n FROM r UNION ALL SELECT c.k, step + 1, unfit FROM c JOIN u ON u.k = c.k AND u.d = length(c.n::varchar) WHERE step < 10),
 f AS (SELECT k, n, length(n::varchar) AS d, last FROM c JOIN u USING (k) WHERE step = 10 AND u.d = length(n::varchar)),
 s AS (SELECT r.*, f.n, 700 - 45 - f.d + 1 AS room, coalesce(i = last OR (i < last AND 50 + size + 4 + cur + f.d <= 700), false) AS ok, CASE WHEN i = last THEN 4 ELSE cur END AS c2 FROM r JOIN f USING (k)),
-t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS j, max(size) FILTER (WHERE sugg) OVER (PARTITION BY k) AS sb, max(c2) OVER (PARTITION BY k) AS most FROM s WHERE ok),
-v AS (SELECT *, coalesce(size + 1 + c2 <= room - CASE WHEN most <= room - sb THEN sb END, false) AS fits FROM t),
+t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS j, max(size) FILTER (WHERE sugg) OVER (PARTITION BY k) AS sb FROM s WHERE ok),
+v AS (SELECT *, j = 1 AND coalesce(size + 1 + c2 <= room - sb, false) AS fits FROM t),
 p AS (SELECT k, j, p_partkey, 1 AS page, size + 1 AS used, fits FROM v WHERE j = 1
 UNION ALL SELECT v.k, v.j, v.p_partkey, CASE WHEN p.used + v.size + 1 + v.c2 <= v.room - CASE WHEN p.fits THEN v.sb ELSE 4 END THEN p.page ELSE p.page + 1 END,
 CASE WHEN p.used + v.size + 1 + v.c2 <= v.room - CASE WHEN p.fits THEN v.sb ELSE 4 END THEN p.used + v.size + 1 ELSE v.size + 1 END,
@@ -407,7 +407,7 @@ CASE WHEN p.used + v.size + 1 + v.c2 <= v.room - CASE WHEN p.fits THEN v.sb ELSE
 SELECT s.p_partkey, ok AS supported, n AS unsupported_count, page::bigint AS page, p.fits AS with_suggestion FROM s LEFT JOIN p USING (p_partkey)
 """)
 def all_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Every brand's parts in pages of 700 bytes, the brand's first part as suggestion; parts that fit no page are counted in the page."""
+    """Every brand's parts in pages of 700 bytes, the brand's first part as suggestion of the first page; parts that fit no page are counted in the page."""
     part = load(spark, d, "part").select("p_brand", "p_partkey", "p_name", "p_size")
     first = part.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("least"))
     rows = part.join(first, (part["p_brand"] == first["brand"]) & (part["p_partkey"] == first["least"]), "left")

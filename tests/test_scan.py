@@ -109,7 +109,7 @@ def test_observed_states(spark, many_ranges):
     assert state.observed_states(table.limit(0), "part", ["place", "no"], "event").count() == 0
 
 
-def plain_pages(rows, budget, suggested=None, excluded=0):
+def plain_pages(rows, budget, suggested=None, excluded=0, skipped=0):
     """Supported names, the count, and the pages of one list of (name, size, cursor, envelope, probe), in order."""
     unsupported, count, before = set(), excluded, -1
     while before != count:
@@ -122,11 +122,11 @@ def plain_pages(rows, budget, suggested=None, excluded=0):
                 count += 1
             else:
                 behind = True
-    left = [r for r in rows if r[0] not in unsupported]
-    shown = next((r[1] for r in left if r[0] == suggested), 4)
+    shown = next((r[1] for r in rows if r[0] == suggested and r[0] not in unsupported), 4)
+    left = [r for r in rows[skipped:] if r[0] not in unsupported]
     pages = []
     while left:
-        now, sugg = [], shown
+        now, sugg = [], 4 if pages else shown
         measure = lambda part, s, more: part[0][3] + sum(r[1] for r in part) + len(part) - 1 + (part[-1][2] if more else 4) + s + len(str(count))
         for i, r in enumerate(left):
             more = i < len(left) - 1
@@ -155,14 +155,15 @@ def test_pages(spark, many_ranges, seed):
         start = rnd.choice([0, 8, 98])
         listed = [(f"n{i:04}", rnd.choice([20, 50, 51, 90, 150, 170 + i % 120]), rnd.choice([3, 8, 40]), envelope, probe) for i in range(n)]
         suggestion = rnd.choice([None, *(r[0] for r in listed)]) if listed else None
-        lists[k] = (listed, suggestion, start)
-        rows += [(k, *r, r[0] == suggestion, start, "x") for r in listed]
+        skipped = rnd.choice([0, 0, rnd.randrange(n + 1)])
+        lists[k] = (listed, suggestion, start, skipped)
+        rows += [(k, *r, r[0] == suggestion, start, i < skipped) for i, r in enumerate(listed)]
     rnd.shuffle(rows)
-    table = spark.createDataFrame([*rows, (None, "n", 1, 1, 1, 1, False, 0, "x")], "k int, name string, size int, cursor int, envelope int, probe int, suggested boolean, start int, pos string")
-    got = paging.pages(table, "k", ["name"], *(F.col(c) for c in ("size", "cursor", "envelope", "probe")), budget, F.col("suggested"), F.col("start")).collect()
+    table = spark.createDataFrame([*rows, (None, "n", 1, 1, 1, 1, False, 0, False)], "k int, name string, size int, cursor int, envelope int, probe int, suggested boolean, start int, pos boolean")
+    got = paging.pages(table, "k", ["name"], *(F.col(c) for c in ("size", "cursor", "envelope", "probe")), budget, F.col("suggested"), F.col("start"), F.col("pos")).collect()
     assert len(got) == len(rows)
-    for k, (listed, suggestion, start) in lists.items():
-        unsupported, count, pages = plain_pages(listed, budget, suggestion, start)
+    for k, (listed, suggestion, start, skipped) in lists.items():
+        unsupported, count, pages = plain_pages(listed, budget, suggestion, start, skipped)
         mine = {r["name"]: r for r in got if r["k"] == k}
         assert {n for n, r in mine.items() if not r["supported"]} == unsupported and {r["unsupported_count"] for r in mine.values()} <= {count}
         want = {name: (i, s) for i, (names, s) in enumerate(pages, 1) for name in names}
@@ -182,15 +183,15 @@ def test_capacity(spark):
     size, cursor = paging.json_bytes("kind", "name", "full_name", "revision"), F.octet_length(F.to_json(F.array("full_name"))) - 2
     order = ["kind_ord", F.encode("full_name", "UTF-16BE")]
     got = sorted(paging.pages(table, "list", order, size, cursor, F.lit(envelope), F.lit(envelope), suggested=first).collect(), key=lambda r: (r["kind_ord"], r["full_name"].encode("utf-16-be")))
-    assert all(r["supported"] and r["unsupported_count"] == 0 and r["with_suggestion"] for r in got)
+    assert all(r["supported"] and r["unsupported_count"] == 0 and r["with_suggestion"] == (r["page"] == 1) for r in got)
     numbers = [r["page"] for r in got]
     assert numbers == sorted(numbers) and numbers[0] == 1 and numbers[-1] > 3
     suggestion = item(next(r for r in got if r["full_name"] == 'refs/heads/with"quote'))
     for page in range(1, numbers[-1] + 1):
         part = [r for r in got if r["page"] == page]
         cursor_ = part[-1]["full_name"] if page < numbers[-1] else None
-        assert len(whole([item(r) for r in part], suggestion, cursor_)) <= paging.PAGE_BYTES
+        assert len(whole([item(r) for r in part], suggestion if page == 1 else None, cursor_)) <= paging.PAGE_BYTES
         if page < numbers[-1]:
             more = got[got.index(part[-1]) + 1]
             after = more["full_name"] if more is not got[-1] else None
-            assert len(whole([*map(item, part), item(more)], suggestion, after)) > paging.PAGE_BYTES
+            assert len(whole([*map(item, part), item(more)], suggestion if page == 1 else None, after)) > paging.PAGE_BYTES
