@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.validators import checked_count
-from millrace.operators import classify, fingerprint, lineage
+from millrace.functions.canonical import utf16
+from millrace.functions.validators import checked_count, is_target_ref, is_token
+from millrace.operators import classify, fingerprint, lineage, paging
 from millrace.operators.state import one_active
 from millrace.sources import records as R
 
@@ -19,6 +20,10 @@ FACTS = ("path", "original_path", "is_staged", "is_unstaged", "is_untracked", "i
 COUNTS = ("changed", "uncommitted", "staged", "unstaged", "untracked", "conflicted")
 
 
+#: The longest query, and the request id with which a target alone is measured.
+MAX_QUERY, PROBE_ID = 256, "comparison-target-page"
+
+
 def verdict(outputs: DataFrame, read: DataFrame, label: str) -> DataFrame:
     """name and, in ``label``, good, tooLarge or inspectionFailed, of each captured output."""
     bad = R.failures(read)
@@ -83,6 +88,51 @@ def prepare(requests: DataFrame, targets: DataFrame, outputs: dict[str, DataFram
     return found.select("name", "error", good(result).alias("result"), "readiness", "freshness_token", *COUNTS)
 
 
+def list_targets(requests: DataFrame, targets: DataFrame) -> DataFrame:
+    """comparisons.listTargets: name, error and result, a page of targets that fits the response's budget.
+
+    ``requests`` has name, request_id, canonical_path, query, after, target_set_token and unsupported, the number of refs
+    that discovery left out; ``targets`` has name, kind (local or remoteTracking), kind_ord, short_name, full_name,
+    revision and suggested (a flag) of each request's discovered targets. A list goes by kind_ord, then by full_name in
+    UTF-16 order. The first error counts: the query, the cursor and token (both or none, and well formed), a token
+    that isn't the set's any more, a cursor that names no target of the query, a first target that no page can hold.
+    The suggestion is only shown without query and cursor. Pages are made while the plan is made: that starts jobs.
+    """
+    first = F.col("after").isNull()
+    lists = requests.select("name", "request_id", "canonical_path", "query", "after", "target_set_token", "unsupported")
+    tokens = fingerprint.target_set_tokens(lists, targets)
+    item = F.struct("kind", F.col("short_name").alias("name"), F.col("full_name").alias("fullName"), "revision")
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    page_of = lambda listed, suggestion, cursor, count: F.struct(listed.alias("targets"), suggestion.alias("suggestedTarget"), cursor.alias("nextCursor"), F.col("set_token").alias("targetSetToken"), count.alias("unsupportedTargetCount"))
+    empty = page_of(F.array(), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0))
+    bytes_of = lambda request_id: F.octet_length(text(F.struct(F.lit(1).alias("protocolVersion"), F.lit("result").alias("type"), request_id.alias("requestId"), empty.alias("result")))) - 2 * paging.NULL_BYTES - 1
+    known = lists.join(tokens, "name").withColumn("envelope", bytes_of(F.col("request_id"))).withColumn("probe", bytes_of(F.lit(PROBE_ID)))
+    found = targets.join(known, "name").where(F.col("query").isNull() | F.lower("short_name").contains(F.lower("query")))
+    found = found.withColumn("order", F.struct("kind_ord", utf16(F.col("full_name")).alias("ref")))
+    cursors = found.where(F.col("full_name") == F.col("after")).groupBy("name").agg(F.min("order").alias("cursor_order"))
+    found = found.join(cursors, "name", "left").select("name", "order", item.alias("item"), "suggested", "query", "after", "unsupported", "envelope", "probe", "cursor_order")
+    size, cursor = F.octet_length(text(F.col("item"))), F.octet_length(text(F.array("item.fullName"))) - 2
+    shown = F.col("suggested") & F.col("query").isNull() & first
+    past = F.coalesce(F.col("order") <= F.col("cursor_order"), F.lit(False))
+    paged = paging.pages(found, "name", ["order"], size, cursor, F.col("envelope"), F.col("probe"), paging.PAGE_BYTES, shown, F.col("unsupported"), past)
+    on = F.col("page") == 1
+    listed = F.array_sort(F.collect_list(F.when(on, F.struct("order", "item"))))  # at most what a page holds
+    rest = F.count_if(F.col("supported") & ~past & F.coalesce(F.col("page") > 1, F.lit(True)))
+    suggestion = F.max(F.when(shown & F.col("supported"), F.col("item")))
+    pages = paged.groupBy("name").agg(listed.alias("listed"), rest.alias("rest"), F.max("unsupported_count").alias("count"), F.max(F.when(on, F.col("with_suggestion"))).alias("with"), suggestion.alias("suggestion"))
+    rows = known.join(cursors, "name", "left").join(pages, "name", "left").withColumn("rest", F.coalesce("rest", F.lit(0)))
+    token = F.col("target_set_token")
+    well = (F.col("after").isNull() == token.isNull()) & F.coalesce(is_target_ref(F.col("after")), F.lit(True)) & F.coalesce(is_token(token), F.lit(True))
+    error = F.coalesce(
+        F.when(F.col("query").contains("\0") | (F.length("query") > MAX_QUERY), "invalidTargetQuery"), F.when(~well, "invalidTargetPage"), F.when(token != F.col("set_token"), "targetsChanged"),
+        F.when(~first & F.col("cursor_order").isNull(), "invalidTargetPage"), F.when((F.coalesce(F.size("listed"), F.lit(0)) == 0) & (F.col("rest") > 0), "tooLarge"),
+    )
+    items = F.transform(F.coalesce("listed", F.array().cast(pages.schema["listed"].dataType)), lambda r: r["item"])
+    cursor = F.when(F.col("rest") > 0, F.try_element_at(items, F.lit(-1))["fullName"])
+    result = page_of(items, F.when(F.col("with"), F.col("suggestion")), cursor, F.coalesce("count", "unsupported"))
+    return rows.select("name", error.alias("error"), F.when(error.isNull(), text(result)).alias("result"))
+
+
 def good(result: Column) -> Column:
     """A result as JSON where there is no error."""
     return F.when(F.col("error").isNull(), F.to_json(result))

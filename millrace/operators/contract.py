@@ -35,6 +35,9 @@ ERRORS = {
     "unrelatedHistory": ("unprocessableInput", "comparison.unrelatedHistory", "The selected target does not share history with the current revision."),
     "ambiguousBase": ("unprocessableInput", "comparison.ambiguousBase", "The current revision and selected target have multiple best merge bases."),
     "changedDuringPreparation": ("conflict", "comparison.changedDuringPreparation", "Repository facts changed while the comparison was being prepared."),
+    "invalidTargetQuery": ("validation", "comparison.invalidTargetQuery", "The target query is invalid."),
+    "invalidTargetPage": ("validation", "comparison.invalidTargetPage", "The target page request is invalid."),
+    "targetsChanged": ("conflict", "comparison.targetsChanged", "Comparison targets changed. Reload the target list."),
     "invalidFreshnessToken": ("validation", "comparison.invalidFreshnessToken", "The comparison freshness token is invalid."),
     "repositoryBusy": ("conflict", "repository.busy", "An active analysis run reserves this repository."),
 }

@@ -21,6 +21,24 @@ def target_set_token(targets: DataFrame, path: str, query: str | None, unsupport
     return fingerprint(targets, header, order, body)
 
 
+def target_set_tokens(lists: DataFrame, targets: DataFrame) -> DataFrame:
+    """name and set_token of each list of targets (A7a), also of an empty one.
+
+    ``lists`` has name, canonical_path, query and unsupported (a count); ``targets`` has name, kind_ord, short_name,
+    full_name and revision. A list is of bounded size, as what it is read from is.
+    """
+    kind = F.when(F.col("kind_ord") == 0, "local").otherwise("remote-tracking")
+    body = record(field("target"), field(kind), field(F.col("short_name")), field(F.col("full_name")), field(F.col("revision")))
+    order = [utf16(F.col("full_name")), F.col("kind_ord"), utf16(F.col("short_name")), utf16(F.col("revision"))]
+    each = targets.groupBy("name").agg(ordered_records(order, body).alias("records"), F.count("*").alias("n"))
+    header = record(
+        field("comparison.target-set.v1"), field("repository.canonical-path"), field(F.col("canonical_path")), nullable("query", F.col("query")),
+        field("unsupported-target-count"), field(F.col("unsupported").cast("string")), field("target-count"), field(F.coalesce("n", F.lit(0)).cast("string")),
+    )
+    joined = lists.select("name", "canonical_path", "query", "unsupported").join(each, "name", "left")
+    return joined.select("name", digest(F.concat(header, F.coalesce("records", F.lit("")))).alias("set_token"))
+
+
 def head_fields(kind: str, name: str | None, revision: str) -> Column:
     """A head's fields: branch with its name, or detached."""
     return record(field("head.branch"), field(name), field(revision)) if kind == "branch" else record(field("head.detached"), field(revision))

@@ -99,3 +99,49 @@ def test_checks_of_the_smaller_tables(spark):
     rows = [(1, 1, "p", 1), (2, 2, "q", 0)]
     assert bad(rows, "id int, singleton_id int, product_name string, schema_version int", state.metadata_checks("p")) == {(2, "metadata_singleton"), (2, "metadata_product"), (2, "metadata_schema")}
     assert bad([(1, 1, None), (2, 1, "blue"), (3, 0, "dark")], "id int, singleton_id int, color_theme string", state.application_checks()) == {(2, "application_color_theme"), (3, "application_singleton")}
+
+
+def plain_token(path, query, unsupported, targets):
+    flat = ["comparison.target-set.v1", "repository.canonical-path", path, "query", *(["absent"] if query is None else ["present", query]), "unsupported-target-count", str(unsupported), "target-count", str(len(targets))]
+    for kind, short, full, revision in sorted(targets, key=lambda t: t[2].encode("utf-16-be")):
+        flat += ["target", "local" if kind == 0 else "remote-tracking", short, full, revision]
+    return hashlib.sha256(b"".join(len(f.encode()).to_bytes(4, "big") + f.encode() for f in flat)).hexdigest()
+
+
+def test_list_targets(spark):
+    """722 targets in pages that join to the whole list; queries, cursors and tokens that don't fit; an empty list; a suggestion."""
+    large = [(0, f"local-{i:03}-" + "x" * 180, A) for i in range(360)] + [(1, f"origin/remote-{i:03}-" + "y" * 180, B) for i in range(360)] + [(0, 'with"quote', A), (1, 'origin/with"quote', B)]
+    full = lambda kind, short: ("refs/heads/" if kind == 0 else "refs/remotes/") + short
+    large = [(k, s, full(k, s), r) for k, s, r in large]
+    small = [(0, "Base", "refs/heads/Base", A), (1, "origin/base", "refs/remotes/origin/base", B), (0, "other", "refs/heads/other", C)]
+    lists = {"large": large, "small": small, "query": small, "none": [], "cursor": small, "changed": small, "pair": small, "gone": small, "long": small, "hit": small}
+    where = {n: ("/w/x", "BASE" if n in ("query", "gone") else "q" * 257 if n == "long" else None, 7 if n == "small" else 0) for n in lists}
+    tokens = {n: plain_token(path, query, unsupported, lists[n]) for n, (path, query, unsupported) in where.items()}
+    after = {"cursor": ("refs/heads/Base", tokens["cursor"]), "changed": ("refs/heads/Base", "0" * 64), "pair": ("refs/heads/Base", None), "gone": ("refs/heads/other", tokens["gone"]), "hit": ("refs/remotes/origin/base", tokens["hit"])}
+
+    def ask(rows):
+        table = spark.createDataFrame([(n, n, *where[n][:2], *rows[n], where[n][2]) for n in rows], "name string, request_id string, canonical_path string, query string, after string, target_set_token string, unsupported int")
+        targets = [(n, "local" if k == 0 else "remoteTracking", k, s, f, r, f in ("refs/remotes/origin/base", 'refs/heads/with"quote')) for n in rows for k, s, f, r in lists[n]]
+        out = actions.list_targets(table, spark.createDataFrame(targets, "name string, kind string, kind_ord int, short_name string, full_name string, revision string, suggested boolean"))
+        lines = contract.responses(out.withColumnRenamed("name", "request_id")).collect()
+        assert all(len(r[0].encode()) <= 48 * 1024 for r in lines)
+        return {m["requestId"]: m for m in (json.loads(r[0]) for r in lines)}
+
+    said = ask({n: after.get(n, (None, None)) for n in lists})
+    item = lambda k, s, f, r: {"kind": "local" if k == 0 else "remoteTracking", "name": s, "fullName": f, "revision": r}
+    base, remote, other = (item(*t) for t in small)
+    page = lambda n, targets, suggestion=None, cursor=None: {"targets": targets, "suggestedTarget": suggestion, "nextCursor": cursor, "targetSetToken": tokens[n], "unsupportedTargetCount": where[n][2]}
+    assert said["small"]["result"] == page("small", [base, other, remote], remote)
+    assert said["query"]["result"] == page("query", [base, remote]) and said["none"]["result"] == page("none", [])
+    assert said["cursor"]["result"] == page("cursor", [other, remote]) and said["hit"]["result"] == page("hit", [])
+    errors = {n: said[n]["errors"][0]["code"] for n in ("changed", "pair", "gone", "long")}
+    assert errors == {"changed": "comparison.targetsChanged", "pair": "comparison.invalidTargetPage", "gone": "comparison.invalidTargetPage", "long": "comparison.invalidTargetQuery"}
+    order = [t[2] for t in sorted(large, key=lambda t: (t[0], t[2].encode("utf-16-be")))]
+    result = said["large"]["result"]
+    assert result["suggestedTarget"]["fullName"] == 'refs/heads/with"quote' and 1 < len(result["targets"]) < 722
+    seen = [t["fullName"] for t in result["targets"]]
+    assert seen == order[: len(seen)] and result["nextCursor"] == seen[-1]
+    more = ask({"large": (result["nextCursor"], result["targetSetToken"])})["large"]["result"]
+    assert [t["fullName"] for t in more["targets"]] == order[len(seen) :][: len(more["targets"])] and more["suggestedTarget"] is None
+    last = ask({"large": (order[-3], result["targetSetToken"])})["large"]["result"]
+    assert [t["fullName"] for t in last["targets"]] == order[-2:] and last["nextCursor"] is None
