@@ -3,11 +3,13 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from millrace.llm import bagminhash, common, langid, lines, linking, media, secrets, spotsigs, toxicity
 from millrace.sources import tables
@@ -51,9 +53,23 @@ def test_fingerprints(docs, odd):
     assert spotsigs.to_string(spotsigs.spots("")) == "" != spotsigs.to_string(spotsigs.spots("zebra"))
 
 
-def test_spotsigs_claims():
-    """The module claims no pruned comparison and keeps none that nothing calls."""
-    assert "pruned" not in spotsigs.__doc__ and not hasattr(spotsigs, "alike")
+def plain_fingerprint(text):
+    """Every anchor with the two content words behind it, anchors between them left out, word by word."""
+    words = re.findall(r"\w+", text.lower())
+    found = set()
+    for i, w in enumerate(words):
+        behind = [x for x in words[i + 1 : i + 400] if x not in spotsigs.ANCHORS][:2]
+        if w in spotsigs.ANCHORS and len(behind) == 2:
+            found.add(" ".join((w, *behind)))
+    if words and not found:
+        found = {"\n".join(words)}
+    return "".join(f"{h:08x}" for h in sorted({xxhash.xxh32_intdigest(x.encode()) for x in found}))
+
+
+def test_spots_by_hand(docs, odd):
+    for table in (docs, odd):
+        got = {(r["doc_id"], r["n_chars"]): r["fingerprint"] for r in spotsigs.with_next(table).collect()}
+        assert got == {(k, len(t)): plain_fingerprint(t) for k, t in local(table)}
 
 
 def test_spotsigs_classes(spark):
@@ -213,6 +229,35 @@ def test_media(docs, odd):
     assert len(kept) == len(set(kept))
 
 
+def plain_cuts(data):
+    """The chunks' ends by a hash that rolls on byte by byte."""
+    ends, start, h = [], 0, 0
+    for i, b in enumerate(data, 1):
+        h = ((h << 1) + int(media.GEAR[b])) % 2**32
+        if i == len(data) or i - start == media.MOST or (h >> 4) & media.MASK == 0 and i - start >= media.LEAST:
+            ends.append(i)
+            start = i
+    return ends
+
+
+def test_media_by_hand(docs, odd):
+    """Cuts and stored forms are those of a hash that rolls byte by byte."""
+    rnd = random.Random(13)
+    for data in [rnd.randbytes(n) for n in (1, 300, 5000, 40_000)] + [b"\xff" * 9000, b"ab" * 6000]:
+        assert media.cuts(data) == plain_cuts(data)
+    for table in (docs.limit(60), odd):
+        want = set()
+        for k, t in local(table):
+            raw = t.encode()
+            data = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+            ends = plain_cuts(data)
+            parts = [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+            stored = len(raw).to_bytes(8, "little") + b"".join(hashlib.sha256(p).digest() + len(p).to_bytes(4, "little") for p in parts)
+            want.add((k, len(raw), len(stored), hashlib.sha256(stored).hexdigest()))
+        got = {(r["doc_id"], r["n_bytes"], r["media_bytes"], r["media_sha256"]) for r in media.read(media.write(table)).collect()}
+        assert got == want
+
+
 def test_media_shuffle_path(docs, monkeypatch):
     before = sorted(map(tuple, media.read(media.write(docs)).collect()))
     monkeypatch.setattr(media, "BROADCAST_ROWS", -1)
@@ -456,13 +501,32 @@ def test_toxicity(spark, odd):
     lexicon = toxicity.train(*(load(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels")))
     plain, bad = lexicon.score("The weather of the day is fine."), lexicon.score("You are a stupid idiot and a moron.")
     assert bad > 0.7 > plain
-    assert lexicon.score("You are a 5tup1d іdiot and a m0ron.") > 0.3 or toxicity.fold("st0pid 1diot") == " stopid 1diot "
+    assert lexicon.score("You are a 5tup1d іdiot and a m0ron.") > 0.3
     assert toxicity.fold("ѕtup1d Ïdiöt!") == " stupid idiot "
     assert lexicon.score("put it in the trash can") == lexicon.score("put it in there")
     got = toxicity.score(odd, toxicity.train(odd.limit(0), load(spark, "/root/testdata/sf0.001", "labels").limit(0)))
     assert got.count() == len(ODD) and got.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_lexicon_against_plain_search():
+    """The automaton's hits, the spared phrases and the normalisation by length are those of a search at every place."""
+    rnd = random.Random(12)
+    words = ["trash", "can", "bin", "class", "clown", "fish", "not", "stupid", "no", "idiot", "sore", "loser", "weather", "fine", "cano", "stupidity"]
+    for _ in range(300):
+        weights = {t: rnd.choice([0.5, 1.0, 2.5]) for t in rnd.sample([*(f" {w} " for w in words), *(f" {w[:n]}" for w in words for n in (3, 4, 5))], 8)}
+        chosen = [rnd.choice(words) for _ in range(rnd.randint(1, 40))]
+        folded = f" {' '.join(chosen)} "
+        want = {}
+        for at in range(len(folded)):
+            here = [w for t, w in weights.items() if folded.startswith(t, at)]
+            inside = any(folded.startswith(f" {p} ", s) and s <= at < s + len(p) + 1 for p in toxicity.EXCEPTIONS for s in range(len(folded)))
+            if here:
+                want[at] = 0.0 if inside else max(here)
+        lexicon = toxicity.Lexicon(weights)
+        assert lexicon.hits(folded) == want
+        assert np.allclose(lexicon.features(" ".join(chosen)), (np.log1p(sum(want.values())), sum(want.values()) / len(chosen)))
+
+
 def test_toxicity_edges():
     lexicon = toxicity.Lexicon({" idiot ": 2.0, " stupid ": 2.0, " trash ": 2.0, " moro": 1.0})
     once = lexicon.features("you stupid fool")
