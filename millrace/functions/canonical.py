@@ -12,29 +12,29 @@ from pyspark.sql import functions as F
 
 
 def field(c: Column | str) -> Column:
-    """A field as hex; a Python string is a literal. A null is an error: what may be null belongs in ``nullable``."""
-    if isinstance(c, str):
-        return _hex(F.lit(c))
-    return F.when(c.isNull(), F.raise_error(F.lit("null in a field that may not be null"))).otherwise(_hex(c))
+    """A field as hex; a Python string is a literal. A null gives null, which no record takes: what may be null belongs in ``nullable``."""
+    c = F.lit(c) if isinstance(c, str) else c
+    return F.concat(F.lpad(F.hex(F.octet_length(c)), 8, "0"), F.hex(F.encode(c, "UTF-8")))
 
 
-def _hex(c: Column) -> Column:
-    return F.concat(F.lpad(F.hex(F.octet_length(c)), 8, "0"), F.hex(F.encode(c, "UTF-8")))
+def _whole(hex_text: Column) -> Column:
+    """What isn't null; a null is an error."""
+    return F.when(hex_text.isNotNull(), hex_text).otherwise(F.raise_error(F.lit("null in a field that may not be null")))
 
 
 def nullable(marker: str, c: Column) -> Column:
     """A marker, and absent or present with the value."""
-    return F.concat(field(marker), F.when(c.isNull(), field("absent")).otherwise(F.concat(field("present"), F.coalesce(_hex(c), F.lit("")))))
+    return F.concat(field(marker), F.when(c.isNull(), field("absent")).otherwise(F.concat(field("present"), F.coalesce(field(c), F.lit("")))))
 
 
 def boolean(marker: str, c: Column) -> Column:
     """A marker, and true or false; a null is an error."""
-    return F.concat(field(marker), F.when(c, field("true")).when(~c, field("false")).otherwise(F.raise_error(F.lit("null in a field that may not be null"))))
+    return F.concat(field(marker), _whole(F.when(c, field("true")).when(~c, field("false"))))
 
 
 def record(*parts: Column) -> Column:
-    """Fields in order."""
-    return F.concat(*parts)
+    """Fields in order, none of them null."""
+    return _whole(F.concat(*parts))
 
 
 def digest(hex_text: Column) -> Column:
@@ -49,7 +49,7 @@ def utf16(c: Column) -> Column:
 
 def ordered_records(order: list[Column], body: Column) -> Column:
     """Aggregate: all records' hex, in the order of the keys (nulls first)."""
-    keyed = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(order)), body.alias("body"))
+    keyed = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(order)), _whole(body).alias("body"))
     return F.array_join(F.transform(F.array_sort(F.collect_list(keyed)), lambda r: r["body"]), "")
 
 
