@@ -39,5 +39,5 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """The state of each run that a batch of events (run_id, at, event_id, event) touches."""
+    """The state of each run that a batch of events (run_id, at, event_id, event) touches, late ones folded as they come (W2); ``runlog`` has the form with a watermark."""
     return events.groupBy("run_id").applyInPandasWithState(advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
