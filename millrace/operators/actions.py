@@ -151,19 +151,88 @@ def check_freshness(requests: DataFrame, prepared: DataFrame) -> DataFrame:
     return rows.select("name", "error", good(F.struct(F.col("freshness").alias("state"))).alias("result"), "freshness")
 
 
-def start(requests: DataFrame, checked: DataFrame, runs: DataFrame) -> DataFrame:
+def start(requests: DataFrame, checked: DataFrame, runs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """analysis.start: accepted, rejectedStale, or rejectedActive with the run that holds the repository.
 
     ``requests`` has name, canonical_path_key, run_id (a new one) and requested_at; ``checked`` is what ``check_freshness``
-    gives. Of several fresh requests for one repository the first, ties by run_id, is accepted; it then holds it.
+    gives. Of several fresh requests for one repository the first by ``order`` (requested_at where none is given), ties by
+    run_id, is accepted; it then holds it.
     """
     rows = requests.join(checked.select("name", "error", "freshness"), "name", "left")
     rows = classify.active_run_of(rows.withColumnRenamed("run_id", "new_run"), runs.select("canonical_repository_path_key", "state", "run_id"))
     free = rows.where((F.col("freshness") == "current") & F.col("error").isNull() & F.col("run_id").isNull())
-    first = one_active(free, "canonical_path_key", ["requested_at", "new_run"], "new_run").select("name", "active_run")
+    first = one_active(free, "canonical_path_key", [*(order or ["requested_at"]), "new_run"], "new_run").select("name", "active_run")
     rows = rows.join(first, "name", "left").withColumn("holder", F.coalesce("run_id", "active_run"))
     outcome = F.when(F.coalesce(F.col("freshness") != "current", F.lit(True)), "rejectedStale").when(F.col("holder") == F.col("new_run"), "accepted").otherwise("rejectedActive")
     rows = rows.withColumn("state", F.when(F.col("error").isNull(), outcome))
     accepted = F.col("state") == "accepted"
     result = F.struct("state", F.when(accepted, F.col("new_run")).alias("runId"), F.when(accepted, F.col("requested_at")).alias("requestedAt"), F.when(F.col("state") == "rejectedActive", F.col("holder")).alias("activeRunId"))
     return rows.select("name", "error", good(result).alias("result"), "state")
+
+
+def run_summary(run: str, cancelled: Column) -> Column:
+    """A run's summary as JSON, from a struct column with the columns of the run table: its identities, times, facts and end."""
+    of = lambda c: F.col(f"{run}.{c}")
+    state = classify.state_literal(of("state"))
+    detail = classify.nonzero_clauses({k: of(f"excluded_{k}_count") for k in ("staged", "unstaged", "untracked", "conflicted")})
+    fact = lambda kind, n, d: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("count"), d.alias("detail"))
+    captured = of("captured_at_unix_ms").isNotNull() & of("captured_changed_file_count").isNotNull()
+    facts = F.array(
+        F.when(captured, fact("changedFilesCaptured", of("captured_changed_file_count"), F.lit(None).cast("string"))),
+        F.when(captured & (of("excluded_uncommitted_total") > 0), fact("excludedUncommittedFiles", of("excluded_uncommitted_total"), detail)),
+    )
+    end = F.struct(
+        state.alias("kind"), of("terminal_at_unix_ms").alias("terminalAt"), F.when(state == "completedWithLimitations", of("limitation_count")).alias("limitationCount"),
+        F.when(state == "failed", of("failure_code")).alias("failureCode"),
+    )
+    told = F.struct(
+        of("run_id").alias("runId"), state.alias("state"),
+        F.struct(of("repository_id").alias("repositoryId"), of("repository_display_name").alias("displayName"), of("canonical_repository_path").alias("canonicalPath"), of("head_revision").alias("head")).alias("repository"),
+        F.struct(of("target").alias("target"), of("target_revision").alias("targetRevision"), of("freshness_token").alias("freshnessToken")).alias("comparison"),
+        of("requested_at_unix_ms").alias("requestedAt"), of("capture_started_at_unix_ms").alias("captureStartedAt"), of("captured_at_unix_ms").alias("capturedAt"), of("snapshot_id").alias("snapshotId"),
+        cancelled.alias("cancellationRequested"), F.array_compact(facts).alias("facts"),
+        F.when(state.isin("completed", "completedWithLimitations", "failed", "cancelled"), F.parse_json(F.to_json(end))).alias("terminal"),
+        of("interrupted_at_unix_ms").alias("interruptedAt"), of("interruption_reason").alias("interruptionReason"),
+    )
+    return F.to_json(told, {"ignoreNullFields": "false"})
+
+
+def poll_run(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """analysis.pollRun: the summary of the run that each request (name, run_id) names, or unknownRun.
+
+    ``runs`` has each run once, with the columns of the run table, and may have visible_from and cancelled_from, compared
+    with the requests' turn: a run that a later request made isn't there yet, and a later cancellation isn't known.
+    """
+    seen, cancelled = visibility(requests, runs)
+    met = requests.withColumn("run_id", F.lower("run_id")).join(runs.select("run_id", F.struct(*runs.columns).alias("run")), "run_id", "left").withColumn("seen", F.col("run").isNotNull() & seen)
+    return met.select("name", F.when(~F.col("seen"), "unknownRun").alias("error"), F.when(F.col("seen"), run_summary("run", cancelled)).alias("result"))
+
+
+def get_active(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """analysis.getActive: the active run of each request's repository (name, canonical_path_key), or kind none; as ``poll_run`` else.
+
+    A path without a key is repositoryUnavailable. A repository has one active run at most.
+    """
+    seen, cancelled = visibility(requests, runs)
+    active = runs.where(classify.is_active(F.col("state"))).select(F.col("canonical_repository_path_key").alias("canonical_path_key"), F.struct(*runs.columns).alias("run"))
+    met = requests.join(active, "canonical_path_key", "left").withColumn("seen", F.col("run").isNotNull() & seen)
+    found = F.to_json(F.struct(F.lit("active").alias("kind"), F.parse_json(run_summary("run", cancelled)).alias("run")))
+    result = F.when(F.col("seen"), found).otherwise(F.to_json(F.struct(F.lit("none").alias("kind"))))
+    known = F.col("canonical_path_key").isNotNull()
+    return met.select("name", F.when(~known, "repositoryUnavailable").alias("error"), F.when(known, result).alias("result"))
+
+
+def cancel(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """analysis.cancel: an empty result for each request (name, run_id) whose run is there, active or not, else unknownRun; ``request_cancel`` makes the change."""
+    seen, _ = visibility(requests, runs)
+    met = requests.withColumn("run_id", F.lower("run_id")).join(runs.select("run_id", F.struct(*runs.columns).alias("run")), "run_id", "left")
+    return met.select("name", F.when(~(F.col("run").isNotNull() & seen), "unknownRun").alias("error"), F.lit(None).cast("string").alias("result"))
+
+
+def visibility(requests: DataFrame, runs: DataFrame) -> tuple[Column, Column]:
+    """Whether a request's turn is behind a run's making, and whether it is behind its first cancellation."""
+    given = F.col("run.cancellation_requested_at_unix_ms").isNotNull()
+    if "turn" not in requests.columns or "visible_from" not in runs.columns:
+        return F.lit(True), given
+    behind = lambda c: F.col(f"run.{c}") < F.col("turn")
+    return F.coalesce(behind("visible_from"), F.lit(True)), given | F.coalesce(behind("cancelled_from"), F.lit(False))

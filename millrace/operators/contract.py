@@ -39,6 +39,9 @@ ERRORS = {
     "invalidTargetPage": ("validation", "comparison.invalidTargetPage", "The target page request is invalid."),
     "targetsChanged": ("conflict", "comparison.targetsChanged", "Comparison targets changed. Reload the target list."),
     "invalidFreshnessToken": ("validation", "comparison.invalidFreshnessToken", "The comparison freshness token is invalid."),
+    "unknownRun": ("notFound", "analysis.unknownRun", "No analysis run matches the supplied identifier."),
+    "repositoryUnavailable": ("notFound", "analysis.repositoryUnavailable", "The repository path could not be resolved to an available repository."),
+    "unexpectedFailure": ("unexpected", "unexpectedFailure", "The action failed."),
     "repositoryBusy": ("conflict", "repository.busy", "An active analysis run reserves this repository."),
 }
 #: Actions that a repository with an active run refuses.
