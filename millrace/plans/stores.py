@@ -1,16 +1,16 @@
-"""Queries that write a store and read it back, and those over hash trees."""
+"""Queries that write a store and read it back, and those over hash trees and histories."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import hashtree
+from millrace.operators import ancestry, hashtree
 from millrace.operators.captures import CaptureStore
 from millrace.plans.catalog import query
-from millrace.sources.tables import _file_system, load, shared_dir
+from millrace.sources.tables import _file_system, load, materialize, shared_dir
 
 #: An order's run: known unless it is of low priority; those that are filled capture, and open ones do later.
 KNOWN_SQL = "SELECT * FROM orders WHERE o_orderpriority <> '5-LOW'"
@@ -73,3 +73,44 @@ def differing_rows(spark: SparkSession, d: str) -> DataFrame:
 def tree_hash(spark: SparkSession, d: str) -> DataFrame:
     """A7 for tables of any size, as the root of a hash tree over all documents; the tests hold trees against hashlib."""
     return hashtree.tree_fingerprint(load(spark, d, "documents"))
+
+
+#: A document's branch, told by the digest of its text: half of all are of the main branch.
+BRANCH_SQL = "CASE WHEN substr(h, 1, 1) < '8' THEN 0 WHEN substr(h, 1, 1) < 'b' THEN 1 WHEN substr(h, 1, 1) < 'e' THEN 2 ELSE 3 END"
+
+
+def by_branch(of: str, value: str) -> str:
+    """The value of branch number ``of``; value has {} where the number goes."""
+    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {value.format(i)}" for i in range(4)) + " END"
+
+
+#: Every 8th commit merges the next branch, every 16th is compared; so is each branch's last.
+MERGES, COMPARED = "substr(h, 2, 1) < '2'", "substr(h, 3, 1) = 'f'"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id AS c, doc_id // 1000 AS r, sha256(coalesce(text, '')) AS h FROM documents), k AS (SELECT *, {BRANCH_SQL} AS b FROM d),
+l AS (SELECT *, {", ".join(f"max(c) FILTER (b = {i}) OVER w AS m{i}" for i in range(4))} FROM k WINDOW w AS (PARTITION BY r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT c, p FROM (SELECT c, coalesce({by_branch("b", "m{}")}, m0) AS p FROM l UNION SELECT c, {by_branch("(b + 1) % 4", "m{}")} FROM l WHERE {MERGES}) WHERE p IS NOT NULL),
+heads AS (SELECT r, b, max(c) AS c FROM k GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT x.c AS "left", m.c AS "right" FROM (SELECT r, c FROM heads UNION SELECT r, c FROM k WHERE {COMPARED}) x JOIN heads m ON m.r = x.r AND m.b = 0),
+tips AS (SELECT "left" AS t FROM pairs UNION SELECT "right" FROM pairs), reach AS (SELECT t, t AS c FROM tips UNION SELECT t, p FROM reach JOIN e USING (c)),
+common AS (SELECT "left", "right", x.c FROM pairs JOIN reach x ON x.t = "left" JOIN reach y ON y.t = "right" AND y.c = x.c),
+best AS (SELECT "left", "right", c AS base FROM common WHERE ("left", "right", c) NOT IN (SELECT ("left", "right", p) FROM common JOIN e USING (c))),
+n AS (SELECT t, count(*) AS n FROM reach GROUP BY 1), both_ AS (SELECT "left", "right", count(*) AS n FROM common GROUP BY 1, 2)
+SELECT p."left", p."right", x.n - coalesce(q.n, 0) AS ahead, y.n - coalesce(q.n, 0) AS behind, (SELECT count(*) FROM best z WHERE z."left" = p."left" AND z."right" = p."right") AS bases, base
+FROM pairs p JOIN n x ON x.t = p."left" JOIN n y ON y.t = p."right" LEFT JOIN both_ q ON q."left" = p."left" AND q."right" = p."right" LEFT JOIN best z ON z."left" = p."left" AND z."right" = p."right"
+""")
+def merge_bases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as commits of four branches in repositories of 1,000 ids; tips against their main branch, ahead and behind, with a row for each best common ancestor."""
+    digests = load(spark, d, "documents").select(F.col("doc_id").alias("commit"), F.expr("doc_id div 1000").alias("repository"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    docs = materialize(digests.withColumn("branch", F.expr(BRANCH_SQL)), "commits")
+    before = Window.partitionBy("repository").orderBy("commit").rowsBetween(Window.unboundedPreceding, -1)
+    seen = docs.select("*", *(F.max(F.when(F.col("branch") == i, F.col("commit"))).over(before).alias(f"m{i}") for i in range(4)))
+    first, merged = F.expr(f"coalesce({by_branch('branch', 'm{}')}, m0)"), F.expr(f"CASE WHEN {MERGES} THEN {by_branch('(branch + 1) % 4', 'm{}')} END")
+    commits = seen.select("commit", F.posexplode(F.array(first, merged)).alias("n", "parent"))
+    heads = docs.groupBy("repository", "branch").agg(F.max("commit").alias("commit"))
+    tips = heads.select("repository", F.col("commit").alias("left")).union(docs.where(COMPARED).select("repository", "commit"))
+    pairs = tips.join(heads.where("branch = 0").select("repository", F.col("commit").alias("right")), "repository")
+    counts, bases = ancestry.compare_tips(commits, pairs)
+    return counts.join(bases, ["left", "right"], "left").select("left", "right", "ahead", "behind", "bases", "base")
