@@ -159,16 +159,25 @@ def excluded(rows: DataFrame, banned: DataFrame, key: str) -> DataFrame:
     return rows.join(banned.select(key), key, "left_anti")
 
 
-def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, separator: str = "/") -> DataFrame:
+def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, separator: str = "/", salts: int = 16) -> DataFrame:
     """Each row with the longest prefix that a separator and something more follow; null without one.
 
     Every beginning of the text that ends before a separator is a key, so this is an equi-join, not a scan of all
-    prefixes. Equal rows each keep their row. The rows' own columns may not be named prefix.
+    prefixes. Beginnings shorter than the shortest prefix or longer than the longest aren't keys: what all texts begin with
+    meets nowhere. The rows of a key are dealt over ``salts`` tasks. Equal rows each keep their row; a row with a null text
+    has no prefix, and null prefixes are none. Rows with a column named prefix raise.
     """
+    taken = {"prefix", "__row", "__salt"} & {c.lower() for c in rows.columns}
+    if taken:
+        raise ValueError(f"rename the columns {sorted(taken)}")
     parts = F.split(F.col(text), F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1)
     beginnings = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), separator))
-    cut = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("prefix", F.explode_outer(F.when(F.size(parts) > 1, F.filter(beginnings, lambda b: F.length(F.col(text)) > F.length(b) + len(separator)))))
-    hit = cut.join(prefixes.select("prefix", F.lit(True).alias("__hit")).distinct(), "prefix", "left")
+    bounds = prefixes.agg(F.min(F.length("prefix")).alias("__least"), F.max(F.length("prefix")).alias("__most"))  # one row
+    fits = lambda b: F.length(b).between(F.col("__least"), F.col("__most")) & (F.length(text) > F.length(b) + len(separator))
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(bounds))
+    cut = numbered.withColumn("prefix", F.explode_outer(F.when(F.size(parts) > 1, F.filter(beginnings, fits)))).select(*rows.columns, "__row", "prefix", F.pmod("__row", F.lit(salts)).alias("__salt"))
+    dealt = prefixes.select("prefix").distinct().select("prefix", F.lit(True).alias("__hit"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__salt"))
+    hit = cut.join(dealt, ["prefix", "__salt"], "left")
     best = F.max_by(F.when(F.col("__hit"), F.col("prefix")), F.when(F.col("__hit"), F.length("prefix")))
     return hit.groupBy("__row", *rows.columns).agg(best.alias("prefix")).drop("__row")
 

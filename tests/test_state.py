@@ -113,6 +113,14 @@ def test_joins(spark):
     assert got == {1: "a/b", 2: "a", 3: None, 4: "a", 5: None}
     twice = classify.longest_prefix(rows.union(rows), "t", prefixes).collect()
     assert len(twice) == 10
+    hot = spark.range(400).select("id", F.concat(F.lit("https://h/"), F.when(F.col("id") % 3 > 0, "x/").otherwise(""), F.col("id").cast("string")).alias("t"))
+    found = spark.createDataFrame([("https://h",), ("https://h/x",), ("https://h/x",), (None,)], "prefix string")
+    for salts in (1, 16):
+        got = classify.longest_prefix(hot, "t", found, salts=salts).collect()
+        assert len(got) == 400 and all(r["prefix"] == ("https://h/x" if r["id"] % 3 else "https://h") for r in got)
+    assert {r["prefix"] for r in classify.longest_prefix(rows, "t", prefixes.limit(0)).collect()} == {None}
+    with pytest.raises(ValueError, match="prefix"):
+        classify.longest_prefix(rows.withColumn("prefix", F.col("t")), "t", prefixes)
     a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "i int, t string")
     assert classify.multiset_equal(a, a.orderBy("t")).first()[0] is True
     assert classify.multiset_equal(a, a.distinct()).first()[0] is False
