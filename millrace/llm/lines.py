@@ -12,9 +12,9 @@ others only in the half that differs.
 
 64-bit hashes only find candidates, which are verified on the lines.
 
-Rules: null texts stay null; blank lines stay; lines shorter than LEAST characters only go if they equal an earlier
-line; lines and texts of any length are handled whole; a null doc_id counts as the least; rows that agree in doc_id and
-text count as one document and keep the same lines; a document keeps its row even if all its lines go; an empty table
+Rules: null texts stay null; blank lines stay; lines shorter than ``least`` characters (LEAST unless given; 1 compares
+all) only go if they equal an earlier line; lines and texts of any length are handled whole; a null doc_id counts as the
+least; rows that agree in doc_id and text count as one document and keep the same lines; a document keeps its row even if all its lines go; an empty table
 gives an empty table; all other columns, of any names, stay as they are, but for n_chars, which follows the text.
 """
 
@@ -53,8 +53,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select(F.struct("doc_id", "rk", "no").alias("at"), line_hash("line").alias("h"), "line")
 
 
-def half_keys() -> list[Column]:
-    """A line's half keys k0 to k3: k0 and k1 are its first and last half as the longer or an equally long line, k2 and k3 as the shorter; null for short lines."""
+def half_keys(least: int = LEAST) -> list[Column]:
+    """A line's half keys k0 to k3: k0 and k1 are its first and last half as the longer or an equally long line, k2 and k3 as the shorter; null for lines shorter than ``least``."""
 
     def pair(length):
         ahead = F.floor((length - 1) / 2).cast("int")
@@ -64,7 +64,7 @@ def half_keys() -> list[Column]:
         return head, tail
 
     keys = (*pair(F.length("line")), *pair(F.length("line") + 1))
-    return [F.when(F.length("line") >= LEAST, k).alias(f"k{n}") for n, k in enumerate(keys)]
+    return [F.when(F.length("line") >= least, k).alias(f"k{n}") for n, k in enumerate(keys)]
 
 
 def variant_hashes(line: str, first: int, last: int) -> np.ndarray:
@@ -174,11 +174,11 @@ def near_lines(docs: DataFrame, firsts: DataFrame, w: Workspace) -> DataFrame:
     return w.table(near.join(found.select("c", "h"), "c").select("h"), "op2-near")
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, rk and the numbers of the lines that go, of each document with any; ``docs`` as ``keyed`` gives them."""
     names = ("k0", "k1", "k2", "k3")
     with Workspace(docs.sparkSession) as w:
-        placed = w.table(lines_of(docs).select("h", "at", *half_keys()), "op2-placed")  # read twice, so that texts are split and hashed once for both
+        placed = w.table(lines_of(docs).select("h", "at", *half_keys(least)), "op2-placed")  # read twice, so that texts are split and hashed once for both
         grouped = placed.groupBy("h").agg(F.min("at").alias("at"), (F.min("at") != F.max("at")).alias("again"), *(F.min(k).alias(k) for k in names))
         firsts = w.table(grouped.withColumn("c", F.monotonically_increasing_id()), "op2-firsts")
         near = near_lines(docs, firsts, w).withColumn("near", F.lit(True))
@@ -189,14 +189,15 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 @shipped
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` without the lines that repeat earlier ones; its columns, and __lines and __gone, how many lines a text had and lost.
 
-    Where the table has columns of these names, the two get further underscores in front.
+    Where the table has columns of these names, the two get further underscores in front. ``least`` is the length from which on
+    lines are compared by edits: one edit in a list mark, a year or a name mostly makes another line.
     """
     names = docs.columns
     lines_name, gone_name = common.fresh(names, "__lines"), common.fresh(names, "__gone")
-    keys = removals(keyed(docs))
+    keys = removals(keyed(docs), least)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_key().alias("rk"))
     match = rows["id"].eqNullSafe(keys["doc_id"]) & (rows["rk"] == keys["rk"])
     joined = rows.join(keys, match, "left").select("row.*", keys["gone"].alias(gone_name))

@@ -147,18 +147,20 @@ def edits(x, y):
     return row[-1]
 
 
-def brute_lines(rows):
+def brute_lines(rows, least=lines.LEAST):
     """Texts without the lines that have an earlier equal or near line."""
     placed = sorted({(-1 if k is None else k, t, n, x) for k, t in rows for n, x in enumerate(t.split("\n")) if x.strip()}, key=lambda r: (r[0], r[2]))
     seen, gone = [], set()
     for k, t, n, x in placed:
-        if any(x == y or (min(len(x), len(y)) >= lines.LEAST and abs(len(x) - len(y)) < 2 and edits(x, y) <= 1) for y in seen):
+        if any(x == y or (min(len(x), len(y)) >= least and abs(len(x) - len(y)) < 2 and edits(x, y) <= 1) for y in seen):
             gone.add((k, t, n))
         seen.append(x)
     return gone
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("least", [lines.LEAST, 1])
+def test_line_dedup(spark, least):
+    """Against brute force, with the bound of the query and with lines of every length compared, single characters too."""
     rnd = random.Random(6)
     alphabet = "abcd é😀"
     pool = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 16))) for _ in range(25)]
@@ -167,8 +169,8 @@ def test_line_dedup(spark):
         pool += [x[:at] + x[at + 1 :], x[:at] + "z" + x[at:], x[:at] + "q" + x[at + 1 :]]
     rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 6)))) for i in range(60)] + [(70, None), (71, ""), (72, "\n \n")]
     table = spark.createDataFrame([(k, t, len(t or ""), "x") for k, t in rows], "doc_id long, text string, n_chars long, line string")
-    gone = brute_lines([(k, t or "") for k, t in rows])
-    got = {r["doc_id"]: r for r in lines.deduplicate(table).collect()}
+    gone = brute_lines([(k, t or "") for k, t in rows], least)
+    got = {r["doc_id"]: r for r in lines.deduplicate(table, least).collect()}
     for k, t in rows:
         want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (k, t, n) not in gone)
         assert got[k]["text"] == want and got[k]["line"] == "x"
