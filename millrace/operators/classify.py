@@ -165,9 +165,10 @@ def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, separator: s
     Every beginning of the text that ends before a separator is a key, so this is an equi-join, not a scan of all
     prefixes. Beginnings shorter than the shortest prefix or longer than the longest aren't keys: what all texts begin with
     meets nowhere. The rows of a key are dealt over ``salts`` tasks. Equal rows each keep their row; a row with a null text
-    has no prefix, and null prefixes are none. Rows with a column named prefix raise.
+    has no prefix, and null prefixes are none. Rows with a column named prefix, or as the
+    operator's own (__row, __salt, __hit, __least, __most), raise.
     """
-    taken = {"prefix", "__row", "__salt"} & {c.lower() for c in rows.columns}
+    taken = {"prefix", "__row", "__salt", "__hit", "__least", "__most"} & {c.lower() for c in rows.columns}
     if taken:
         raise ValueError(f"rename the columns {sorted(taken)}")
     parts = F.split(F.col(text), F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1)
