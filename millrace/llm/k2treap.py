@@ -14,7 +14,7 @@ document of n terms, N documents with terms, and L terms in all. A term's weight
 follows when a query is asked, from the rows' counts in all blocks.
 
 Scale: blocks are made where the texts are read, without a shuffle, and hold a bounded number of documents and cells; an
-index is written once. Items are asked in rounds of bounded size against all blocks, and each task returns at most k rows
+index is written once, a few blocks to a file, so that a task reads few at a time. Items are asked in rounds of bounded size against all blocks, and each task returns at most k rows
 for each item, whatever the number of its blocks.
 
 Rules: terms are maximal runs of ASCII letters and digits and of characters beyond ASCII, only A-Z lower-cased; null and
@@ -42,6 +42,8 @@ TOP = 20
 #: Documents and cells of a block; the last document may go beyond the cells.
 BLOCK_DOCS = 8192
 BLOCK_CELLS = 1 << 19
+#: Blocks of a file. Spark's reader takes a file's rows into memory together, about 5 MB each.
+FILE_BLOCKS = 4
 #: Ranges that are halved at once.
 BATCH = 128
 #: Bytes of items that are asked in one round.
@@ -235,7 +237,7 @@ def build(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_cells: int = BLOC
         if held:
             yield flush()
 
-    return Index(materialize(docs.select("doc_id", "text").mapInArrow(run, BLOCK), "op11-index", "zstd"), n_docs, n_terms)
+    return Index(materialize(docs.select("doc_id", "text").mapInArrow(run, BLOCK), "op11-index", "zstd", FILE_BLOCKS), n_docs, n_terms)
 
 
 def spans(batch: pa.RecordBatch, wanted: set[bytes]) -> list[dict[bytes, int]]:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import k2treap, queries
 from millrace.sources.tables import load
@@ -84,3 +85,10 @@ def test_sizes(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     counts = [len(plain_terms(t)) for _, t in DOCS]
     assert k2treap.sizes(docs) == (sum(n > 0 for n in counts), sum(counts))
+
+
+def test_few_blocks_a_file(spark):
+    """A task that makes many blocks writes several files: a reader holds all blocks of a file at once."""
+    docs = spark.createDataFrame([(i, "cat sat") for i in range(11)], "doc_id long, text string").coalesce(1)
+    files = k2treap.build(docs, 1).blocks.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 11 and max(r["count"] for r in files) <= k2treap.FILE_BLOCKS
