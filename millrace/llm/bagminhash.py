@@ -8,7 +8,7 @@ covered interval a point counts if its own position lies below w. A process stop
 register. Registers of two bags agree with the probability of their weighted Jaccard similarity.
 
 Registers are banded; of the documents that share a band, each is compared with the most central one by their exact
-multiset overlap, and linked ones form classes (``linking`` says how the rest of divided bands is treated). Equal texts,
+multiset overlap, then those of a band that aren't linked yet with each other (``linking``), and linked ones form classes. Equal texts,
 told by SHA-256, are one item: a task computes a text's signature once, and one row of a text goes on.
 
 Rules: null counts as empty; texts without a word are alike only if they are equal (null and empty are); a text of fewer

@@ -1,13 +1,12 @@
-"""Classes of alike items from candidate keys, without all pairs of a group.
+"""Classes of alike items from candidate keys: every two items that share a key are compared, or are in one class already.
 
-Items that share a key are candidates. Each key's group is compared with one hub, a star as long as the group. The hub is
-the group's most central item, the one that meets the most others over all its keys: what is alike to anything there is
-most likely alike to it, or to the hub of another of its keys. Verified links give components. Items of groups that are
-then not in one component are dealt anew, by two of their keys at a time (the least under a hash, for several hashes), so
-that these groups are small and of very similar items; their hub is the least central item, the one that the first stars
-miss. No step has more rows than there are keys, whatever the groups' sizes.
+Each key's group is first compared with one hub, a star as long as the group. The hub is the group's most central item, the
+one that meets the most others over all its keys: what is alike to anything there is most likely alike to it, or to the
+hub of another of its keys. Verified links give components. In groups that are then not in one component, every two items
+of different components whose sizes allow it are compared too, so no link between items of a key is missed.
 
-An item can be missed only if it is alike to others, but to none of the hubs of its keys and of its smaller groups.
+These comparisons are dealt into tiles of two slots of items. A slot holds items of one home (the most central hub that they
+share a group with) and of bounded size, so a tile gets each of its items' elements once, however many pairs it has.
 """
 
 from __future__ import annotations
@@ -16,15 +15,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
 from millrace.operators import lineage
 from millrace.sources.tables import Workspace, materialize
 
-#: Hashes under which the items of divided groups are dealt anew.
-SALTS = 8
+#: Elements of the items of a slot on average; a tile has those of two slots in memory.
+SLOT = 1 << 18
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -74,12 +73,50 @@ def verify(pairs: DataFrame, bodies: DataFrame, ratio: float, alike: Alike = who
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def star(groups: DataFrame, hub: Column, ratio: float, apart: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of each key's hub, the least by ``hub``, and its other items (id, size) of a size that allows it; ``apart`` is a further condition."""
-    hubs = groups.groupBy("key").agg(F.min(hub).alias("hub")).select("key", F.col("hub.*")).toDF("key", "rank", "a", "s", "q")
+def star(groups: DataFrame, ratio: float) -> DataFrame:
+    """Pairs (a, b) of each key's hub, its most central item, and its other items of a size that allows it; no others are asked here."""
+    hubs = groups.groupBy("key").agg(F.min(F.struct(-F.col("degree"), "id", "size")).alias("hub")).select("key", F.col("hub.id").alias("a"), F.col("hub.size").alias("s"))
     close = (F.col("id") != F.col("a")) & (F.least("s", "size") >= ratio * F.greatest("s", "size"))
-    met = groups.join(hubs, "key").where(close if apart is None else close & apart)
-    return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    return groups.join(hubs, "key").where(close).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
+def across(rooted: DataFrame, ratio: float, w: Workspace) -> DataFrame:
+    """All pairs (a, b) of items that share a key, but not a root, and whose sizes allow a link, with their tiles (x, y).
+
+    ``rooted`` has key, id, size, degree and root.
+    """
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(-F.col("degree"), "id")).alias("home")).where("lo <> hi").select("key", "home")
+    stray = w.table(rooted.join(split, "key").select("key", "id", "size", "root", "home"), "strays")
+    homes = stray.groupBy("id", "size").agg(F.min("home").alias("home"))
+    slots = homes.groupBy("home").agg(F.ceil(F.sum("size") / SLOT).alias("slots"))
+    slot = F.xxhash64("home", F.pmod(F.xxhash64("id"), "slots"))
+    places = w.table(homes.join(slots, "home").select("id", slot.alias("slot")), "slots")
+    left = stray.select("key", F.col("id").alias("a"), F.col("size").alias("s"), F.col("root").alias("q"))
+    right = stray.select("key", F.col("id").alias("b"), "size", "root")
+    close = (F.col("a") < F.col("b")) & (F.col("q") != F.col("root")) & (F.least("s", "size") >= ratio * F.greatest("s", "size"))
+    pairs = left.join(right, "key").where(close).select("a", "b").distinct()
+    for end, name in (("a", "p"), ("b", "q")):
+        pairs = pairs.join(places.select(F.col("id").alias(end), F.col("slot").alias(name)), end)
+    return w.table(pairs.select("a", "b", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")), "across")
+
+
+def verify_tiles(pairs: DataFrame, bodies: DataFrame, ratio: float, alike: Alike = whole_alike) -> DataFrame:
+    """The pairs (a, b) of tiles (x, y) that ``verify`` would keep; each tile gets the elements of its items once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        sets = {}
+        for batch in held.to_batches():
+            column = batch.column("e")
+            flat, cuts = column.values.to_numpy(), column.offsets.to_numpy()
+            sets.update((k, flat[s:e]) for k, s, e in zip(batch.column("id").to_pylist(), cuts, cuts[1:], strict=False))
+        ends = zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)
+        keep = pa.array([alike(sets[a], sets[b], ratio) for a, b in ends], pa.bool_())
+        return asked.select(["a", "b"]).filter(keep).cast(schema)
+
+    wanted = pairs.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = wanted.join(bodies, "id").select("u", "v", "id", "e")
+    return pairs.groupBy("x", "y").cogroup(held.groupBy("u", "v")).applyInArrow(run, "a long, b long")
 
 
 def classes(items: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndarray], ratio: float, alike: Alike = whole_alike) -> DataFrame:
@@ -102,19 +139,11 @@ def classes(items: DataFrame, texts: DataFrame, elements: Callable[[str], np.nda
         # one row of an item is left before rows meet: many copies of a text don't come to one task
         once = texts.groupBy("digest").agg(F.first("text").alias("text"))
         bodies = w.table(gather(once.join(wanted, "digest"), elements), "candidates")
-        first = w.table(star(groups, F.struct(-F.col("degree"), "id", "size", F.lit(0)), ratio), "stars")
-        links = w.table(verify(first, bodies, ratio, alike), "links")
+        links = w.table(verify(star(groups, ratio), bodies, ratio, alike), "links")
         roots = components(links)  # id, root
         rooted = w.table(groups.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         w.drop(groups)
-        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        stray = rooted.join(split, "key", "left_semi").groupBy("id", "size", "degree", "root")
-        least = stray.agg(*(F.min(F.xxhash64(F.lit(n), "key")).alias(f"k{n}") for n in range(2 * SALTS)))
-        anew = F.array(*(F.xxhash64(F.lit(n), f"k{2 * n}", f"k{2 * n + 1}") for n in range(SALTS)))
-        dealt = w.table(least.select(F.explode(anew).alias("key"), "id", "size", "degree", "root"), "dealt-anew")
-        second = star(dealt, F.struct("degree", "id", "size", "root"), ratio, F.col("root") != F.col("q"))
-        second = w.table(second.join(first, ["a", "b"], "left_anti"), "stars")
-        more = verify(second, bodies, ratio, alike)
+        more = verify_tiles(across(rooted, ratio, w), bodies, ratio, alike)
         own = rooted.select("id", "root").distinct()
         for end in ("a", "b"):
             more = more.join(own.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root")), end)

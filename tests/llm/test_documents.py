@@ -112,6 +112,24 @@ def test_components(spark):
     assert got == union_find(links, {x for p in links for x in p})
 
 
+def test_no_link_of_a_key_is_missed(spark, monkeypatch):
+    """Pairs that are alike to each other, but not to their key's hub, are linked; with all pairs in one tile, and in many."""
+    rnd = random.Random(3)
+    sets = {0: range(100, 110)} | {2 * i + j: range(1000 * i, 1000 * i + 10 + j) for i in range(1, 6) for j in (0, 1)}
+    sets |= {i: sorted(rnd.sample(range(12), 9)) for i in range(20, 60)}
+    keys = {k: [1, 2] if k else [1, 2, 3] for k in sets}  # 0 is the hub
+    sets[99], keys[99] = range(200, 210), [3]
+    jaccard = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = union_find([(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.8], sets)
+    items = spark.createDataFrame([(k, str(k).encode(), len(sets[k]), keys[k]) for k in sets], "id long, digest binary, size long, keys array<long>")
+    texts = spark.createDataFrame([(str(k).encode(), " ".join(map(str, x))) for k, x in sets.items()], "digest binary, text string")
+    for slot in (linking.SLOT, 40):
+        monkeypatch.setattr(linking, "SLOT", slot)
+        found = linking.classes(items, texts, lambda t: np.array(t.split(), np.uint64), 0.8)
+        got = {r["id"]: r["root"] for r in found.collect()}
+        assert {k: got.get(k, k) for k in sets} == want and want[11] == 10
+
+
 def test_pruned_jaccard():
     rnd = random.Random(12)
     said = set()
