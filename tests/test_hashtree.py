@@ -71,3 +71,21 @@ def test_only_unequal_subtrees(spark):
     with Workspace(spark) as w:
         trees = [hashtree.build(*hashtree.digests(t, ["id", "v"], w), 3, w) for t in (a, b)]
         assert 1 <= hashtree.unequal_leaves(*trees, w).count() <= 2
+
+
+@pytest.mark.parametrize("few", [hashtree.FEW, 0])
+def test_only_what_differs_is_written(spark, monkeypatch, few):
+    """One changed row of 5,000: nothing as long as the tables is written, by either way to the whole rows."""
+    monkeypatch.setattr(hashtree, "FEW", few)
+    table, written = Workspace.table, []
+
+    def noted(self, df, label):
+        made = table(self, df, label)
+        written.append(made.count())
+        return made
+
+    monkeypatch.setattr(Workspace, "table", noted)
+    a = spark.range(5000).select("id", F.lit("v").alias("v"))
+    b = a.withColumn("v", F.when(F.col("id") == 77, "w").otherwise(F.col("v")))
+    got = {tuple(r) for r in hashtree.differing(a, b, leaf=4).collect()}
+    assert got == {(77, "v", 1, 0), (77, "w", 0, 1)} and sum(written) <= 4
