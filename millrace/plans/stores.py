@@ -113,4 +113,4 @@ def merge_bases(spark: SparkSession, d: str) -> DataFrame:
     tips = heads.select("repository", F.col("commit").alias("left")).union(docs.where(COMPARED).select("repository", "commit"))
     pairs = tips.join(heads.where("branch = 0").select("repository", F.col("commit").alias("right")), "repository")
     counts, bases = ancestry.compare_tips(commits, pairs)
-    return counts.join(bases, ["left", "right"], "left").select("left", "right", "ahead", "behind", "bases", "base")
+    return counts.join(bases.hint("merge"), ["left", "right"], "left").select("left", "right", "ahead", "behind", "bases", "base")

@@ -101,3 +101,15 @@ def test_empty_and_cycle(spark):
     for cycle in ([("a", "b", 0), ("b", "c", 0), ("c", "a", 0)], [("a", "a", 0)]):
         with pytest.raises(ValueError, match="cycle"):
             ancestry.compare_tips(spark.createDataFrame(cycle, SCHEMA), pairs)
+
+
+def test_nothing_is_broadcast(spark, tmp_path):
+    """Each round's joins are merges: a broadcast would send its table through the driver, once a round."""
+    commits = spark.createDataFrame([(i, i - 1 if i else None, 0) for i in range(6)], "commit long, parent long, n int")
+    with ancestry.Workspace(spark) as w:
+        edges, nodes = ancestry._first_parents(commits, w)
+        made, table = [], w.table
+        w.table = lambda df, label: (made.append(df._jdf.queryExecution().executedPlan().toString()), table(df, label))[1]
+        places = ancestry.chains(nodes, w)
+        ancestry._exits(edges, places, w)
+    assert made and not [p for p in made if "Broadcast" in p]
