@@ -2,8 +2,9 @@
 
 Each key's group is first compared with one hub, a star as long as the group. The hub is the group's most central item, the
 one that meets the most others over all its keys: what is alike to anything there is most likely alike to it, or to the
-hub of another of its keys. Verified links give components. In groups that are then not in one component, every two items
-of different components whose sizes allow it are compared too, so no link between items of a key is missed.
+hub of another of its keys. Verified links give components. In groups that are then not in one component, the items of
+different components are compared too if their sets may be alike (``across``: an exact filter, not a cap), so no link between
+items of a key is missed.
 
 These comparisons are dealt into tiles of two slots of items. A slot holds items of one home (the most central hub that they
 share a group with) and of bounded size, so a tile gets each of its items' elements once, however many pairs it has.
@@ -11,11 +12,12 @@ share a group with) and of bounded size, so a tile gets each of its items' eleme
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -24,6 +26,8 @@ from millrace.sources.tables import Workspace, materialize
 
 #: Elements of the items of a slot on average; a tile has those of two slots in memory.
 SLOT = 1 << 18
+#: Sizes of sets are told apart in steps of this factor; it changes how many rows meet, not which pairs are found.
+STEP = 1.1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -80,24 +84,70 @@ def star(groups: DataFrame, ratio: float) -> DataFrame:
     return groups.join(hubs, "key").where(close).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
-def across(rooted: DataFrame, ratio: float, w: Workspace) -> DataFrame:
-    """All pairs (a, b) of items that share a key, but not a root, and whose sizes allow a link, with their tiles (x, y).
+def strays(rooted: DataFrame, w: Workspace) -> DataFrame:
+    """id, root, keys and slot of the items of those keys whose items have more than one root; keys are these only.
 
     ``rooted`` has key, id, size, degree and root.
     """
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(-F.col("degree"), "id")).alias("home")).where("lo <> hi").select("key", "home")
-    stray = w.table(rooted.join(split, "key").select("key", "id", "size", "root", "home"), "strays")
-    homes = stray.groupBy("id", "size").agg(F.min("home").alias("home"))
+    stray = rooted.join(split, "key").groupBy("id", "size", "root")
+    homes = w.table(stray.agg(F.min("home").alias("home"), F.collect_set("key").alias("keys")), "strays")  # an item's own keys
     slots = homes.groupBy("home").agg(F.ceil(F.sum("size") / SLOT).alias("slots"))
     slot = F.xxhash64("home", F.pmod(F.xxhash64("id"), "slots"))
-    places = w.table(homes.join(slots, "home").select("id", slot.alias("slot")), "slots")
-    left = stray.select("key", F.col("id").alias("a"), F.col("size").alias("s"), F.col("root").alias("q"))
-    right = stray.select("key", F.col("id").alias("b"), "size", "root")
-    close = (F.col("a") < F.col("b")) & (F.col("q") != F.col("root")) & (F.least("s", "size") >= ratio * F.greatest("s", "size"))
-    pairs = left.join(right, "key").where(close).select("a", "b").distinct()
+    return w.table(homes.join(slots, "home").select("id", "root", "keys", slot.alias("slot")), "slots")
+
+
+def size_class(size: Column) -> Column:
+    """The number of a size's class; sizes of one class are at most STEP from each other."""
+    return F.floor(F.log(size) / math.log(STEP)).cast("int")
+
+
+def across(held: DataFrame, ratio: float) -> DataFrame:
+    """All pairs (a, b) of items of different roots whose sets may be as alike as ``ratio``, of id, root and e.
+
+    Sets are taken in one order of all elements, rarest first, and elements that only items of one root have before all.
+    Alike sets have an early element in common: if the first common one is the p-th of a set of n, no more than n - p + 1
+    are common, and sets of n and m need ratio / (1 + ratio) * (n + m). So the smaller set is found by as many of its first
+    elements as a set of its own size allows, the larger one by as many as a size of the smaller one's class allows.
+    Copies of one text that are too far from each other have their own changes there, not what they share.
+
+    Most items that share a common element are in one component. Rows are therefore dealt by whether they are of the
+    largest one (``main``) that has the element, and no two of that meet.
+    """
+    members = held.groupBy("root").agg(F.count("*").alias("members"))
+    each = held.join(members, "root").select("id", "root", "members", F.size("e").alias("n"), F.explode("e").alias("x"))
+    holders = each.groupBy("x").agg(F.count("*").alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("members", "root")).alias("main"))
+    holders = holders.where("lo <> hi").select("x", "often", (F.col("main.root")).alias("main"))
+    own = Window.partitionBy("id")
+    p = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "x"))
+    needed = lambda n, m: F.ceil(F.lit(ratio / (1 + ratio)) * (n + m) - 1e-6)
+    early = each.join(holders, "x").select("id", "x", "n", "root", p.alias("p"), (F.col("root") == F.col("main")).alias("is_main")).where(F.col("p") <= F.col("n") - needed(F.col("n"), ratio * F.col("n")) + 1)
+
+    # sides: 0, none is of the main component; 1, the smaller set is; 2, the larger one is
+    sided = lambda df, main: df.withColumn("side", F.explode(F.when(F.col("is_main"), F.array(F.lit(main))).otherwise(F.array(F.lit(0), F.lit(3 - main))))).drop("is_main")
+    small = early.where(F.col("p") <= F.col("n") - needed(F.col("n"), F.col("n")) + 1)
+    small = sided(small, 1).select("x", "side", size_class(F.col("n")).alias("c"), *(F.col(c).alias(f"s_{c}") for c in ("id", "n", "root", "p")))
+    classes = F.sequence(size_class(F.col("n") * (ratio * (1 - 1e-9))), size_class(F.col("n")))
+    least = F.greatest(ratio * F.col("n"), F.floor(F.pow(F.lit(STEP), F.col("c"))))
+    large = early.withColumn("c", F.explode(classes)).where(F.col("p") <= F.col("n") - needed(F.col("n"), least) + 1)
+    order = F.struct("s_n", "s_id") < F.struct("n", "id")
+    rest = F.least(F.col("n") - F.col("p"), F.col("s_n") - F.col("s_p")) + 1
+    met = sided(large, 2).join(small, ["x", "c", "side"]).where(order & (F.col("root") != F.col("s_root")) & (rest >= needed(F.col("n"), F.col("s_n"))))
+    return met.select(F.least("id", "s_id").alias("a"), F.greatest("id", "s_id").alias("b")).distinct()
+
+
+def tiled(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """The pairs with their tiles (x, y), from the items' slots."""
     for end, name in (("a", "p"), ("b", "q")):
         pairs = pairs.join(places.select(F.col("id").alias(end), F.col("slot").alias(name)), end)
-    return w.table(pairs.select("a", "b", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")), "across")
+    return pairs.select("a", "b", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+
+
+def sharing(links: DataFrame, places: DataFrame) -> DataFrame:
+    """The links (a, b) whose items share a key, with their roots: classes don't depend on which items are strays."""
+    for end in ("a", "b"):
+        links = links.join(places.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"), F.col("keys").alias(f"{end}_keys")), end)
+    return links.where(F.arrays_overlap("a_keys", "b_keys")).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
 
 
 def verify_tiles(pairs: DataFrame, bodies: DataFrame, ratio: float, alike: Alike = whole_alike) -> DataFrame:
@@ -143,11 +193,11 @@ def classes(items: DataFrame, texts: DataFrame, elements: Callable[[str], np.nda
         roots = components(links)  # id, root
         rooted = w.table(groups.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         w.drop(groups)
-        more = verify_tiles(across(rooted, ratio, w), bodies, ratio, alike)
+        places = strays(rooted, w)
+        held = w.table(bodies.join(places.select("id", "root"), "id").select("id", "root", "e"), "stray-elements")
+        more = verify_tiles(w.table(tiled(across(held, ratio), places), "across"), held, ratio, alike)
         own = rooted.select("id", "root").distinct()
-        for end in ("a", "b"):
-            more = more.join(own.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root")), end)
-        joined = components(w.table(more.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "links"))
+        joined = components(w.table(sharing(more, places), "links"))
         top = joined.select(F.col("id").alias("root"), F.col("root").alias("top"))
         placed = own.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
         met = roots.select("id").union(joined.select("id")).distinct()

@@ -130,6 +130,35 @@ def test_no_link_of_a_key_is_missed(spark, monkeypatch):
         assert {k: got.get(k, k) for k in sets} == want and want[11] == 10
 
 
+@pytest.mark.parametrize("ratio", [0.5, 0.8, 0.95])
+def test_across_has_every_alike_pair(spark, ratio):
+    """The early elements' filter keeps every pair of different roots that is alike, of sets of 1 to 60 elements."""
+    rnd = random.Random(5)
+    sets, root = {}, {}
+    for i in range(150):
+        base = range(100 * (i % 5), 100 * (i % 5) + (1, 3, 10, 25, 50)[i % 5])
+        sets[i] = sorted(({*base} - {x for x in base if rnd.random() < 0.1}) | {rnd.randrange(10**4) for _ in range(rnd.randrange(10))} | {base[0]})
+        root[i] = 0 if i % 3 else i
+    jaccard = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = {(i, j) for i in sets for j in sets if i < j and root[i] != root[j] and jaccard(sets[i], sets[j]) >= ratio}
+    held = spark.createDataFrame([(i, root[i], sets[i]) for i in sets], "id long, root long, e array<long>")
+    got = {(r["a"], r["b"]) for r in linking.across(held, ratio).collect()}
+    assert want and want <= got and all(root[a] != root[b] for a, b in got)
+
+
+def test_far_copies_of_one_text_are_not_all_paired(spark, monkeypatch):
+    """Copies that share keys, but each have a fifth of their own, give no pairs that grow with the square of their number."""
+    rnd, asked = random.Random(4), []
+    sets = {i: sorted({*rnd.sample(range(100), 80)} | {1000 * (i + 1) + j for j in range(20)}) for i in range(300)} | {300: [*range(100)]}
+    sets[301] = sorted({*sets[7][:-1]} | {999_999})  # alike to 7, not to the hub
+    items = spark.createDataFrame([(k, str(k).encode(), len(x), [1, 2] + [3] * (k == 300)) for k, x in sets.items()] + [(302, b"302", 100, [3])], "id long, digest binary, size long, keys array<long>")
+    texts = spark.createDataFrame([(str(k).encode(), " ".join(map(str, x))) for k, x in {**sets, 302: range(5000, 5100)}.items()], "digest binary, text string")
+    tiles = linking.verify_tiles
+    monkeypatch.setattr(linking, "verify_tiles", lambda pairs, *rest: asked.append(pairs.count()) or tiles(pairs, *rest))
+    found = {r["id"]: r["root"] for r in linking.classes(items, texts, lambda t: np.array(t.split(), np.uint64), 0.8).collect()}
+    assert found == {7: 7, 301: 7} and asked[0] < 300
+
+
 def test_pruned_jaccard():
     rnd = random.Random(12)
     said = set()
