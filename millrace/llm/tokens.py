@@ -1,7 +1,8 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them, with the words' ids kept in a bounded cache.
 
-A text is cut where a byte-level BPE never merges: before a space that a non-space follows, and around runs of white
-space. The ids of a text are then the ids of its units in order, so that a unit needs the library only when it is new.
+A text is cut where a byte-level BPE never merges: before a space that a non-space follows, around runs of white space,
+and behind a word of letters, so that what follows it makes no new unit of it. The ids of a text are then the ids of its
+units in order, so that a unit needs the library only when it is new.
 Special tokens are cut out first, as the library does.
 """
 
@@ -18,12 +19,15 @@ import regex
 
 #: Unicode White_Space, and the pattern that byte-level BPE splits words by.
 SPACE = "\t-\r \x85\xa0  -     　"
-UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Letters, of which all versions of Unicode are sure; a run of them before another ASCII character or the end is one word piece.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+UNIT = re.compile(f" ?[{LETTERS}]+(?=[\t-\r -@[-`{{-~]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+PLAIN = re.compile(f" ?[{LETTERS}]+").fullmatch
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 class Pieces(dict):
-    """Packed ids by word piece, in two generations: a full one becomes the old one, from which what is asked for again comes back.
+    """Packed ids by unit or word piece, in two generations: a full one becomes the old one, from which what is asked for again comes back.
 
     At most twice ``limit`` entries are kept, and none of a long piece.
     """
@@ -48,9 +52,14 @@ class Encoder:
     """Little-endian unsigned 32-bit ids of texts; ``encode_piece`` gives the ids of one word piece."""
 
     def __init__(self, encode_piece: Callable[[str], bytes], specials: dict[str, int]):
-        self.pieces = Pieces(encode_piece, 350_000)
-        piece, split = self.pieces.__getitem__, PIECE.findall
-        self.units = Pieces(lambda unit: b"".join(map(piece, split(unit))), 250_000)
+        split = PIECE.findall
+
+        def encode(unit: str) -> bytes:
+            parts = (unit,) if PLAIN(unit) else split(unit)
+            return encode_piece(unit) if len(parts) == 1 else b"".join(map(self.units.__getitem__, parts))
+
+        # a word piece is also a unit, as it splits into itself: both are kept once
+        self.units = Pieces(encode, 600_000)
         self.specials = {k: np.array([v], "<u4").tobytes() for k, v in specials.items()}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, packing, words64
+from millrace.llm import bpe, packing, tokens, words64
 from millrace.llm.tokens import default_path, library_encoder
 from millrace.sources.tables import load
 
@@ -130,3 +130,22 @@ def test_packing(spark, odd, library, sf):
             for s in range(0, len(ids), 2048):
                 assert (doc_id, s, min(2048, len(ids) - s), zlib.crc32(ids[s : s + 2048].tobytes()), len(ids)) in pieces
     assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_a_word_is_encoded_once_whatever_follows_it():
+    """A word keeps one entry, and is encoded once, with any marks behind it."""
+    calls = []
+    encoder = tokens.Encoder(lambda piece: calls.append(piece) or b"\0\0\0\1", {})
+    encoder.ids("a word, word. word; word: word! word? word\n word's word-word word1 wordé (word) word")
+    kept = {k for cache in vars(encoder).values() if isinstance(cache, tokens.Pieces) for k in cache}
+    assert calls.count(" word") == 1 and {k for k in kept if k.startswith(" word")} == {" word", " wordé"}
+
+
+def test_units_are_cut_as_the_library_cuts(library):
+    """Words before marks, digits, other scripts, combining marks and odd spaces."""
+    encoder = library_encoder(default_path())
+    rnd = random.Random(6)
+    parts = ["word", "Été", "ßa", "ŉ", "ǅ", "ɏ", "ɐ", "α", "я", "你", "́", "²", "1", "x2", "'", "'s", "'ll", "’", ".", ",", "(", "[", "`", "{", "~", "-", "×", "÷", "ª", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", " ", "​", "😀", "\0", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(9)))
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
