@@ -159,6 +159,21 @@ def test_far_copies_of_one_text_are_not_all_paired(spark, monkeypatch):
     assert found == {7: 7, 301: 7} and asked[0] < 300
 
 
+def test_chunk_digests_are_gone_before_the_packs(spark, monkeypatch):
+    """Chunks meet by 16 bytes, and what is no longer read is deleted before the packs are written."""
+    docs = spark.createDataFrame([(i, "same passage " * 400 + str(i)) for i in range(5)], "doc_id long, text string")
+    assert {len(r["digest"]) for r in media.digest_rows(media.keyed(docs)).collect()} == {16}
+    held, folder, write = [], tables.shared_dir(spark).removeprefix("file:").replace("//", "/"), media.materialize
+
+    def spy(df, label, *rest):
+        held.extend(p for p in os.listdir(folder) if p.startswith(("op3-seen", "op3-owners", "op3-marks")))
+        return write(df, label, *rest)
+
+    monkeypatch.setattr(media, "materialize", spy)
+    media.write(docs)
+    assert [p.rsplit("-", 1)[0] for p in held] == ["op3-marks"]
+
+
 def test_pruned_jaccard():
     rnd = random.Random(12)
     said = set()
